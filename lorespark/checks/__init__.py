@@ -1,6 +1,6 @@
 """Checked queries: every operator on the given tables, with SQL to compare against."""
 
-from lorespark.checks import retrieval_checks  # noqa: F401
+from lorespark.checks import graph_checks, retrieval_checks  # noqa: F401
 from lorespark.checks.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
