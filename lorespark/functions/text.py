@@ -77,7 +77,7 @@ def content_hash(text: Column) -> Column:
 
 
 def size_label(text: Column) -> Column:
-    return F.format_string("%.1fKB", F.octet_length(text) / F.lit(1024.0))
+    return F.format_string("%.1fKB", F.bround(F.octet_length(text) / F.lit(1024.0), 1))
 
 
 def substring_count(text: Column, term: Column) -> Column:
