@@ -476,15 +476,16 @@ fx.define("md_ops", ["md_paras"], r"""
         LATERAL unnest(range(0, n + 1)) AS v(w))
     GROUP BY doc_id, section_no""")
 _STEP = """list_reduce(ops, lambda st, op: CASE
-    WHEN op.kind IN ('para', 'item') AND (st.held = '' OR length(st.held) + length(op.glue) + length(op.txt) <= 512)
-      THEN {'held': CASE WHEN st.held = '' THEN op.txt ELSE st.held || op.glue || op.txt END, 'parts': st.parts}
+    WHEN op.kind IN ('para', 'item') AND (st.held = '' OR length(JOINED) <= 512)
+      THEN {'held': CASE WHEN st.held = '' THEN op.txt ELSE JOINED END, 'parts': st.parts}
     WHEN op.kind IN ('para', 'item') THEN {'held': op.txt, 'parts': list_append(st.parts, st.held)}
     WHEN op.kind = 'window' THEN {'held': '', 'parts': list_append(
       CASE WHEN st.held = '' THEN st.parts ELSE list_append(st.parts, st.held) END, op.txt)}
     WHEN op.kind = 'tail' THEN {'held': op.txt, 'parts': st.parts}
     WHEN op.kind = 'close' THEN {'held': '', 'parts': list_append(st.parts, st.held)}
     ELSE {'held': '', 'parts': CASE WHEN st.held = '' THEN st.parts ELSE list_append(st.parts, st.held) END} END,
-    {'held': '', 'parts': CAST([] AS VARCHAR[])})"""
+    {'held': '', 'parts': CAST([] AS VARCHAR[])})""".replace(
+    "JOINED", r"regexp_replace(st.held || op.glue || op.txt, '^\s+|\s+$', '', 'g')")
 fx.define("md_packed", ["md_ops", "md_sections"], f"""
     SELECT doc_id, section_no, heading, section_text,
       CASE WHEN length(section_text) <= 512 THEN [section_text]
