@@ -5,6 +5,8 @@ from lorespark.checks import (  # noqa: F401
     graph_checks,
     retrieval_checks,
     scalar_checks,
+    source_checks,
+    stream_checks,
 )
 from lorespark.checks.registry import ORACLES, QUERIES
 

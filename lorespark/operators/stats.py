@@ -7,13 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators.joins import materialize
+from lorespark.operators.joins import materialize, salted_join
 
 # Rate window and limit, days that hourly and daily counts are kept, and
 # the zone in which trend labels are shown.
 WINDOW_SECONDS, RATE_LIMIT = 60, 30
 HOURLY_DAYS, DAILY_DAYS = 8, 90
 LABEL_ZONE = "+08:00"
+NEVER = -(2**62)
 
 
 def requests_per(requests: DataFrame, unit: str) -> DataFrame:
@@ -117,7 +118,7 @@ def _entries(width: int):
 
 def _chain(summaries: pd.DataFrame) -> pd.DataFrame:
     """Expiry carried into each block of one key, blocks in time order."""
-    carried, rows = -(2**62), []
+    carried, rows = NEVER, []
     for start, block in summaries.sort_values(["block_us", "opener"]).groupby("block_us"):
         rows.append((summaries["key"].iat[0], start, carried))
         open_at = block[block["opener"] >= carried]
@@ -146,37 +147,44 @@ def _windows(width: int):
 
 def anchored_rate_windows(
     requests: DataFrame, width_seconds: int = WINDOW_SECONDS, limit: int = RATE_LIMIT,
-    block_seconds: int = 21600,
+    block_seconds: int = 21600, hot_rows: int = 100_000,
 ) -> DataFrame:
     """Windows per key: the first request opens one, requests until it expires count.
 
     Requests over ``limit`` in a window are rejected but still count. Returns key,
     opened_at, requests, rejected.
 
-    A key's requests are cut into time blocks that are worked on in parallel. What one
-    block needs from the ones before is a single time (when the carried window expires),
-    so blocks are summarised first, the summaries of a key are chained, and then every
-    block assigns its requests. Equal times are merged beforehand.
+    Equal times are merged first. A key with more than ``hot_rows`` different times is
+    cut into time blocks that are worked on in parallel. All a block needs from the ones
+    before is the time when the carried window expires, so the blocks are summarised, the
+    summaries of the key are chained, and then every block assigns its own requests.
     """
     if block_seconds < width_seconds:
         raise ValueError("a block must be at least as long as a window")
     width = width_seconds * 1_000_000
-    us = F.unix_micros("ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    times = requests.groupBy("key", us.alias("us")).agg(F.count("*").alias("n"))
+    hot = times.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
+    block = F.col("us") - F.pmod("us", F.lit(block_seconds * 1_000_000))
     merged = materialize(
-        requests.groupBy("key", us.alias("us")).agg(F.count("*").alias("n")).withColumn(
-            "block_us", F.col("us") - F.pmod("us", F.lit(block_seconds * 1_000_000))
+        salted_join(times, hot, ["key"], spread=["us"], how="left").select(
+            "key", "us", "n", F.when(F.col("_n").isNotNull(), block).alias("block_us")
         )
     )
     key_type = merged.schema["key"].dataType.simpleString()
+    assigned_schema = f"key {key_type}, us long, n long, opened_us long"
+    whole = merged.filter("block_us IS NULL").withColumn("carried", F.lit(NEVER)).groupBy("key")
     by_block = ["key", "block_us"]
-    entries = merged.select("key", "block_us", "us").groupBy(*by_block).applyInPandas(
+    cut = merged.filter("block_us IS NOT NULL")
+    entries = cut.select("key", "block_us", "us").groupBy(*by_block).applyInPandas(
         _entries(width), f"key {key_type}, block_us long, opener long, leaves long"
     )
     carried = entries.groupBy("key").applyInPandas(
         _chain, f"key {key_type}, block_us long, carried long"
     )
-    assigned = merged.join(carried, by_block).groupBy(*by_block).applyInPandas(
-        _windows(width), f"key {key_type}, us long, n long, opened_us long"
+    blocks = cut.join(carried, by_block).groupBy(*by_block)
+    assigned = whole.applyInPandas(_windows(width), assigned_schema).union(
+        blocks.applyInPandas(_windows(width), assigned_schema)
     )
     return assigned.groupBy("key", "opened_us").agg(F.sum("n").alias("requests")).select(
         "key", F.timestamp_micros("opened_us").alias("opened_at"), "requests",

@@ -11,6 +11,7 @@ from lorespark.functions import metadata, text
 from lorespark.functions.chunking import CHUNK_OVERLAP, CHUNK_SIZE, chunk_rows, with_chunks
 from lorespark.functions.embedding import Provider, embed_chunks
 from lorespark.functions.paths import path_normalize, source_path
+from lorespark.operators.catalog import effective_metadata
 from lorespark.operators.filters import reject_reason
 from lorespark.operators.joins import materialize
 from lorespark.operators.retrieval import build_postings
@@ -90,3 +91,37 @@ def ingest_documents(
         sources=good.select("doc_id", "path", place.alias("source_path"), "content"),
         log=ingest_log(prepared),
     )
+
+
+def reindex(
+    documents: DataFrame, *providers: Provider, embed: bool = False,
+    size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
+) -> Ingested:
+    """Metadata and chunks of known documents rebuilt from their texts.
+
+    ``documents``: doc_id, title, path, content, tags, old_header_tags,
+    metadata_overridden, tags_override, entities_override.
+    """
+    headed = metadata.with_header(
+        documents.withColumn("content", text.unify_newlines(F.coalesce("content", F.lit(""))))
+    )
+    prepared = materialize(
+        with_chunks(effective_metadata(headed), "content", size, overlap)
+        .withColumn("reason", reject_reason())
+    )
+    good = prepared.filter("reason IS NULL")
+    catalog = good.select(
+        "doc_id", "title", "path", F.col("new_tags").alias("tags"), "header_tags",
+        F.col("new_entities").alias("entities"), "header_entities", "metadata_overridden",
+        "tags_override", "entities_override", F.size("chunk_texts").alias("chunk_count"),
+        F.sha2("content", 256).alias("content_hash"),
+    )
+    place = source_path(F.col("doc_id"), F.col("path"))
+    chunks = chunk_rows(good.select("doc_id", place.alias("source_path"), "chunk_texts"))
+    return Ingested(
+        catalog=catalog,
+        chunks=embed_chunks(chunks, *providers) if embed else chunks,
+        postings=build_postings(catalog, chunks),
+        sources=good.select("doc_id", "path", place.alias("source_path"), "content"),
+        log=ingest_log(prepared),
+    )
