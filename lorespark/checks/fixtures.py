@@ -16,7 +16,12 @@ ENTITY_PATTERN = "[A-Z][a-z]{9,}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. Texts in too few files to occupy all cores are spread first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name == "documents" and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
 
 
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from lorespark.checks import fixtures as fx
 from lorespark.checks.registry import check
 from lorespark.checks.retrieval_checks import _CANDIDATES, corpus, show
-from lorespark.functions.metadata import normalize_values
 from lorespark.operators import graph, joins
 from lorespark.operators import retrieval as rt
 from lorespark.operators.vectors import semantic_pairs, vector_channel
@@ -161,7 +160,7 @@ def entity_key(spark, sf):
 @check("graph_nodes", fx.select(
     f"SELECT * REPLACE ({fx.stamp('updated_at')} AS updated_at) FROM nodes", "nodes"))
 def graph_nodes(spark, sf):
-    return relation_graph(spark, sf).nodes.withColumn(
+    return build_graph(fx.catalog(spark, sf)).nodes.withColumn(
         "updated_at", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss"))
 
 
@@ -220,7 +219,7 @@ def _by_title_length(nodes):
         GROUP BY community, kind, value) WHERE rn = 1) b ON b.community = c.community""",
     "communities", "nodes"))
 def community_labels(spark, sf):
-    nodes = relation_graph(spark, sf).nodes
+    nodes = build_graph(fx.catalog(spark, sf)).nodes
     return graph.community_labels(_by_title_length(nodes), nodes)
 
 
@@ -228,7 +227,7 @@ def community_labels(spark, sf):
     SELECT c.node, c.community, CASE WHEN c.community < '5' THEN '#label ' || c.community
       ELSE '分组 ' || c.community END AS community_label FROM communities c""", "communities"))
 def community_label_join(spark, sf):
-    members = _by_title_length(relation_graph(spark, sf).nodes)
+    members = _by_title_length(build_graph(fx.catalog(spark, sf)).nodes)
     labels = members.filter("community < '5'").select(
         "community", F.concat(F.lit("#label "), "community").alias("label")).distinct()
     return graph.attach_community_labels(members, labels)

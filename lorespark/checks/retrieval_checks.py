@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from lorespark.checks import fixtures as fx
 from lorespark.checks.registry import check
 from lorespark.operators import retrieval as rt
+from lorespark.operators.joins import materialize
 
 
 def corpus(spark, sf):
-    cat, chk = fx.catalog(spark, sf), fx.chunks(spark, sf)
-    return cat, chk, rt.build_postings(cat, chk)
+    """Catalog, chunks and postings as tables at rest, which is how they are searched."""
+    cat, chk = materialize(fx.catalog(spark, sf)), materialize(fx.chunks(spark, sf))
+    return cat, chk, materialize(rt.build_postings(cat, chk))
 
 
 def _keyword_ctes(prefix: str, queries: str) -> list[str]:
@@ -54,7 +56,8 @@ def show(candidates):
 @check("postings_build", fx.select(
     "SELECT term, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM postings", "postings"))
 def postings_build(spark, sf):
-    return corpus(spark, sf)[2].withColumn("chunk_index", F.col("chunk_index").cast("long"))
+    postings = rt.build_postings(fx.catalog(spark, sf), fx.chunks(spark, sf))
+    return postings.withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
 @check("keyword_recall", fx.select(

@@ -90,10 +90,20 @@ def stream_audit(spark, sf):
     return spark.read.json(f"{folder}/audit").groupBy("action").agg(F.count("*").alias("events"))
 
 
+def _rate_sql(seconds: int, limit: int) -> str:
+    return fx.select(f"""
+        , opened AS (SELECT key, min(ts) AS at FROM requests GROUP BY key
+          UNION SELECT o.key, (SELECT min(a.ts) FROM requests a WHERE a.key = o.key AND a.ts >= o.at + INTERVAL {seconds} SECOND)
+          FROM opened o WHERE o.at IS NOT NULL),
+        placed AS (SELECT o.key, row_number() OVER (PARTITION BY o.key, o.at ORDER BY a.ts) <= {limit} AS allowed
+          FROM opened o JOIN requests a ON a.key = o.key AND a.ts >= o.at AND a.ts < o.at + INTERVAL {seconds} SECOND)
+        SELECT key, allowed, count(*) AS requests FROM placed GROUP BY key, allowed""", "requests", recursive=True)
+
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-@check("stream_rate_window")
+@check("stream_rate_window", _rate_sql(3600, 2))
 def stream_rate_window(spark, sf):
     folder, setting = _scratch(spark), "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(setting)

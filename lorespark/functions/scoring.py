@@ -5,6 +5,8 @@ Fixed values: the field weights and caps of the keyword, structure and rerank sc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,18 +21,21 @@ def _points(hit: Column, points: float) -> Column:
     return F.when(hit, F.lit(points)).otherwise(F.lit(type(points)(0)))
 
 
+def _sum_over(items: Column, points: Callable[[Column], Column], zero: Column) -> Column:
+    return F.aggregate(items, zero, lambda total, item: total + points(item))
+
+
 def keyword_score(
     terms: Column, title: Column, path: Column, entities: Column, content: Column
 ) -> Column:
     """Field hits plus capped occurrence counts; all texts already lower case."""
-    return F.aggregate(
+    return _sum_over(
         terms,
-        F.lit(0.0),
-        lambda acc, t: acc
-        + _points(F.contains(title, t), KEYWORD_TITLE)
+        lambda t: _points(F.contains(title, t), KEYWORD_TITLE)
         + _points(F.contains(path, t), KEYWORD_PATH)
         + _points(F.contains(entities, t), KEYWORD_ENTITY)
         + F.least(substring_count(content, t), F.lit(KEYWORD_COUNT_CAP)).cast("double"),
+        F.lit(0.0),
     )
 
 
@@ -64,14 +69,13 @@ def normalize_score(channel: Column, raw: Column) -> Column:
 def rerank_score(
     tokens: Column, title: Column, path: Column, entities: Column, content: Column
 ) -> Column:
-    boost = F.aggregate(
+    boost = _sum_over(
         tokens,
-        F.lit(0),
-        lambda acc, t: acc
-        + _points(F.contains(title, t), RERANK_TITLE)
+        lambda t: _points(F.contains(title, t), RERANK_TITLE)
         + _points(F.contains(path, t), RERANK_PATH)
         + _points(F.contains(entities, t), RERANK_ENTITY)
         + _points(F.contains(content, t), RERANK_CONTENT),
+        F.lit(0),
     )
     return F.least(boost, F.lit(RERANK_CAP)) / F.lit(100.0)
 

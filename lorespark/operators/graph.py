@@ -294,12 +294,13 @@ def graph_expand(
         .drop("_rn", "path", "tags", "filter_path", "filter_tags")
     )
     relevance = scoring.keyword_score(
-        text.keyword_terms(F.col("text")), F.col("title_lc"), F.col("path_lc"),
+        F.col("terms"), F.col("title_lc"), F.col("path_lc"),
         F.col("entities_lc"), F.lower("content"),
     )
+    terms = asked.select("query_id", text.keyword_terms(F.col("text")).alias("terms"))
     with_text = (
         top.join(lower_fields(catalog).drop("path", "tags"), "doc_id")
-        .join(asked.select("query_id", "text"), "query_id")
+        .join(terms, "query_id")
         .join(chunks.select(*CHUNK_KEY, "content"), "doc_id")
         .withColumn("_relevance", relevance)
     )

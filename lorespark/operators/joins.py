@@ -94,11 +94,18 @@ def containment_join(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     tables ``needle`` and ``hay``; equal texts are compared once.
     """
     hays = haystacks.filter(F.col("hay") != "").distinct()
-    hay_grams = hays.select("hay", F.explode(_all_grams(F.col("hay"))).alias("gram"))
-    frequency = hay_grams.groupBy("gram").agg(F.count("*").alias("df"))
-    needle_grams = needles.filter(F.col("needle") != "").distinct().select(
-        "needle", F.explode(_longest_grams(F.col("needle"))).alias("gram")
+    needle_grams = materialize(
+        needles.filter(F.col("needle") != "").distinct().select(
+            "needle", F.explode(_longest_grams(F.col("needle"))).alias("gram")
+        )
+    )
+    # Grams that no needle has are dropped before anything is counted or shuffled.
+    hay_grams = materialize(
+        hays.select("hay", F.explode(_all_grams(F.col("hay"))).alias("gram")).join(
+            needle_grams.select("gram").distinct(), "gram", "left_semi"
+        )
     )
+    frequency = hay_grams.groupBy("gram").agg(F.count("*").alias("df"))
     keyed = (
         needle_grams.join(frequency, "gram", "left")
         .groupBy("needle")

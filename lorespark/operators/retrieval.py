@@ -85,24 +85,30 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.keyword_terms(F.col("text"))).alias("term"))
 
 
+def _term_hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Distinct (query, chunk) whose postings hold one of the query's terms."""
+    hits = salted_join(postings, terms, ["term"], spread=CHUNK_KEY)
+    return hits.select("query_id", *CHUNK_KEY).distinct()
+
+
 def keyword_recall(queries: DataFrame, postings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Distinct (query, chunk) that share a term and pass the query's filters."""
-    hits = salted_join(postings, query_terms(queries), ["term"], spread=CHUNK_KEY)
-    keys = hits.select("query_id", *CHUNK_KEY).distinct()
-    filters = queries.select("query_id", "filter_path", "filter_tags")
-    docs = catalog.select("doc_id", "path", "tags")
     return (
-        keys.join(filters, "query_id").join(docs, "doc_id")
+        _term_hits(query_terms(queries), postings)
+        .join(queries.select("query_id", "filter_path", "filter_tags"), "query_id")
+        .join(catalog.select("doc_id", "path", "tags"), "doc_id")
         .filter(matches_filters())
         .select("query_id", *CHUNK_KEY)
     )
 
 
 def _score_keywords(
-    recalled: DataFrame, queries: DataFrame, catalog: DataFrame, chunks: DataFrame
+    hits: DataFrame, queries: DataFrame, catalog: DataFrame, chunks: DataFrame
 ) -> DataFrame:
-    terms = queries.select(
-        "query_id", "top_k", text.keyword_terms(F.col("text")).alias("terms")
+    """Keyword scores of the hits that pass their query's filters."""
+    asked = queries.select(
+        "query_id", "top_k", "filter_path", "filter_tags",
+        text.keyword_terms(F.col("text")).alias("terms"),
     )
     lowered = chunks.select(*CHUNK_KEY, F.lower("content").alias("content_lc"))
     score = scoring.keyword_score(
@@ -110,23 +116,26 @@ def _score_keywords(
         F.col("content_lc"),
     )
     return (
-        recalled.join(lower_fields(catalog).drop("path", "tags"), "doc_id")
+        hits.join(asked, "query_id")
+        .join(lower_fields(catalog), "doc_id")
+        .filter(matches_filters())
         .join(lowered, CHUNK_KEY)
-        .join(terms, "query_id")
         .select("query_id", *CHUNK_KEY, "top_k", score.alias("raw_score"))
-        .filter("raw_score > 0")
     )
 
 
 def _as_candidates(scored: DataFrame, channel: str) -> DataFrame:
-    return top_per_query(scored, "raw_score").withColumn("channel", F.lit(channel)).select(*CANDIDATE)
+    # Zero scores rank last, so dropping them after the ranking gives the same rows and
+    # spares evaluating the score once more for a filter below it.
+    best = top_per_query(scored, "raw_score").filter("raw_score > 0")
+    return best.withColumn("channel", F.lit(channel)).select(*CANDIDATE)
 
 
 def keyword_channel(
     queries: DataFrame, postings: DataFrame, catalog: DataFrame, chunks: DataFrame
 ) -> DataFrame:
-    recalled = keyword_recall(queries, postings, catalog)
-    return _as_candidates(_score_keywords(recalled, queries, catalog, chunks), "keyword")
+    hits = _term_hits(query_terms(queries), postings)
+    return _as_candidates(_score_keywords(hits, queries, catalog, chunks), "keyword")
 
 
 def keyword_scan_channel(
@@ -146,18 +155,8 @@ def keyword_scan_channel(
         .select("query_id", F.col("hay").alias("term"))
         .distinct()
     )
-    keys = (
-        salted_join(postings, wide, ["term"], spread=CHUNK_KEY)
-        .select("query_id", *CHUNK_KEY)
-        .distinct()
-    )
-    allowed = (
-        keys.join(queries.select("query_id", "filter_path", "filter_tags"), "query_id")
-        .join(catalog.select("doc_id", "path", "tags"), "doc_id")
-        .filter(matches_filters())
-        .select("query_id", *CHUNK_KEY)
-    )
-    return _as_candidates(_score_keywords(allowed, queries, catalog, chunks), "keyword")
+    hits = _term_hits(wide, postings)
+    return _as_candidates(_score_keywords(hits, queries, catalog, chunks), "keyword")
 
 
 def structure_matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ class _RateWindow(StatefulProcessor):
         fields = [StructField("opened", LongType()), StructField("count", LongType())]
         self.window = handle.getValueState("window", StructType(fields))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Requests count in time order within a batch; memory is bounded by the batch.
         frame = pd.concat(list(rows)).sort_values("ts", ignore_index=True)
         times = frame["ts"].astype("datetime64[us]").astype("int64").to_numpy()
@@ -152,7 +152,7 @@ class _RateWindow(StatefulProcessor):
             "allowed": [c <= self.limit for c in counts],
         })
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.window.clear()
         return iter(())
 
