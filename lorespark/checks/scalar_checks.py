@@ -102,7 +102,16 @@ def sliding_chunks(spark, sf):
     ).withColumn("position", F.col("position").cast("long"))
 
 
-@check("list_spacing")
+# Line by line, since the engine's patterns know no look-ahead.
+_SPACED = r"""
+    SELECT doc_id, string_agg(line || CASE WHEN regexp_matches(line, '^[^#>\[]') AND NOT regexp_matches(line, '^[ \t]*[-*+](\s|$)')
+        AND regexp_matches(below, '^(\d+\.\s|[-*+]\s)') THEN chr(10) ELSE '' END, chr(10) ORDER BY pos) AS spaced
+    FROM (SELECT doc_id, pos, lines[pos] AS line, coalesce(lines[pos + 1] || chr(10), '') AS below FROM (
+      SELECT doc_id, list_transform(string_split(text, chr(10)), lambda ln, ix: CASE WHEN ix % 2 = 0 THEN '- ' || ln ELSE ln END) AS lines
+      FROM documents), LATERAL unnest(range(1, len(lines) + 1)) AS u(pos)) GROUP BY doc_id"""
+
+
+@check("list_spacing", _SPACED)
 def list_spacing(spark, sf):
     """Document lines, every second turned into a list item."""
     lined = F.array_join(F.transform(F.split("text", "\n"), lambda l, i: F.when(

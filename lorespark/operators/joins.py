@@ -50,6 +50,23 @@ def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
 
 
+def spread_row_number(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """Row number per key by a text column, without sorting a crowded key in one task.
+
+    Rows are numbered within the first two characters of ``order``; the rows before each
+    such bucket are counted from a pre-aggregation. ``order`` must be unique per key.
+    """
+    bucketed = df.withColumn("_b", F.substring(order, 1, 2))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = bucketed.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).select(
+        *keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")
+    )
+    own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order))
+    return bucketed.withColumn("_own", own).join(starts, [*keys, "_b"]).withColumn(
+        name, F.col("_own") + F.col("_before")
+    ).drop("_b", "_own", "_before")
+
+
 def top_per_query(df: DataFrame, score: str, rank: str = "rank") -> DataFrame:
     """Best ``top_k`` rows of every query; ties by doc_id, then chunk_index.
 

@@ -157,7 +157,8 @@ def _assign_cells(units: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def semantic_pairs(
-    vectors: DataFrame, threshold: float, pivots: int = 64, block_rows: int = 4096
+    vectors: DataFrame, threshold: float, pivots: int = 64, block_rows: int = 4096,
+    copies: str = "pairs",
 ) -> DataFrame:
     """All document pairs whose cosine reaches ``threshold`` (> 0), exactly.
 
@@ -165,7 +166,13 @@ def semantic_pairs(
     of pivots; by the triangle inequality on angles, two cells whose pivots are further
     apart than their radii plus the threshold angle cannot hold a pair and are never
     brought together. Large cells are cut into blocks, so a crowded cell is many tiles.
+
+    ``copies`` says how documents with equal vectors appear: "pairs" lists every pair,
+    which is the whole result; "star" links each copy to its first document only and
+    keeps the result linear in the number of copies, like the graph's large groups.
     """
+    if copies not in ("pairs", "star"):
+        raise ValueError(f"unknown treatment of copies: {copies}")
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     usable = vectors.filter(F.exists("embedding", lambda x: x != 0)).select("doc_id", "embedding")
@@ -176,7 +183,9 @@ def semantic_pairs(
     )
     units = materialize(distinct.select(F.col("rep").alias("doc_id"), "embedding"))
 
-    chosen = units.orderBy(F.xxhash64("doc_id"), "doc_id").limit(pivots).toPandas()
+    # Few vectors need few cells: every cell pair is a tile.
+    wanted = min(pivots, max(1, units.count() // block_rows))
+    chosen = units.orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).toPandas()
     if chosen.empty:
         return members.select(
             F.col("doc_id").alias("source"), F.col("doc_id").alias("target"),
@@ -244,6 +253,14 @@ def semantic_pairs(
     found = sides.groupBy("a", "x", "b", "y").applyInPandas(
         tile, "source string, target string, similarity double"
     )
+    if copies == "star":
+        links = members.filter("rep <> doc_id").select(
+            F.col("rep").alias("source"), F.col("doc_id").alias("target"), F.lit(1.0).alias("similarity")
+        )
+        return found.select(
+            F.least("source", "target").alias("source"),
+            F.greatest("source", "target").alias("target"), "similarity",
+        ).union(links)
     return _expand_copies(found, members)
 
 
@@ -251,10 +268,11 @@ def _expand_copies(found: DataFrame, members: DataFrame) -> DataFrame:
     """Replace representatives by all documents that share their vector."""
     ones = members.select(F.col("rep").alias("source"), F.col("doc_id").alias("one"))
     twos = members.select(F.col("rep").alias("target"), F.col("doc_id").alias("two"))
-    crossed = found.join(ones, "source").join(twos, "target").select("one", "two", "similarity")
-    copies = (
-        members.filter("rep <> doc_id").select("rep").distinct()
-        .join(members, "rep").select("rep", F.col("doc_id").alias("one"))
+    half = salted_join(ones, found, ["source"], spread=["one"])
+    crossed = salted_join(twos, half, ["target"], spread=["two"]).select("one", "two", "similarity")
+    crowded = members.filter("rep <> doc_id").select("rep").distinct()
+    copies = salted_join(members, crowded, ["rep"], spread=["doc_id"]).select(
+        "rep", F.col("doc_id").alias("one")
     )
     same = salted_join(
         copies, copies.select("rep", F.col("one").alias("two")), ["rep"], spread=["one"]

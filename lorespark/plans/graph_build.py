@@ -18,16 +18,20 @@ class RelationGraph:
 
 
 def build_graph(
-    catalog: DataFrame, vectors: DataFrame | None = None, semantic_threshold: float = 0.0
+    catalog: DataFrame, vectors: DataFrame | None = None, semantic_threshold: float = 0.0,
+    copies: str = "pairs",
 ) -> RelationGraph:
-    """Nodes and edges; a positive threshold adds semantic edges."""
+    """Nodes and edges; a positive threshold adds semantic edges.
+
+    ``copies`` is how :func:`semantic_pairs` treats documents with equal vectors.
+    """
     mentions = materialize(graph.entity_mentions(catalog))
     similar = None
     if vectors is not None and semantic_threshold > 0:
         first = vectors.filter("chunk_index = 0").join(
             catalog.select("doc_id"), "doc_id", "left_semi"
         )
-        similar = semantic_pairs(first, semantic_threshold)
+        similar = semantic_pairs(first, semantic_threshold, copies=copies)
     return RelationGraph(
         nodes=graph.graph_nodes(catalog, mentions),
         edges=graph.graph_edges(catalog, mentions, similar),

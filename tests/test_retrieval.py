@@ -161,6 +161,17 @@ def test_semantic_pairs_with_copies_and_crowded_cells(spark):
     for pivots, rows in ((64, 4096), (4, 3), (1, 7)):
         got = vectors.semantic_pairs(table, 0.6, pivots=pivots, block_rows=rows).collect()
         assert len(got) == len(want) and {(r.source, r.target) for r in got} == want
+    star = {(r.source, r.target) for r in vectors.semantic_pairs(table, 0.6, copies="star").collect()}
+    crowd = {f"d{i:03}" for i in range(4, 12)}
+    assert {p for p in star if set(p) <= crowd} == {("d004", f"d{i:03}") for i in range(5, 12)}
+    assert {p for p in star if not set(p) & crowd} == {p for p in want if not set(p) & crowd}
+
+
+def test_spread_row_number(spark):
+    rows = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").cast("string").alias("d"))
+    got = {(r.k, r.d): r.n for r in joins.spread_row_number(rows, ["k"], "d", "n").collect()}
+    want = {(k, d): n for k in (0, 1) for n, d in enumerate(sorted(str(i) for i in range(300) if i % 2 == k), 1)}
+    assert got == want
 
 
 # ---------------------------------------------------------------------------------- graph
