@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import metadata, scoring, text
-from lorespark.operators.joins import first_per, materialize, salted_join
+from lorespark.operators.joins import MAX_TOP_K, first_per, materialize, salted_join
 from lorespark.operators.retrieval import CHUNK_KEY, lower_fields, matches_filters
 
 # Group size up to which all pairs are linked, relation weights, and the
@@ -207,27 +207,47 @@ def seed_docs(hits: DataFrame, seed_count: int = 3) -> DataFrame:
     )
 
 
-def graph_reach(
-    seeds: DataFrame, adj: DataFrame, max_hops: int = 2, max_results: int = 3
-) -> DataFrame:
+def best_links(adj: DataFrame) -> DataFrame:
+    """One link per pair of nodes: the strongest, by relation name when equal."""
+    best = F.min(F.struct((-F.col("weight")).alias("w"), "relation")).alias("best")
+    return adj.groupBy("node", "next").agg(best).select(
+        "node", "next", (-F.col("best.w")).alias("weight"), F.col("best.relation").alias("relation")
+    )
+
+
+def strongest_links(links: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` links of every node by weight, then by target.
+
+    Cut per task before the shuffle, so a hub never has to be gathered.
+    """
+    window = Window.partitionBy("node").orderBy(F.col("weight").desc(), "next")
+    ranked = links.withColumn("_rn", F.row_number().over(window))
+    return ranked.filter(F.col("_rn") <= limit).drop("_rn")
+
+
+def frontier_size(max_results: int) -> int:
+    return max(50, 20 * max_results)
+
+
+def graph_reach(seeds: DataFrame, hops: list[DataFrame], max_results: int = 3) -> DataFrame:
     """Nodes reached from the seeds along the strongest paths.
 
-    Path weight is the product of edge weights, damped on every hop after the first. A
-    node counts again on a later hop only when its path got stronger for that seed; the
-    frontier of a seed keeps its strongest max(50, 20 x max_results) nodes.
+    ``hops`` holds the links to follow on each hop. Path weight is the product of link
+    weights, damped on every hop after the first. A node counts again on a later hop only
+    when its path got stronger for that seed; the frontier of a seed keeps its strongest
+    nodes.
     """
-    frontier_size = max(50, 20 * max_results)
     frontier = seeds.select(
         "query_id", "seed_id", "seed_rank", "seed_score", F.col("seed_id").alias("node"),
         F.lit(1.0).alias("path_weight"), text.empty_strings().alias("relations"),
     )
     own_seeds = seeds.select("query_id", F.col("seed_id").alias("next"))
     reached: DataFrame | None = None
-    for hop in range(1, min(max(1, max_hops), 3) + 1):
+    for hop, links in enumerate(hops, start=1):
         combined = F.col("path_weight") * F.col("weight")
         combined = combined if hop == 1 else combined * HOP_DECAY
         step = (
-            salted_join(adj, frontier, ["node"], spread=["next"])
+            salted_join(links, frontier, ["node"], spread=["next"])
             .join(own_seeds, ["query_id", "next"], "left_anti")
             .select(
                 "query_id", "seed_id", "seed_rank", "seed_score", F.col("next").alias("node"),
@@ -254,11 +274,33 @@ def graph_reach(
         window = Window.partitionBy("query_id", "seed_id").orderBy(F.col("path_weight").desc(), "node")
         frontier = (
             step.withColumn("_rn", F.row_number().over(window))
-            .filter(F.col("_rn") <= frontier_size).drop("_rn", "hop")
+            .filter(F.col("_rn") <= frontier_size(max_results)).drop("_rn", "hop")
         )
     return reached
 
 
+def _needed_links(
+    links: DataFrame, returnable: DataFrame, max_hops: int, max_results: int, seed_count: int
+) -> list[DataFrame]:
+    """Per hop the links that can matter for queries without filters.
+
+    On the last hop a node can only contribute results. Of its links to returnable
+    documents, ordered like the results, those after the first max_results + seeds + hits
+    cannot be among the results: at most seeds and hits of the ones before are left out.
+    The first hop of two also feeds the frontier, for which the strongest links count.
+    With three hops the inner hops keep all links, because what they reach decides what
+    later hops may reach again.
+    """
+    to_documents = links.join(returnable.select(F.col("doc_id").alias("next")), "next", "left_semi")
+    last = materialize(strongest_links(to_documents, max_results + seed_count + MAX_TOP_K))
+    if max_hops == 1:
+        return [last]
+    if max_hops == 2:
+        inner = strongest_links(links, frontier_size(max_results) + seed_count)
+        return [materialize(inner.unionByName(last.select(*inner.columns)).distinct()), last]
+    return [links] * (max_hops - 1) + [last]
+
+
 def graph_expand(
     hits: DataFrame, queries: DataFrame, adj: DataFrame, catalog: DataFrame, chunks: DataFrame,
     *, weight: float = 0.35, max_hops: int = 2, max_results: int = 3, seed_count: int = 3,
@@ -270,7 +312,17 @@ def graph_expand(
     the document.
     """
     seeds = materialize(seed_docs(hits, seed_count))
-    reached = graph_reach(seeds, adj, max_hops, max_results)
+    hop_count = min(max(1, max_hops), 3)
+    links = materialize(best_links(adj))
+    returnable = catalog.select("doc_id").join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
+    has_filter = (F.col("filter_path") != "") | (F.size("filter_tags") > 0)
+    restricted = queries.filter(has_filter).select("query_id")
+    needed = _needed_links(links, returnable, hop_count, max_results, seed_count)
+    reached = graph_reach(seeds.join(restricted, "query_id", "left_anti"), needed, max_results)
+    if restricted.limit(1).count():
+        # A filter may leave out any number of documents, so all links are followed.
+        filtered_seeds = seeds.join(restricted, "query_id", "left_semi")
+        reached = reached.unionByName(graph_reach(filtered_seeds, [links] * hop_count, max_results))
     scored = reached.withColumn(
         "raw_score", F.least(F.col("seed_score") * F.col("path_weight") * weight, F.lit(1.0))
     ).withColumnRenamed("node", "doc_id").filter("raw_score > 0")
@@ -280,12 +332,11 @@ def graph_expand(
         F.col("raw_score").desc(), F.col("seed_rank"), F.col("hop"),
     )
     asked = queries.select("query_id", "text", "filter_path", "filter_tags")
-    with_chunks = chunks.select("doc_id").distinct()
     allowed = (
         best.join(catalog.select("doc_id", "path", "tags"), "doc_id")
         .join(asked.select("query_id", "filter_path", "filter_tags"), "query_id")
         .filter(matches_filters())
-        .join(with_chunks, "doc_id", "left_semi")
+        .join(returnable, "doc_id", "left_semi")
     )
     window = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), "doc_id")
     top = (
