@@ -411,7 +411,8 @@ def restore_version(spark, sf):
     return done.select("doc_id", "version_id", "new_path", "action")
 
 
-@check("version_append")
+@check("version_append", fx.select("""
+    SELECT doc_id, title, path, 'before_delete' AS reason, 'admin' AS created_by, true AS named FROM catalog""", "catalog"))
 def version_append(spark, sf):
     """Snapshots of all documents, as they would be appended before a delete."""
     docs = fx.catalog(spark, sf).join(fx.sources(spark, sf).select("doc_id", "content"), "doc_id")

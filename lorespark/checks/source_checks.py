@@ -206,15 +206,17 @@ def audit_scan(spark, sf):
     return tables.read_audit(spark, folder).select("id", "action", "actor", "success", F.col("detail")["k"].alias("k"))
 
 
-@check("audit_append")
+@check("audit_append", f"""
+    SELECT {fx.stamp('ts')} AS "timestamp", 'system' AS actor_type, CAST(user_id AS VARCHAR) AS actor, event_type AS action,
+      true AS success, CAST(38 AS BIGINT) AS id_length FROM events""")
 def audit_append(spark, sf):
     """Bare events completed, appended by day and read back."""
     folder = _scratch(spark)
     bare = fx.table(spark, sf, "events").select(
         F.col("event_type").alias("action"), F.col("ts").alias("timestamp"), F.col("user_id").cast("string").alias("actor"))
     tables.append_audit(bare, folder)
-    return tables.read_audit(spark, folder).select(
-        "timestamp", "actor_type", "actor", "action", "success", F.length("id").alias("id_length"))
+    return stamped(tables.read_audit(spark, folder), "timestamp").select(
+        "timestamp", "actor_type", "actor", "action", "success", F.length("id").cast("long").alias("id_length"))
 
 
 @check("audit_page", f"""
@@ -226,14 +228,16 @@ def audit_page(spark, sf):
         "id", "timestamp", "action", "total")
 
 
-@check("graph_sink")
+@check("graph_sink", fx.select(
+    "SELECT relation, CAST(1 AS BIGINT) AS version, count(*) AS edges FROM edges GROUP BY relation", "edges"))
 def graph_sink(spark, sf):
     """The relation graph written, and its edges read back per relation."""
     from lorespark.checks.graph_checks import relation_graph
 
     folder, built = _scratch(spark), relation_graph(spark, sf)
     tables.write_graph(built.nodes, built.edges, folder)
-    return spark.read.parquet(f"{folder}/edges").groupBy("relation", "version").agg(F.count("*").alias("edges"))
+    return spark.read.parquet(f"{folder}/edges").groupBy(
+        "relation", F.col("version").cast("long").alias("version")).agg(F.count("*").alias("edges"))
 
 
 # ------------------------------------------------------------------------------- ingest
@@ -306,7 +310,9 @@ def reindex(spark, sf):
         "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "content", F.array_join("tags", ",").alias("tags"))
 
 
-@check("embed_chunks")
+@check("embed_chunks", fx.select("""
+    SELECT doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, CAST(64 AS BIGINT) AS dims,
+      CASE WHEN trim(content) = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS norm FROM chunks""", "chunks"))
 def embed_chunks(spark, sf):
     """Every line embedded; the first provider always fails over to the second."""
     def broken(texts):
@@ -315,7 +321,9 @@ def embed_chunks(spark, sf):
     chunks = fx.chunks(spark, sf).select("doc_id", "chunk_index", "content")
     done = embedding.embed_chunks(chunks, broken, embedding.hashed_terms)
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return done.select("doc_id", "chunk_index", F.size("embedding").alias("dims"), F.round(norm, 6).alias("norm"))
+    return done.select(
+        "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"),
+        F.size("embedding").cast("long").alias("dims"), F.round(norm, 6).alias("norm"))
 
 
 # -------------------------------------------------------------------------------- usage
