@@ -65,7 +65,7 @@ def test_scores(spark):
             F.lit(query), F.lit("doc-1"), F.lit("alpha manual"), F.lit("guides"),
             F.array(*map(F.lit, entities)).cast("array<string>")))
 
-    assert structure("mcp gateway deployment", ["mcp gateway"]) == 6.0
+    assert structure("data portal deployment", ["data portal"]) == 6.0
     assert structure("doc-1", []) == 10.0
     assert structure("alpha manual", []) == 8.0
     assert structure("alpha", ["alpha"]) == 5.0  # the title shadows the entity
@@ -82,8 +82,8 @@ def test_scores(spark):
 
 
 def test_metadata_values_are_identified_by_key(spark):
-    raw = F.array(F.lit("MCP Gateway, mcp-gateway"), F.lit("ＭＣＰ_ＧＡＴＥＷＡＹ；Ｒｅｄｉｓ"), F.lit("###"), F.lit("**x**"))
-    assert value(spark, metadata.normalize_values(raw)) == ["MCP Gateway", "Redis", "x"]
+    raw = F.array(F.lit("Data Portal, data-portal"), F.lit("ＤＡＴＡ_ＰＯＲＴＡＬ；Ｒｅｄｉｓ"), F.lit("###"), F.lit("**x**"))
+    assert value(spark, metadata.normalize_values(raw)) == ["Data Portal", "Redis", "x"]
     many = F.array(*[F.lit(f"v{i}") for i in range(50)])
     assert len(value(spark, metadata.normalize_values(many))) == 32
     assert value(spark, metadata.normalize_values(F.array(F.lit("y" * 121)))) == []
@@ -93,11 +93,11 @@ def test_metadata_values_are_identified_by_key(spark):
 
 def test_header_metadata(spark):
     doc = (
-        "# Guide\r\n> **标签**：部署、内部服务， API；运维\r\n> Core Entities: MCP Gateway, Chroma、Redis|Ollama\n"
+        "# Guide\r\n> **标签**：部署、内部服务， API；运维\r\n> Core Entities: Data Portal, Lucene、Redis|Kafka\n"
         "- Tags: ignored\nTAGS ： api\n## Section\nTags: late")
     df = spark.createDataFrame([(doc,), ("```\nTags: a\n",), ("",)], "content string")
     got = [(r.header_tags, r.header_entities) for r in metadata.with_header(df).collect()]
-    assert got[0] == (["部署", "内部服务", "API", "运维"], ["MCP Gateway", "Chroma", "Redis", "Ollama"])
+    assert got[0] == (["部署", "内部服务", "API", "运维"], ["Data Portal", "Lucene", "Redis", "Kafka"])
     assert got[1:] == [([], []), ([], [])]
 
 

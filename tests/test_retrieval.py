@@ -24,7 +24,7 @@ def catalog(spark, *rows):
 
 def small_corpus(spark):
     cat = catalog(
-        spark, ("doc-1", "Alpha Manual", "guides", ["ops"], ["MCP Gateway"]),
+        spark, ("doc-1", "Alpha Manual", "guides", ["ops"], ["Data Portal"]),
         ("doc-2", "Beta Reference", "refs", ["dev", "api"], []), ("doc-3", "内部知识库管理平台", "refs", [], []))
     chk = spark.createDataFrame(
         [("doc-1", 0, 2, "deploy the gateway"), ("doc-1", 1, 2, "rollback steps"), ("doc-2", 0, 1, "alpha and beta"),
@@ -64,7 +64,7 @@ def test_scan_channel_finds_terms_inside_tokens(spark):
 
 def test_structure_channel(spark):
     cat, chk = small_corpus(spark)
-    asked = queries(spark, ("MCP Gateway deployment", [], ""), ("doc-2", [], ""), ("", ["api"], ""), ("", [], "guides"), ("", [], ""))
+    asked = queries(spark, ("Data Portal deployment", [], ""), ("doc-2", [], ""), ("", ["api"], ""), ("", [], "guides"), ("", [], ""))
     assert hits(rt.structure_channel(asked, cat, chk)) == {
         (0, "doc-1", 0): 6.0, (1, "doc-2", 0): 10.0, (2, "doc-2", 0): 1.0, (3, "doc-1", 0): 1.0}
 
@@ -183,12 +183,12 @@ def edges_of(spark, *docs):
 
 
 def test_edge_weights(spark):
-    built, edges = edges_of(spark, ("a", "A", "x", ["t1", "t2"], ["MCP Gateway"]), ("b", "B", "x", ["t1", "t2"], ["mcp-gateway"]))
+    built, edges = edges_of(spark, ("a", "A", "x", ["t1", "t2"], ["Data Portal"]), ("b", "B", "x", ["t1", "t2"], ["data-portal"]))
     assert edges[("a", "b", "co_tag")] == 0.55
     assert edges[("a", "b", "same_directory")] == 0.35
     assert edges[("a", "b", "co_entity")] == 0.65
     entity = built.nodes.filter("file_type = 'entity'").collect()
-    assert [(n.label, n.document_count) for n in entity] == [("MCP Gateway", 2)]
+    assert [(n.label, n.document_count) for n in entity] == [("Data Portal", 2)]
     assert edges[("a", entity[0].id, "declares_core_entity")] == 0.85
 
 
@@ -253,7 +253,7 @@ def test_components_against_brute_force(spark):
 def test_hybrid_search_without_vectors_or_graph(spark):
     cat, chk = small_corpus(spark)
     corpus = Corpus(cat, chk, rt.build_postings(cat, chk))
-    rows = hybrid_search(queries(spark, ("mcp gateway", [], "")), corpus).orderBy("rank").collect()
+    rows = hybrid_search(queries(spark, ("data portal", [], "")), corpus).orderBy("rank").collect()
     assert rows[0].doc_id == "doc-1" and rows[0].context_after == "rollback steps"
     assert rows[0].citation == "guides:Alpha Manual#chunk-0"
     assert {r.channel for r in rows} <= {"keyword", "structure", "keyword+neighbor", "structure+neighbor"}
