@@ -13,6 +13,7 @@ from lorespark.operators import catalog as cg
 from lorespark.operators import filters, stats
 from lorespark.plans import ingest
 from lorespark.sources import files, tables
+from lorespark.session import shared_folder
 
 
 # ------------------------------------------------------------------------------ listing
@@ -186,12 +187,7 @@ def snapshot_merge_overwrite(spark, sf):
 
 
 def _scratch(spark) -> str:
-    from uuid import uuid4
-
-    from lorespark.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/files-{uuid4().hex}"
+    return f"{shared_folder(spark, 'files')}/out"
 
 
 @check("audit_scan", """

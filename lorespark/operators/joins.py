@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.session import ensure_checkpoint_dir
+from lorespark.session import shared_folder
 
 SALTS = 16
 # Fixed value: the largest number of results one search request may ask for.
@@ -35,11 +33,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and read it back.
 
     Used where one result feeds several branches: it is computed once, survives the loss
-    of executors, and gives the optimizer a measured size to choose joins by.
+    of executors, and gives the optimizer a measured size to choose joins by. The folder is
+    removed when the driver ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    target = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    target = f"{shared_folder(spark, 'table')}/rows"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
 

@@ -7,7 +7,9 @@ requires these settings, they only make local runs deterministic (UTC) and small
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,15 +33,30 @@ def local_session(cpus: int | str = 8, app: str = "lorespark") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point checkpoints at the folder the cluster names; pick one only when unset."""
+    """Point checkpoints at the folder the cluster names.
+
+    Only a session whose driver and executors are one process may go without the setting;
+    anything else must name a folder that all machines share.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if named is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and sc.master.startswith("local"):
+    if named is None and re.fullmatch(r"local(\[.*\])?", sc.master):
         named = tempfile.mkdtemp(prefix="lorespark-checkpoint-")
     if named is None:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     sc.setCheckpointDir(named)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of the shared checkpoint folder; it goes when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    target = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return target
