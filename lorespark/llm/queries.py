@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import warc
+from lorespark.llm import lines, shards, token_store, warc
 from lorespark.llm.common import table
 from lorespark.session import shared_folder
 
@@ -40,3 +40,45 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write_index(captures, folder)
     found = warc.lookup(captures.select("key"), index, folder, with_payload=False)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op2_shards")
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents into 24 shards of nearly equal bytes, equal texts together."""
+    placed = shards.assign_shards(table(spark, sf_dir, "documents"), 24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op3_line_dedup", f"""
+    WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents),
+    page AS (SELECT DISTINCT source, text, parts FROM d WHERE text IS NOT NULL),
+    total AS (SELECT source, count(*) AS pages FROM page GROUP BY ALL),
+    line AS (SELECT source, line, count(*) AS containing FROM (
+      SELECT source, unnest(list_distinct(parts)) AS line FROM page) WHERE trim(line) <> '' GROUP BY ALL),
+    gone AS (SELECT l.source, list(line) AS gone FROM line l JOIN total t
+      ON l.source IS NOT DISTINCT FROM t.source
+      WHERE pages >= {lines.LEAST_PAGES} AND containing > {lines.RATIO} * pages GROUP BY ALL),
+    kept AS (SELECT doc_id, d.source, text, parts,
+      list_filter(parts, lambda x: trim(x) = '' OR NOT list_contains(coalesce(gone, []), x)) AS kept
+      FROM d LEFT JOIN gone g ON d.source IS NOT DISTINCT FROM g.source)
+    SELECT doc_id, source, array_to_string(kept, chr(10)) AS text,
+      coalesce(len(parts), 0) AS n_lines, coalesce(len(parts), 0) - coalesce(len(kept), 0) AS n_dropped
+    FROM kept""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source."""
+    docs = table(spark, sf_dir, "documents")
+    return lines.drop_boilerplate(docs, counts=True).select(
+        "doc_id", "source", "text", "n_lines", "n_dropped")
+
+
+@query("op1_token_ids")
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded, written in ascending order of ids, and read back."""
+    import public_tokenizers
+
+    folder = shared_folder(spark, "tokens")
+    token_store.write_tokens(
+        table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_store.read_tokens(spark, folder)
