@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import lines, shards, token_store, warc
-from lorespark.llm.common import table
+from lorespark.llm import decontaminate, lines, shards, simhash, token_store, warc
+from lorespark.llm.common import LOWER, UPPER, table
 from lorespark.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,32 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_store.write_tokens(
         table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_tokens(spark, folder)
+
+
+@query("op8_decontamination", f"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws
+      FROM documents WHERE text IS NOT NULL),
+    i AS (SELECT item_id, regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws
+      FROM benchmark),
+    s AS (SELECT DISTINCT item_id, least(len(ws), 5) AS width,
+      unnest(list_transform(range(0, len(ws) - least(len(ws), 5) + 1),
+        lambda k: array_to_string(ws[k + 1:k + least(len(ws), 5)], ' '))) AS sh FROM i WHERE len(ws) > 0),
+    n AS (SELECT item_id, count(*) AS item_shingles FROM s GROUP BY ALL),
+    g AS (SELECT DISTINCT width FROM s),
+    d AS (SELECT doc_id, width, unnest(list_transform(range(0, greatest(len(ws) - width + 1, 0)),
+        lambda k: array_to_string(ws[k + 1:k + width], ' '))) AS sh FROM w, g),
+    m AS (SELECT doc_id, item_id, count(DISTINCT d.sh) AS matched FROM d JOIN s USING (width, sh) GROUP BY ALL)
+    SELECT doc_id, item_id, matched, item_shingles, matched::DOUBLE / item_shingles AS containment
+    FROM m JOIN n USING (item_id) WHERE matched * 10 >= item_shingles * 8""")
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents against all benchmark items."""
+    return decontaminate.contained_items(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op9_simhash")
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    placed = simhash.near_components(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
