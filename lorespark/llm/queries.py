@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, lines, shards, simhash, token_store, warc
+from lorespark.llm import decontaminate, lines, shards, simhash, token_store, toxicity, warc
 from lorespark.llm.common import LOWER, UPPER, table
 from lorespark.session import shared_folder
 
@@ -111,3 +111,14 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = simhash.near_components(table(spark, sf_dir, "documents"))
     return placed.select(
         "doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by its nearest labelled examples."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", (~toxicity.training(F.col("doc_id"))).alias("held_out"), "score",
+        F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0).alias("predicted"),
+        "neighbours", "cosines", "neighbour_labels")
