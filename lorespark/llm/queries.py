@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, lines, shards, simhash, token_store, toxicity, warc
+from lorespark.llm import decontaminate, lines, minhash, shards, simhash, token_store, toxicity, warc
 from lorespark.llm.common import LOWER, UPPER, table
 from lorespark.session import shared_folder
 
@@ -122,3 +122,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (~toxicity.training(F.col("doc_id"))).alias("held_out"), "score",
         F.when(F.col("score") >= toxicity.REJECT, 1).otherwise(0).alias("predicted"),
         "neighbours", "cosines", "neighbour_labels")
+
+
+@query("op7_fingerprints")
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
