@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, lines, minhash, shards, simhash, token_store, toxicity, warc
+from lorespark.llm import decontaminate, lines, minhash, shards, simhash, suffix_tree, token_store, toxicity, warc
 from lorespark.llm.common import LOWER, UPPER, table
 from lorespark.session import shared_folder
 
@@ -128,3 +128,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return minhash.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_model")
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by the suffix tree and by the unigram base."""
+    return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
