@@ -9,42 +9,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+Encode = Callable[[list[str]], list[bytes]]
+
 
 class WordMemo:
-    """``encode`` maps texts to the bytes of their ids; ``joint`` is what stands before a word."""
+    """Maps texts to the bytes of their ids.
+
+    ``texts`` encodes whole texts, ``spaced`` words as they are after a space. At most ``words``
+    words are remembered, none longer than ``longest``. ``prefix``: the library puts a space before
+    a text, so that a text beginning with one has two.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], joint: str = " ",
-                 words: int = 600_000, longest: int = 48):
-        self.encode, self.joint, self.words, self.longest = encode, joint, words, longest
+    def __init__(self, texts: Encode, spaced: Encode, prefix: bool = False, words: int = 1_000_000,
+                 longest: int = 48):
+        self.texts, self.spaced, self.prefix = texts, spaced, prefix
+        self.words, self.longest = words, longest
         self.known: dict[str, bytes | None] = {}
 
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) > self.words:
-            self.known.clear()
-        new = [p for p in set(parts) if p not in self.known]
+    def _learn(self, new: set[str]) -> None:
+        self.known.update(dict.fromkeys(new))
         plain = [p for p in new if p and len(p) <= self.longest
                  and not (p[0].isspace() or p[-1].isspace())]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self.encode([self.joint + p for p in plain]), strict=True))
+        self.known.update(zip(plain, self.spaced(plain), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > self.words:
+            self.known.clear()
         cut = [t.split(" ") for t in texts]
-        out, odd = [], []
+        heads = [parts.pop(0) for parts in cut]
+        new: set[str] = set()
+        for parts in cut:
+            new.update(parts)
+        new.difference_update(self.known.keys())
+        if new:
+            self._learn(new)
+        get, out, odd = self.known.__getitem__, [], []
         for at, parts in enumerate(cut):
-            rest = parts[1:]
-            try:
-                ids = list(map(self.known.__getitem__, rest))
-            except KeyError:
-                self._learn(rest)
-                ids = [self.known[p] for p in rest]
             try:
-                if parts[0][-1:].isspace():
+                if heads[at][-1:].isspace() or self.prefix and parts and not heads[at]:
                     raise TypeError
-                out.append(b"".join(ids))
+                out.append(b"".join(map(get, parts)))
             except TypeError:  # a word that was not encoded by itself
                 out.append(None)
                 odd.append(at)
-        heads = self.encode([p[0] for p in cut])
-        whole = dict(zip(odd, self.encode([texts[i] for i in odd]), strict=True)) if odd else {}
+        head_ids = self.texts(heads)
+        whole = dict(zip(odd, self.texts([texts[i] for i in odd]), strict=True)) if odd else {}
         return [whole[i] if tail is None else head + tail
-                for i, (head, tail) in enumerate(zip(heads, out, strict=True))]
+                for i, (head, tail) in enumerate(zip(head_ids, out, strict=True))]

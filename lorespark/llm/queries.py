@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, lines, minhash, shards, simhash, suffix_tree, token_store, toxicity, warc
+from lorespark.llm import decontaminate, lines, minhash, pieces, shards, simhash, suffix_tree, token_store, toxicity, warc
 from lorespark.llm.common import LOWER, UPPER, table
 from lorespark.session import shared_folder
 
@@ -134,3 +134,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by the suffix tree and by the unigram base."""
     return suffix_tree.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded, and whether its ids decode to its text."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = pieces.decode(pieces.encode(docs, path), path)
+    return decoded.select(
+        "doc_id", F.char_length("text").alias("n_chars"), F.size("ids").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
