@@ -1,10 +1,68 @@
-"""Corpus cleaning in stages; every stage reads what its predecessor kept."""
+"""Corpus cleaning in stages; every stage reads what its predecessor kept.
+
+Toxic documents go, boilerplate lines go, one document of each group of near copies stays, documents
+that contain benchmark items go, and what is left is encoded. All stages but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorespark.llm import decontaminate, lines, pieces, simhash, toxicity
+from lorespark.llm.common import table
+from lorespark.session import shared_folder
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that score as toxic; labels of the given table teach the scores."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the boilerplate lines of each source; n_chars follows the text."""
+    return lines.drop_boilerplate(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that contain benchmark items."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns of documents and the ids of every text."""
+    import public_tokenizers
+
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("simhash_near_dedup", drop_copies),
+    ("benchmark_decontamination", drop_benchmark),
+    ("sentencepiece", encode),
+]
+
+# Neighbour votes, fingerprints and encoding are beyond SQL.
+ORACLE_SQL: str | None = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        target = f"{shared_folder(spark, name)}/rows"
+        stage(spark, docs, sf_dir).write.parquet(target)
+        docs = spark.read.parquet(target)
+    return docs

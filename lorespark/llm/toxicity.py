@@ -33,8 +33,9 @@ from lorespark.llm.common import SHINGLE, fresh
 from lorespark.operators.joins import first_per, materialize
 
 PER_CLASS = 6_000
-#: Terms kept, the least chi-square of a term (one in a million by chance), its least examples.
-TERMS, CHI_SQUARE, SUPPORT = 2_048, 24.0, 3
+#: Terms kept, the least chi-square of a term (one in a million by chance), its least examples, and
+#: how many times more frequent it must be with one label than with the other.
+TERMS, CHI_SQUARE, SUPPORT, LIFT = 2_048, 24.0, 3, 3.0
 PREFIXES = (4, 5, 6)
 NEIGHBOURS, BLOCK, EVIDENCE = 25, 64, 3
 REJECT = 0.7
@@ -199,7 +200,9 @@ def _choose_terms(examples: DataFrame) -> tuple[DataFrame, list[str]]:
     counted = single.select("label", "text").mapInArrow(count, "term string, label int, n long").groupBy("term").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).cast("double").alias("a"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).cast("double").alias("b"))
-    kept = counted.filter((a + b >= SUPPORT) & (a + b < n1 + n0)).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE)
+    apart = (a / n1 >= LIFT * b / n0) | (b / n0 >= LIFT * a / n1)
+    kept = counted.filter((a + b >= SUPPORT) & (a + b < n1 + n0) & apart).withColumn("chi", chi).filter(
+        F.col("chi") >= CHI_SQUARE)
     return single, [r["term"] for r in kept.orderBy(F.desc("chi"), "term").limit(TERMS).collect()]
 
 
@@ -243,13 +246,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     vectors = [vector(dict(zip(r["terms"], r["counts"], strict=True)), idf) for r in encoded]
     index = BlockIndex(vectors, y, w, np.array([r["doc_id"] for r in encoded], np.int64), max(1, len(terms)))
     place = {int(i): p for p, i in enumerate(index.ids)}
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((index, vectors, [place[r["doc_id"]] for r in encoded]))
+
+    def leave_one_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, vectors, places = sent.value
+        for batch in batches:
+            at = batch.column(0).to_pylist()
+            found = [index.nearest(vectors[i], skip=places[i]) for i in at]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([index.vote(*f) if len(f[0]) else None for f in found], pa.float64())], names=["id", "vote"])
+
     votes, without = np.full(len(y), -1.0), np.zeros(len(y), bool)
-    for i, r in enumerate(encoded):
-        places, cosines = index.nearest(vectors[i], skip=place[r["doc_id"]])
-        if len(places):
-            votes[i] = index.vote(places, cosines)
-        else:
-            without[i] = True
+    tasks = spark.sparkContext.defaultParallelism * 2
+    for i, vote in spark.range(0, len(y), 1, tasks).mapInArrow(leave_one_out, "id long, vote double").collect():
+        votes[i], without[i] = (-1.0, True) if vote is None else (vote, False)
     share = float((w * y).sum() / w.sum()) if len(y) else 0.0
     alone = float(((w * y)[without].sum() + share) / (w[without].sum() + 1))
     told = ~without
