@@ -12,8 +12,8 @@ never all pairs. Equal fingerprints are compared once. Components of the forests
 rounds over written tables.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with a
-repeated id are one document; rows with a null id belong to components but never name one, and
-one document with a null id stays only where no other has one. An empty table gives no rows.
+repeated id are one document; rows with a null id belong to components but never name one, and are
+never dropped. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import byte_words, fresh
+from lorespark.llm.common import SHINGLE, SIMILAR, byte_words, fresh
 from lorespark.llm.components import components
 from lorespark.operators.joins import materialize
 
 WORDS, SEED, RADIUS = 3, 42, 2
+#: Fingerprints and radius of the search for near copies.
+TABLES, WIDE = 6, 3
 #: Fingerprints of a cell, children of a node, bits by which cells are deepened.
 CELL, FAN, STEP = 20_000, 16, 4
 PAIRS = 2_000_000
@@ -174,54 +176,56 @@ def forest(own: np.ndarray, guests: np.ndarray, radius: int = RADIUS) -> tuple[n
     return codes[linked], codes[parent[linked]]
 
 
-def _cells(codes: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns and masks of cells of at most ``limit`` codes; the driver sees counts only."""
+def _cells(codes: DataFrame, limit: int) -> list[tuple[int, int, int]]:
+    """(table, prefix, depth) of cells of at most ``limit`` codes; the driver sees counts only."""
     found, depth, rest = [], STEP, codes
     while True:
         prefix = F.shiftrightunsigned("fingerprint", 64 - depth) if depth < 64 else F.col("fingerprint")
-        counts = rest.groupBy(prefix.alias("prefix")).count().collect()
-        crowded = [r["prefix"] for r in counts if r["count"] > limit and depth < 64]
-        found += [(r["prefix"], depth) for r in counts if r["count"] <= limit or depth == 64]
+        counts = rest.groupBy("table", prefix.alias("prefix")).count().collect()
+        crowded = [(r["table"], r["prefix"]) for r in counts if r["count"] > limit and depth < 64]
+        found += [(r["table"], r["prefix"], depth) for r in counts if r["count"] <= limit or depth == 64]
         if not crowded:
-            break
-        hot = codes.sparkSession.createDataFrame([(p,) for p in crowded], "prefix long")
+            return found
+        hot = codes.sparkSession.createDataFrame(crowded, "hot_table int, hot_prefix long")
         # At most (codes / limit) rows.
-        rest = rest.join(F.broadcast(hot), prefix == F.col("prefix"), "left_semi")
+        rest = rest.join(F.broadcast(hot), (F.col("table") == F.col("hot_table")) & (prefix == F.col("hot_prefix")), "left_semi")
         depth += STEP
-    shift = np.array([64 - d for _, d in found], np.uint64)
-    bits = np.array([p % 2**64 for p, _ in found], np.uint64) << shift
-    return bits, ~np.uint64(0) << shift
 
 
-def link_fingerprints(found: DataFrame, radius: int = RADIUS, limit: int = CELL) -> DataFrame:
-    """fingerprint, root of every fingerprint that links to another one."""
-    codes = materialize(found.select("fingerprint").distinct())
-    bits, masks = _cells(codes, limit)
-    if not len(bits):
-        return codes.select("fingerprint", F.col("fingerprint").alias("root"))
-    sent = codes.sparkSession.sparkContext.broadcast((bits, masks))
+def link_forests(found: DataFrame, radius: int, limit: int = CELL) -> DataFrame:
+    """table, a, b: spanning forests of the links between fingerprints (table, fingerprint)."""
+    codes = materialize(found.select(F.col("table").cast("int").alias("table"), "fingerprint").distinct())
+    cells: dict[int, list[tuple[int, int, int]]] = {}
+    for number, (table, prefix, depth) in enumerate(_cells(codes, limit)):
+        cells.setdefault(table, []).append((number, prefix % 2**64, depth))
+    sent = codes.sparkSession.sparkContext.broadcast(cells)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, cover = sent.value
-        index = GrayIndex(cells, cover)
+        trees = {}
+        for table, own in sent.value.items():
+            shift = np.array([64 - d for _, _, d in own], np.uint64)
+            bits, cover = np.array([p for _, p, _ in own], np.uint64) << shift, ~np.uint64(0) << shift
+            trees[table] = GrayIndex(bits, cover), bits, cover, np.array([n for n, _, _ in own])
         for batch in batches:
-            codes = batch.column(0).to_numpy(zero_copy_only=False)
-            wide = codes.view(np.uint64)
-            for query, cell in index.search(wide, radius):
-                guest = (wide[query] & cover[cell]) != cells[cell]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int64)), pa.array(codes[query]), pa.array(guest)],
-                    names=["cell", "code", "guest"])
+            tables, codes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            for table, (index, bits, cover, number) in trees.items():
+                own = codes[tables == table]
+                wide = own.view(np.uint64)
+                for query, cell in index.search(wide, radius) if len(own) else ():
+                    guest = (wide[query] & cover[cell]) != bits[cell]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(number[cell]), pa.array(np.full(len(cell), table, np.int32)), pa.array(own[query]), pa.array(guest)],
+                        names=["cell", "table", "code", "guest"])
 
     def link(group: pa.Table) -> pa.Table:
         code = group.column("code").to_numpy().astype(np.int64).view(np.uint64)
         guest = group.column("guest").to_numpy()
         a, b = forest(code[~guest], code[guest], radius)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        table = np.full(len(a), group.column("table")[0].as_py(), np.int32)
+        return pa.table({"table": table, "a": a.view(np.int64), "b": b.view(np.int64)})
 
-    routed = codes.mapInArrow(route, "cell long, code long, guest boolean")
-    edges = routed.groupBy("cell").applyInArrow(link, "a long, b long")
-    return components(edges).select(F.col("node").alias("fingerprint"), "root")
+    routed = codes.mapInArrow(route, "cell long, table int, code long, guest boolean")
+    return routed.groupBy("cell").applyInArrow(link, "table int, a long, b long")
 
 
 def near_components(
@@ -230,7 +234,9 @@ def near_components(
     """doc_id, fingerprint, component_id, the smallest id reachable, of every row."""
     found = materialize(fingerprints(docs, id_column, text_column))
     own = found.groupBy("fingerprint").agg(F.min("doc_id").alias("own"))
-    rooted = own.join(link_fingerprints(found, radius), "fingerprint", "left").withColumn(
+    links = link_forests(found.select(F.lit(0).alias("table"), "fingerprint"), radius)
+    roots = components(links.select("a", "b")).withColumnRenamed("node", "fingerprint")
+    rooted = own.join(roots, "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint"))
     least = rooted.groupBy("root").agg(F.min("own").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fingerprint", "component_id"))
@@ -241,13 +247,92 @@ def hexadecimal(code: Column) -> Column:
     return F.lower(F.lpad(F.hex(code), 16, "0"))
 
 
+def sketches(words: list[bytes]) -> list[int]:
+    """``TABLES`` fingerprints of the distinct words, of independent hashes; signed."""
+    from xxhash import xxh64_intdigest
+
+    own = sorted(set(words))
+    if not own:
+        return [0] * TABLES
+    counts = np.zeros((TABLES, 64), np.int64)
+    for at in range(0, len(own), 16_384):
+        part = own[at:at + 16_384]
+        hashes = np.array([[xxh64_intdigest(w, seed) for w in part] for seed in range(TABLES)], "<u8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(TABLES, -1, 8), axis=2).sum(1, dtype=np.int64)
+    return np.packbits(counts * 2 > len(own), axis=1).view("<i8").ravel().tolist()
+
+
+def resemblance(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
+    """Share of common word shingles; 1 for two texts without words."""
+    x, y = ({b" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in (a, b))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similar: float = SIMILAR,
+                radius: int = WIDE) -> DataFrame:
+    """doc_id of every document that repeats another one that stays, and ``kept``, that one.
+
+    Equal texts are found by digest. Of different ones, candidates link in any of ``TABLES``
+    SimHash fingerprints of their distinct words, which edits of single words hardly move; their
+    components are then gone through in rounds. A round verifies all open documents of a component
+    against its first one by the exact share of common five-word shingles, and drops those that
+    reach ``similar``; the others go on. So nothing is dropped unverified, and every document
+    dropped resembles one that stays. Documents with a null id are never dropped.
+    """
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketches(byte_words(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "codes"])
+
+    text = F.coalesce(F.col(text_column).cast("string"), F.lit("")).cast("binary")
+    named = docs.select(F.col(id_column).cast("long").alias("doc_id"), text.alias("text")).filter("doc_id IS NOT NULL")
+    coded = materialize(named.select("doc_id", F.sha2("text", 256).alias("digest"), "text").mapInArrow(
+        make, "doc_id long, digest string, codes array<long>"))
+    firsts = coded.groupBy("digest").agg(F.min("doc_id").alias("node"))
+    equal = materialize(coded.join(firsts, "digest").filter("doc_id <> node").select("doc_id", F.col("node").alias("kept")).distinct())
+    # A repeated id with several texts is taken by its least digest.
+    single = materialize(coded.join(equal, "doc_id", "left_anti").groupBy("doc_id").agg(F.min_by("codes", "digest").alias("codes"))
+                         .select(F.col("doc_id").alias("node"), F.posexplode("codes").alias("table", "fingerprint")))
+    forests = materialize(link_forests(single, radius))
+    least = single.groupBy("table", "fingerprint").agg(F.min("node").alias("least"))
+    same = single.join(least, ["table", "fingerprint"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+
+    def at(end: str) -> DataFrame:
+        return least.select("table", F.col("fingerprint").alias(end), F.col("least").alias(f"node_{end}"))
+
+    linked = forests.join(at("a"), ["table", "a"]).join(at("b"), ["table", "b"]).select(
+        F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    roots = materialize(components(linked.unionAll(same)))
+    texts = materialize(named.join(roots, F.col("doc_id") == F.col("node"), "left_semi").groupBy("doc_id").agg(
+        F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [resemblance(byte_words(a), byte_words(b)) >= similar
+                    for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=["node", "root", "first", "near"])
+
+    dropped, open_ = equal, roots
+    while True:
+        first = open_.groupBy("root").agg(F.min("node").alias("first"))
+        pairs = open_.join(first, "root").filter("node <> first")
+        asked = pairs.join(texts, "node").join(
+            texts.select(F.col("node").alias("first"), F.col("text").alias("first_text")), "first")
+        told = materialize(asked.select("node", "root", "first", "text", "first_text").mapInArrow(
+            verify, "node long, root long, first long, near boolean"))
+        if told.isEmpty():
+            break
+        dropped = dropped.unionAll(told.filter("near").select(F.col("node").alias("doc_id"), F.col("first").alias("kept")))
+        open_ = told.filter("NOT near").select("node", "root")
+    return dropped
+
+
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-             radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest id; all columns kept."""
+             similar: float = SIMILAR, radius: int = WIDE) -> DataFrame:
+    """``docs`` without the near copies of documents that stay; all columns kept."""
     (gone,) = fresh(docs, "gone")
-    placed = near_components(docs, id_column, text_column, radius)
-    # A repeated id is one document and goes if any of its rows belongs to another's component.
-    dropped = materialize(placed.filter("doc_id <> component_id").select(
+    dropped = materialize(near_copies(docs, id_column, text_column, similar, radius).select(
         F.col("doc_id").alias(gone)).distinct())
-    kept = docs.join(dropped, docs[id_column].cast("long") == dropped[gone], "left_anti")
-    return kept
+    return docs.join(dropped, docs[id_column].cast("long") == dropped[gone], "left_anti")
