@@ -316,9 +316,8 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
             added = [pa.array(list(v), k) for v, k in zip(found, _KINDS, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], *names])
 
-    schema = docs.schema
-    for name, kind in zip(names, EXTRA.values(), strict=True):
-        schema = schema.add(name, kind)
+    added = [T.StructField(n, kind) for n, kind in zip(names, EXTRA.values(), strict=True)]
+    schema = T.StructType([*docs.schema.fields, *added])
     return docs.withColumn(probe, F.col(text_column).cast("string")).mapInArrow(run, schema)
 
 
