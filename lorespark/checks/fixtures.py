@@ -34,11 +34,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = F.lit("2024-01-01").cast("timestamp") + minutes
     return docs.join(labels, "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("doc_id"),
-        F.regexp_replace(F.substring(first_line, 1, 60), "[ .]+$", "").alias("title"),
+        F.regexp_replace(first_line, "[ .]+$", "").alias("title"),
         F.concat_ws("/", "lang", "source").alias("path"),
         F.when(F.col("quality") == 1, F.concat(tags, F.array(F.lit("quality"))))
         .otherwise(tags).alias("tags"),
-        F.array_distinct(F.slice(matches, 1, 3)).alias("entities"),
+        F.array_distinct(matches).alias("entities"),
         text.content_hash(F.col("text")).alias("content_hash"),
         (F.size(F.split("text", "\n"))).alias("chunk_count"),
         added.alias("created_at"),
@@ -171,10 +171,10 @@ def rerank_sql(toks: str, title: str, path: str, entities: str, content: str) ->
 _CTES: dict[str, tuple[list[str], str]] = {
     "catalog": ([], f"""
         SELECT CAST(d.doc_id AS VARCHAR) AS doc_id,
-          regexp_replace(substr(split_part(d.text, chr(10), 1), 1, 60), '[ .]+$', '') AS title,
+          regexp_replace(split_part(d.text, chr(10), 1), '[ .]+$', '') AS title,
           d.lang || '/' || d.source AS path,
           CASE WHEN l.quality = 1 THEN [d.lang, d.source, 'quality'] ELSE [d.lang, d.source] END AS tags,
-          {distinct_list(f"regexp_extract_all(d.text, '{ENTITY_PATTERN}')[1:3]")} AS entities,
+          {distinct_list(f"regexp_extract_all(d.text, '{ENTITY_PATTERN}')")} AS entities,
           sha256(d.text) AS content_hash,
           len(string_split(d.text, chr(10))) AS chunk_count,
           TIMESTAMP '2024-01-01' + d.doc_id * INTERVAL 1 MINUTE AS created_at,

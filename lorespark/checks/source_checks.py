@@ -142,17 +142,17 @@ def _halves(spark, sf):
     copies = labels.select(F.concat(stem, F.when(F.col("quality") == 1, "1").otherwise("2"), F.lit(".md")).alias("relpath"),
                            F.lit("copy").alias("sha256"))
     english = F.col("relpath").startswith("en/")
-    archive = base.filter(english | F.col("relpath").startswith("fr/")).withColumn("sha256", F.reverse("sha256"))
-    return base.filter(english | F.col("relpath").startswith("de/")).unionByName(copies), archive
+    archive = base.filter(english | F.col("relpath").rlike("^(fr|es)/")).withColumn("sha256", F.reverse("sha256"))
+    return base.filter(english | F.col("relpath").rlike("^(de|es)/")).unionByName(copies), archive
 
 
 fx.define("live_files", [], """
-    SELECT lang || '/' || doc_id || '.md' AS relpath, sha256(text) AS sha256 FROM documents WHERE lang IN ('en', 'de')
+    SELECT lang || '/' || doc_id || '.md' AS relpath, sha256(text) AS sha256 FROM documents WHERE lang IN ('en', 'de', 'es')
     UNION ALL SELECT d.lang || '/' || l.doc_id || '.restored-' || CASE WHEN l.quality = 1 THEN '1' ELSE '2' END || '.md', 'copy'
       FROM labels l JOIN documents d ON d.doc_id = l.doc_id""")
 fx.define("archive_files", [], """
     SELECT lang || '/' || doc_id || '.md' AS relpath, lang || '/' || doc_id AS stem, reverse(sha256(text)) AS sha256
-    FROM documents WHERE lang IN ('en', 'fr')""")
+    FROM documents WHERE lang IN ('en', 'fr', 'es')""")
 
 
 def _merge_sql(policy: str) -> str:
@@ -326,11 +326,11 @@ def embed_chunks(spark, sf):
 
 
 def requests(spark, sf):
-    return fx.table(spark, sf, "events").filter(F.col("event_type").isin("view", "click")).select(
+    return fx.table(spark, sf, "events").select(
         F.col("user_id").alias("key"), "ts")
 
 
-fx.define("requests", [], "SELECT user_id AS key, ts FROM events WHERE event_type IN ('view', 'click')")
+fx.define("requests", [], "SELECT user_id AS key, ts FROM events")
 
 
 def _buckets_sql(unit: str, days: int) -> str:

@@ -22,7 +22,7 @@ def _finish(writer):
 
 
 def _requests(spark, sf):
-    return _stream(spark, sf, "events").filter(F.col("event_type").isin("view", "click")).select(
+    return _stream(spark, sf, "events").select(
         F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
 
 

@@ -68,6 +68,8 @@ def spread_row_number(df: DataFrame, keys: list[str], order: str, name: str) ->
 def top_per_query(df: DataFrame, score: str, rank: str = "rank") -> DataFrame:
     """Best ``top_k`` rows of every query; ties by doc_id, then chunk_index.
 
+    A ``top_k`` above MAX_TOP_K is an error, as rows would be missing from the answer.
+
     The literal bound lets Spark cut every task's rows before the shuffle, so a query
     that matches a large share of the corpus ships at most MAX_TOP_K rows per task.
     """
@@ -75,7 +77,9 @@ def top_per_query(df: DataFrame, score: str, rank: str = "rank") -> DataFrame:
     if "chunk_index" in df.columns:
         order.append(F.col("chunk_index"))
     window = Window.partitionBy("query_id").orderBy(*order)
-    ranked = df.withColumn(rank, F.row_number().over(window))
+    refused = F.raise_error(F.lit(f"top_k is above {MAX_TOP_K}")).cast("int")
+    limit = F.when(F.col("top_k") > MAX_TOP_K, refused).otherwise(F.col("top_k"))
+    ranked = df.withColumn("top_k", limit).withColumn(rank, F.row_number().over(window))
     return ranked.filter((F.col(rank) <= MAX_TOP_K) & (F.col(rank) <= F.col("top_k")))
 
 

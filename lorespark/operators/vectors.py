@@ -101,7 +101,9 @@ def vector_channel(
     are scanned in place; each task keeps only its own top rows. A larger batch is cut
     into blocks, and every (query block, vector block) tile is one group.
     """
-    asked = queries.select("query_id", "top_k", "filter_path", "filter_tags", "embedding")
+    # A query without a vector has no vector hits; it must not spoil its batch.
+    asked = queries.filter(F.size("embedding") > 0).select(
+        "query_id", "top_k", "filter_path", "filter_tags", "embedding")
     docs = catalog.select("doc_id", "path", "tags")
     placed = vectors.select("doc_id", "chunk_index", "embedding").join(docs, "doc_id")
     schema = _HITS.format(id=asked.schema["query_id"].dataType.simpleString())
