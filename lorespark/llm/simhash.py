@@ -230,11 +230,12 @@ def link_forests(found: DataFrame, radius: int, limit: int = CELL) -> DataFrame:
 
 def near_components(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS,
+    limit: int = CELL,
 ) -> DataFrame:
     """doc_id, fingerprint, component_id, the smallest id reachable, of every row."""
     found = materialize(fingerprints(docs, id_column, text_column))
     own = found.groupBy("fingerprint").agg(F.min("doc_id").alias("own"))
-    links = link_forests(found.select(F.lit(0).alias("table"), "fingerprint"), radius)
+    links = link_forests(found.select(F.lit(0).alias("table"), "fingerprint"), radius, limit)
     roots = components(links.select("a", "b")).withColumnRenamed("node", "fingerprint")
     rooted = own.join(roots, "fingerprint", "left").withColumn(
         "root", F.coalesce("root", "fingerprint"))
@@ -326,7 +327,9 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             break
         dropped = dropped.unionAll(told.filter("near").select(F.col("node").alias("doc_id"), F.col("first").alias("kept")))
         open_ = told.filter("NOT near").select("node", "root")
-    return dropped
+    # A text equal to one that was dropped repeats what that one repeats.
+    final = dropped.select(F.col("doc_id").alias("kept"), F.col("kept").alias("last"))
+    return dropped.join(final, "kept", "left").select("doc_id", F.coalesce("last", "kept").alias("kept")).distinct()
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
