@@ -33,6 +33,8 @@ from lorespark.operators.joins import materialize
 WORDS, SEED, RADIUS = 3, 42, 2
 #: Fingerprints and radius of the search for near copies.
 TABLES, WIDE = 6, 3
+#: Candidates that one task compares.
+GROUP = 400
 #: Fingerprints of a cell, children of a node, bits by which cells are deepened.
 CELL, FAN, STEP = 20_000, 16, 4
 PAIRS = 2_000_000
@@ -263,22 +265,30 @@ def sketches(words: list[bytes]) -> list[int]:
     return np.packbits(counts * 2 > len(own), axis=1).view("<i8").ravel().tolist()
 
 
-def resemblance(a: list[bytes], b: list[bytes], size: int = SHINGLE) -> float:
-    """Share of common word shingles; 1 for two texts without words."""
-    x, y = ({b" ".join(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set() for w in (a, b))
+def _shingles(words: list[bytes]) -> set[bytes]:
+    return {b" ".join(words[i:i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+
+
+def _share(x: set[bytes], y: set[bytes]) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+def resemblance(a: list[bytes], b: list[bytes]) -> float:
+    """Share of common word shingles; 1 for two texts without words."""
+    return _share(_shingles(a), _shingles(b))
+
+
 def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", similar: float = SIMILAR,
                 radius: int = WIDE) -> DataFrame:
     """doc_id of every document that repeats another one that stays, and ``kept``, that one.
 
     Equal texts are found by digest. Of different ones, candidates link in any of ``TABLES``
     SimHash fingerprints of their distinct words, which edits of single words hardly move; their
-    components are then gone through in rounds. A round verifies all open documents of a component
-    against its first one by the exact share of common five-word shingles, and drops those that
-    reach ``similar``; the others go on. So nothing is dropped unverified, and every document
-    dropped resembles one that stays. Documents with a null id are never dropped.
+    components are then gone through by the exact share of common five-word shingles. In blocks of
+    about ``GROUP`` documents, one by one, a document is dropped that reaches ``similar`` with an
+    earlier one that stays. Components of one block are settled at once, larger ones dealt anew
+    until their blocks drop nothing, and then one leader at a time. Nothing is dropped
+    unverified. Documents with a null id are never dropped.
     """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,16 +325,38 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                     for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(near, pa.bool_())], names=["node", "root", "first", "near"])
 
-    dropped, open_ = equal, roots
-    while True:
+    def settle(group: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("node", "root", "text", "blocks")), strict=True))
+        leaders, kept = [], []
+        for node, _, text, _ in rows:
+            own = _shingles(byte_words(text))
+            kept.append(next((other for other, held in leaders if _share(own, held) >= similar), None))
+            if kept[-1] is None:
+                leaders.append((node, own))
+        return pa.table({
+            "node": pa.array([r[0] for r in rows], pa.int64()), "root": pa.array([r[1] for r in rows], pa.int64()),
+            "kept": pa.array(kept, pa.int64()), "alone": pa.array([r[3] == 1 for r in rows], pa.bool_())})
+
+    dropped, open_, turn = equal, roots, 0
+    while not open_.isEmpty():
+        sizes = open_.groupBy("root").agg(F.ceil(F.count("*") / GROUP).alias("blocks"))
+        block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks"))
+        asked = open_.join(sizes, "root").withColumn("block", block).join(texts, "node")
+        told = materialize(asked.groupBy("root", "block").applyInArrow(
+            settle, "node long, root long, kept long, alone boolean"))
+        gone = told.filter("kept IS NOT NULL").select(F.col("node").alias("doc_id"), "kept")
+        dropped, turn = dropped.unionAll(gone), turn + 1
+        open_ = told.filter("kept IS NULL AND NOT alone").select("node", "root")
+        if told.filter("kept IS NOT NULL AND NOT alone").isEmpty():
+            break
+    # Components that stay crowded though no block of them drops any more: one leader at a time.
+    while not open_.isEmpty():
         first = open_.groupBy("root").agg(F.min("node").alias("first"))
         pairs = open_.join(first, "root").filter("node <> first")
         asked = pairs.join(texts, "node").join(
             texts.select(F.col("node").alias("first"), F.col("text").alias("first_text")), "first")
         told = materialize(asked.select("node", "root", "first", "text", "first_text").mapInArrow(
             verify, "node long, root long, first long, near boolean"))
-        if told.isEmpty():
-            break
         dropped = dropped.unionAll(told.filter("near").select(F.col("node").alias("doc_id"), F.col("first").alias("kept")))
         open_ = told.filter("NOT near").select("node", "root")
     # A text equal to one that was dropped repeats what that one repeats.
