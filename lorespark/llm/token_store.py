@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -42,17 +44,35 @@ READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> tuple[WordMemo, int]:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     width = 2 if tokenizer.get_vocab_size() <= 1 << 16 else 4
 
+    kind, code = ("H", "<u2") if width == 2 else ("I", "<u4")
+
     def encode(texts: list[str]) -> list[bytes]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, f"<u{width}").tobytes() for x in found]
+        return [array(kind, x.ids).tobytes() for x in found]
+
+    # A line break before a space is a token of its own, so words can go to the library many in
+    # one text, with a break after each.
+    (cut,) = np.frombuffer(encode(["\n"])[0], code)
+
+    def spaced(words: list[str]) -> list[bytes]:
+        inner = [w for w in words if "\n" in w]
+        out = dict(zip(inner, encode([" " + w for w in inner]), strict=True))
+        single = [w for w in words if "\n" not in w]
+        packs = [single[i:i + 400] for i in range(0, len(single), 400)]
+        for pack, raw in zip(packs, encode(["".join(f" {w}\n" for w in p) for p in packs]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(raw, code) == cut) * width
+            starts = np.append(0, ends[:-1] + width)
+            out.update((w, raw[a:b]) for w, a, b in zip(pack, starts.tolist(), ends.tolist(), strict=True))
+        return [out[w] for w in words]
 
-    return WordMemo(encode), width
+    return WordMemo(encode, spaced), width
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, size: int = 112_640) -> bytes:
@@ -97,8 +117,8 @@ def write_tokens(
         pack = _compressor(sent.value, level)
         file, index = None, []
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(start, 256).columns)
+            for start in range(0, batch.num_rows, 1024):
+                ids, texts = (c.to_pylist() for c in batch.slice(start, 1024).columns)
                 file = file or TaskFile(folder, "tokens", ".ids")
                 for doc_id, own in zip(ids, memo([t or "" for t in texts]), strict=True):
                     own += end
