@@ -66,7 +66,7 @@ class Model:
         self.beside: dict[tuple[str, str], bool] = {}
         kind = "H" if self.code == "<u2" else "I"
         encode = lambda texts: [array(kind, x).tobytes() for x in self.whole.encode(texts, num_threads=1)]
-        self.memo = WordMemo(encode, encode, prefix=True)
+        self.memo = WordMemo(encode, encode, prefix=True, words=250_000)
         self.plain = encode
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
