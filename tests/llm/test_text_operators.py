@@ -331,6 +331,43 @@ def test_spelling_probabilities_add_up_to_one(spark):
         assert abs((10 ** own).sum() - 1) < 1e-9
 
 
+def test_contexts_of_rare_words_predict(spark):
+    # 1,500 words, none among the 256 frequent ones that name a state more than another; the next
+    # word follows from the last one, or, after "x", from the last two.
+    rng = random.Random(4)
+    kinds = [f"{a}{b}{c}" for a in "bdfgklmnprstvz" for b in "aeiou" for c in "bdfgklmnprstvzcqhjwy"]
+    after = dict(zip(kinds, rng.sample(kinds, len(kinds)), strict=True))
+    rows = []
+    for i in range(600):
+        own = [rng.choice(kinds)]
+        while len(own) < 120:
+            own += [after[own[-1]]] if len(own) % 4 else ["x", after[after[own[-1]]]]
+        rows.append((i, " ".join(own)))
+    got = suffix_tree.score_texts(docs(spark, rows)).collect()
+    held = [r for r in got if r.held_out]
+    assert len(held) > 20
+    assert sum(r.score for r in held) / sum(r.n_tokens for r in held) > -0.5
+
+
+def test_word_probabilities_add_up_to_one(spark):
+    # Texts that differ in the last word only: probabilities of all last words are a distribution.
+    rng = random.Random(3)
+    kinds = ["a", "b", "c", "d"]
+    rows = [(i, f"u v {rng.choices(kinds, (9, 4, 2, 1))[0]}") for i in range(10_000) if zlib.crc32(str(i).encode()) % 10]
+    held = [i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    probes = dict(zip(held, [*kinds, "", "u", "v", "new"], strict=False))
+    probes = {i: f"u v {w}".strip() for i, w in probes.items()}
+    got = {r.doc_id: r.score for r in suffix_tree.score_texts(docs(spark, rows + list(probes.items()))).collect()}
+    count = Counter(t.split()[2] for _, t in rows)
+    total = sum(count.values())
+    score = {t: got[i] for i, t in probes.items()}
+    shares = {w: 10 ** (score[f"u v {w}"] - score["u v a"]) for w in kinds}
+    for w in kinds:
+        # What follows u v is the counted share, and the end is as sure after each.
+        assert abs(shares[w] / sum(shares.values()) - count[w] / total) < 0.01
+    assert sum(10 ** x for t, x in score.items()) <= 1 + 1e-9
+
+
 # ----------------------------------------------------------------------------------------- pieces
 
 
