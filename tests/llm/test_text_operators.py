@@ -192,6 +192,27 @@ def test_one_of_each_group_of_near_copies_stays(spark):
     assert simhash.keep_one(docs(spark, [])).count() == 0
 
 
+def test_added_cut_and_edited_copies_are_found(spark):
+    rng = random.Random(12)
+    rows, alike = [], []
+    for g in range(240):
+        size = 120 + g
+        base, extra = prose(g, size, 5000).split(), prose(10_000 + g, size, 5000).split()
+        part = size * (4, 8, 12, 16, 19)[g % 5] // 100
+        copy = (base + extra[:part], base[: size - part], base[part:], extra[:part // 2] + base)[g % 4]
+        if g % 6 == 5:
+            copy = list(base)
+            for at in rng.sample(range(size), size // 60):
+                copy[at] = "edit"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+        a, b = shingles(rows[-2][1]), shingles(rows[-1][1])
+        if len(a & b) >= 0.8 * len(a | b):
+            alike.append(2 * g + 1)
+    gone = {r.doc_id for r in simhash.near_copies(docs(spark, rows)).collect()}
+    assert len(alike) > 180 and gone <= set(alike)
+    assert len(gone) >= len(alike) - 1
+
+
 # ---------------------------------------------------------------------------------- fingerprints
 
 
