@@ -27,7 +27,7 @@ from lorespark.operators.joins import materialize
 BIN_BITS, BITS = 8, 4
 BINS = 1 << BIN_BITS
 DIGITS = "0123456789abcdef"
-#: Bins an empty one tries in two rounds; after those it takes the next filled one.
+#: Bins an empty one tries in two rounds; after those all filled ones are ordered by a hash of both numbers.
 TRIES = (8, 32)
 #: Rows that one task puts in order.
 BLOCK_ROWS = 4_000
@@ -84,8 +84,9 @@ def signature(hashes: Column) -> Column:
             order = F.get(orders, b)
             first = F.get(F.filter(F.slice(order, 1, few), filled), F.lit(0))
             second = F.get(F.filter(F.slice(order, few + 1, more), filled), F.lit(0))
-            ring = F.get(F.filter(F.transform(F.sequence(F.lit(1), F.lit(BINS)), lambda k: F.pmod(b + k, F.lit(BINS))), filled), F.lit(0))
-            return F.when(x != F.get(marked, b), x).otherwise(F.get(d, F.coalesce(first, second, ring)))
+            ranked = F.transform(F.filter(F.sequence(F.lit(0), F.lit(BINS - 1)), filled), lambda t: F.struct(F.xxhash64(b, t).alias("h"), t.alias("t")))
+            last = F.array_min(ranked)["t"]
+            return F.when(x != F.get(marked, b), x).otherwise(F.get(d, F.coalesce(first, second, last)))
 
         return F.transform(d, fill)
 

@@ -249,6 +249,18 @@ def test_fingerprints_estimate_resemblance(spark, monkeypatch):
     assert alone.near_next == 1.0
 
 
+def test_bins_of_short_texts_are_as_likely_as_any_other(spark):
+    frame = docs(spark, [(i, prose(i, 6, 5000)) for i in range(80)])  # two shingles
+    shares = []
+    for (signs,) in frame.select(minhash.signature(minhash.shingle_hashes(F.col("text")))).collect():
+        assert len(signs) == minhash.BINS
+        count = Counter(signs)
+        if len(count) == 2:
+            shares.append(count[min(count)] / minhash.BINS)
+    # By chance the share varies by 0.03; behind long gaps of a ring it would by 0.2.
+    assert len(shares) > 70 and abs(np.mean(shares) - 0.5) < 0.03 and np.std(shares) < 0.06
+
+
 # -------------------------------------------------------------------------------------- toxicity
 
 
