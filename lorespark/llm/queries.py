@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontaminate, lines, minhash, pieces, shards, simhash, suffix_tree, token_store, toxicity, warc
+from lorespark.llm import (
+    decontaminate,
+    exact_topk,
+    fill_middle,
+    lines,
+    minhash,
+    pieces,
+    shards,
+    simhash,
+    suffix_tree,
+    token_store,
+    toxicity,
+    warc,
+)
 from lorespark.llm.common import LOWER, UPPER, table
 from lorespark.session import shared_folder
 
@@ -147,3 +160,38 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.char_length("text").alias("n_chars"), F.size("ids").alias("n_ids"),
         F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+@query("op12_exact_topk", """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score
+      FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+      vec_id, score FROM s QUALIFY rank <= 10""")
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors for every vector whose id is divisible by 100."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op13_fill_middle", """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', doc_id)) AS k FROM documents),
+    h AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || k[1:8])::UBIGINT AS h1, ('0x' || k[9:16])::UBIGINT AS h2,
+      ('0x' || k[17:24])::UBIGINT AS h3, ('0x' || k[25:32])::UBIGINT AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    o AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(t) AS restored_sha256 FROM o""")
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-middle text, and the text rebuilt from it."""
+    formed = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return fill_middle.restore(formed).select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
