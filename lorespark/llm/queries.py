@@ -20,6 +20,7 @@ from lorespark.llm import (
     token_store,
     toxicity,
     warc,
+    whitening,
 )
 from lorespark.llm.common import LOWER, UPPER, table
 from lorespark.session import shared_folder
@@ -162,6 +163,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("ids").alias("ids_hash"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the 16 leading components, scaled to unit variance."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_exact_topk", """
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
       WHERE embedding IS NOT NULL
