@@ -520,10 +520,13 @@ def consistency_summary(spark, sf):
 
 @check("postings_maintain", fx.select(f"""
     , changed AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, toxic FROM labels),
-    fresh AS (SELECT DISTINCT unnest({fx.tokens("concat_ws(' ', c.doc_id, c.title, c.path, array_to_string(c.entities, ' '), 'revised', k.content)")}) AS term,
-        k.doc_id, k.chunk_index FROM chunks k JOIN catalog c ON c.doc_id = k.doc_id JOIN changed g ON g.doc_id = k.doc_id WHERE g.toxic = 0)
-    SELECT term, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM changed)
-    UNION ALL SELECT term, doc_id, CAST(chunk_index AS BIGINT) FROM fresh""", "postings", "chunks", "catalog"))
+    edited AS (SELECT k.doc_id, k.chunk_index, unnest({fx.tokens("concat_ws(' ', 'revised', k.content)")}) AS term, 1 AS tf, 0 AS fields
+      FROM chunks k JOIN changed g ON g.doc_id = k.doc_id WHERE g.toxic = 0),
+    fresh AS (SELECT term, doc_id, chunk_index, CAST(sum(tf) AS INTEGER) AS tf, CAST(bit_or(fields) AS INTEGER) AS fields FROM (
+      SELECT * FROM edited UNION ALL SELECT p.doc_id, p.chunk_index, p.term, 0, p.fields FROM postings p
+        JOIN changed g ON g.doc_id = p.doc_id WHERE g.toxic = 0) GROUP BY ALL)
+    SELECT term, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, tf, fields FROM postings WHERE doc_id NOT IN (SELECT doc_id FROM changed)
+    UNION ALL SELECT term, doc_id, CAST(chunk_index AS BIGINT), tf, fields FROM fresh""", "postings", "chunks", "catalog"))
 def postings_maintain(spark, sf):
     """Labelled documents change: toxic ones are deleted, the others get a new word.
 

@@ -69,11 +69,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First three words of every benchmark text."""
-    words = F.slice(F.split("text", " "), 1, 3)
+    """Every benchmark text, whole."""
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"),
-        F.lower(F.array_join(words, " ")).alias("text"),
+        "text",
         F.lit(5).alias("top_k"),
         text.empty_strings().alias("filter_tags"),
         F.lit("").alias("filter_path"),
@@ -190,8 +189,7 @@ _CTES: dict[str, tuple[list[str], str]] = {
         FROM (SELECT doc_id, source_path, string_split(content, chr(10)) AS parts FROM sources) s,
           unnest(range(1, len(parts) + 1)) AS u(pos)"""),
     "raw_queries": ([], """
-        SELECT item_id AS query_id, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS text,
-          5 AS top_k, CAST([] AS VARCHAR[]) AS filter_tags, '' AS filter_path FROM benchmark"""),
+        SELECT item_id AS query_id, text, 5 AS top_k, CAST([] AS VARCHAR[]) AS filter_tags, '' AS filter_path FROM benchmark"""),
     "queries": (["raw_queries"], f"""
         SELECT query_id, array_to_string({distinct_list(tokens('text'))}, ' ') AS text,
           top_k, filter_tags, filter_path FROM raw_queries"""),
@@ -217,8 +215,14 @@ _CTES: dict[str, tuple[list[str], str]] = {
         SELECT doc_id, lower(title) AS title_lc, lower(path) AS path_lc,
           lower(array_to_string(entities, ' ')) AS entities_lc, path, tags FROM catalog"""),
     "postings": (["catalog", "chunks"], f"""
-        SELECT DISTINCT unnest({tokens("concat_ws(' ', c.doc_id, c.title, c.path, array_to_string(c.entities, ' '), k.content)")}) AS term,
-          k.doc_id, k.chunk_index FROM chunks k JOIN catalog c ON k.doc_id = c.doc_id"""),
+        SELECT term, k.doc_id, k.chunk_index, CAST(sum(tf) AS INTEGER) AS tf, CAST(bit_or(fields) AS INTEGER) AS fields
+        FROM (SELECT doc_id, chunk_index, unnest({tokens('content')}) AS term, 1 AS tf, 0 AS fields FROM chunks
+          UNION ALL SELECT k.doc_id, k.chunk_index, f.term, 0, f.fields FROM chunks k JOIN (
+            SELECT doc_id, unnest({tokens('doc_id')}) AS term, 0 AS fields FROM catalog
+            UNION ALL SELECT doc_id, unnest({tokens('title')}), 1 FROM catalog
+            UNION ALL SELECT doc_id, unnest({tokens('path')}), 2 FROM catalog
+            UNION ALL SELECT doc_id, unnest({tokens("array_to_string(entities, ' ')")}), 4 FROM catalog) f
+            ON f.doc_id = k.doc_id) k GROUP BY ALL"""),
 }
 
 

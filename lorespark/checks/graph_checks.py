@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.checks import fixtures as fx
 from lorespark.checks.registry import check
-from lorespark.checks.retrieval_checks import _CANDIDATES, corpus, show
+from lorespark.checks.retrieval_checks import _CANDIDATES, indexed, show
 from lorespark.operators import graph, joins
 from lorespark.operators import retrieval as rt
 from lorespark.operators.vectors import semantic_pairs, vector_channel
@@ -378,10 +378,10 @@ fx.define("hybrid", ["rescored"], _fuse_body("rescored"))
 
 
 def _hybrid_inputs(spark, sf, with_graph=True):
-    cat, chk, postings = corpus(spark, sf)
+    cat, chk, index = indexed(spark, sf)
     queries = fx.queries(spark, sf).join(fx.query_vectors(spark, sf), "query_id", "left")
     edges = joins.materialize(relation_graph(spark, sf).edges) if with_graph else None
-    return queries, Corpus(cat, chk, postings, fx.vectors(spark, sf), edges)
+    return queries, Corpus(cat, chk, index, fx.vectors(spark, sf), edges)
 
 
 @check("channel_union", fx.select(_CANDIDATES + "candidates", "candidates"))

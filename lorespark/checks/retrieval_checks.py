@@ -16,6 +16,12 @@ def corpus(spark, sf):
     return cat, chk, materialize(rt.build_postings(cat, chk))
 
 
+def indexed(spark, sf):
+    """Catalog, chunks and the keyword index over them."""
+    cat, chk, postings = corpus(spark, sf)
+    return cat, chk, rt.keyword_index(postings)
+
+
 def _keyword_ctes(prefix: str, queries: str) -> list[str]:
     """Recall and scoring CTEs over the CTE ``queries``."""
     fx.define(f"{prefix}_terms", [queries], f"""
@@ -26,18 +32,33 @@ def _keyword_ctes(prefix: str, queries: str) -> list[str]:
         JOIN postings p ON p.term = t.term JOIN catalog c ON c.doc_id = p.doc_id
         WHERE (t.filter_path = '' OR c.path = t.filter_path)
           AND (len(t.filter_tags) = 0 OR list_has_any(t.filter_tags, c.tags))""")
-    score = fx.keyword_sql("t.terms", "l.title_lc", "l.path_lc", "l.entities_lc", "k.content_lc")
-    fx.define(f"{prefix}_keyword", [f"{prefix}_recall", "lowered", "chunks"], f"""
+    # Points are found for every term once, by looking into whole texts and fields.
+    fx.define(f"{prefix}_asked", [f"{prefix}_terms"], f"""
+        SELECT query_id, unnest(terms) AS term FROM {prefix}_terms""")
+    fx.define(f"{prefix}_text_points", [f"{prefix}_asked", "chunks"], f"""
+        SELECT term, doc_id, chunk_index, CAST(least({fx.count_in('content_lc', 'term')}, 5) AS DOUBLE) AS points
+        FROM (SELECT DISTINCT term FROM {prefix}_asked)
+        JOIN (SELECT doc_id, chunk_index, lower(content) AS content_lc FROM chunks) ON contains(content_lc, term)""")
+    fx.define(f"{prefix}_field_points", [f"{prefix}_asked", "lowered"], f"""
+        SELECT term, doc_id, CAST((CASE WHEN contains(title_lc, term) THEN 3.0 ELSE 0.0 END)
+          + (CASE WHEN contains(path_lc, term) THEN 1.5 ELSE 0.0 END)
+          + (CASE WHEN contains(entities_lc, term) THEN 3.5 ELSE 0.0 END) AS DOUBLE) AS points
+        FROM (SELECT DISTINCT term FROM {prefix}_asked) JOIN lowered
+          ON contains(title_lc, term) OR contains(path_lc, term) OR contains(entities_lc, term)""")
+    fx.define(f"{prefix}_scores", [f"{prefix}_text_points", f"{prefix}_field_points"], f"""
+        SELECT query_id, doc_id, chunk_index, sum(points) AS raw_score FROM (
+          SELECT query_id, doc_id, chunk_index, points FROM {prefix}_asked JOIN {prefix}_text_points USING (term)
+          UNION ALL SELECT query_id, k.doc_id, k.chunk_index, points
+          FROM {prefix}_asked JOIN {prefix}_field_points f USING (term) JOIN chunks k ON k.doc_id = f.doc_id)
+        GROUP BY ALL""")
+    fx.define(f"{prefix}_keyword", [f"{prefix}_recall", f"{prefix}_scores"], f"""
         SELECT query_id, doc_id, chunk_index, 'keyword' AS channel, raw_score FROM (
           SELECT *, row_number() OVER (PARTITION BY query_id
             ORDER BY raw_score DESC, doc_id, chunk_index) AS rn FROM (
-            SELECT r.query_id, r.doc_id, r.chunk_index, t.top_k, {score} AS raw_score
-            FROM {prefix}_recall r JOIN lowered l ON l.doc_id = r.doc_id
-            JOIN (SELECT doc_id, chunk_index, lower(content) AS content_lc FROM chunks) k
-              ON k.doc_id = r.doc_id AND k.chunk_index = r.chunk_index
+            SELECT r.query_id, r.doc_id, r.chunk_index, t.top_k, s.raw_score
+            FROM {prefix}_recall r JOIN {prefix}_scores s USING (query_id, doc_id, chunk_index)
             JOIN {prefix}_terms t ON t.query_id = r.query_id) WHERE raw_score > 0)
         WHERE rn <= top_k""")
-    return [f"{prefix}_keyword"]
 
 
 _keyword_ctes("q", "queries")
@@ -54,7 +75,7 @@ def show(candidates):
 
 
 @check("postings_build", fx.select(
-    "SELECT term, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM postings", "postings"))
+    "SELECT term, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, tf, fields FROM postings", "postings"))
 def postings_build(spark, sf):
     postings = rt.build_postings(fx.catalog(spark, sf), fx.chunks(spark, sf))
     return postings.withColumn("chunk_index", F.col("chunk_index").cast("long"))
@@ -63,42 +84,34 @@ def postings_build(spark, sf):
 @check("keyword_recall", fx.select(
     "SELECT query_id, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index FROM f_recall", "f_recall"))
 def keyword_recall(spark, sf):
-    cat, _, postings = corpus(spark, sf)
+    cat, _, index = indexed(spark, sf)
     queries = rt.rewrite_queries(fx.filtered_queries(spark, sf))
-    return rt.keyword_recall(queries, postings, cat).withColumn(
+    return rt.keyword_recall(queries, index, cat).withColumn(
         "chunk_index", F.col("chunk_index").cast("long"))
 
 
 @check("keyword_channel", fx.select(_CANDIDATES + "q_keyword", "q_keyword"))
 def keyword_channel(spark, sf):
-    cat, chk, postings = corpus(spark, sf)
-    return show(rt.keyword_channel(rt.rewrite_queries(fx.queries(spark, sf)), postings, cat, chk))
+    cat, _, index = indexed(spark, sf)
+    return show(rt.keyword_channel(rt.rewrite_queries(fx.queries(spark, sf)), index, cat))
 
 
 @check("keyword_channel_filtered", fx.select(_CANDIDATES + "f_keyword", "f_keyword"))
 def keyword_channel_filtered(spark, sf):
-    cat, chk, postings = corpus(spark, sf)
-    return show(rt.keyword_channel(
-        rt.rewrite_queries(fx.filtered_queries(spark, sf)), postings, cat, chk))
-
+    cat, _, index = indexed(spark, sf)
+    return show(rt.keyword_channel(rt.rewrite_queries(fx.filtered_queries(spark, sf)), index, cat))
 
-_SCAN_SCORE = fx.keyword_sql("t.terms", "l.title_lc", "l.path_lc", "l.entities_lc", "k.content_lc")
 
-
-@check("keyword_scan_channel", fx.select(f"""
+@check("keyword_scan_channel", fx.select("""
     SELECT query_id, doc_id, CAST(chunk_index AS BIGINT) AS chunk_index, 'keyword' AS channel,
       round(raw_score, 6) AS raw_score FROM (
-      SELECT *, row_number() OVER (PARTITION BY query_id
-        ORDER BY raw_score DESC, doc_id, chunk_index) AS rn FROM (
-        SELECT t.query_id, k.doc_id, k.chunk_index, t.top_k, {_SCAN_SCORE} AS raw_score
-        FROM q_terms t, lowered l
-        JOIN (SELECT doc_id, chunk_index, lower(content) AS content_lc FROM chunks) k
-          ON k.doc_id = l.doc_id) WHERE raw_score > 0)
-    WHERE rn <= top_k""", "q_terms", "lowered", "chunks"))
+      SELECT s.*, t.top_k, row_number() OVER (PARTITION BY query_id
+        ORDER BY raw_score DESC, doc_id, chunk_index) AS rn
+      FROM q_scores s JOIN q_terms t USING (query_id) WHERE raw_score > 0)
+    WHERE rn <= top_k""", "q_terms", "q_scores"))
 def keyword_scan_channel(spark, sf):
-    cat, chk, postings = corpus(spark, sf)
-    queries = rt.rewrite_queries(fx.queries(spark, sf))
-    return show(rt.keyword_scan_channel(queries, postings, cat, chk))
+    cat, _, index = indexed(spark, sf)
+    return show(rt.keyword_scan_channel(rt.rewrite_queries(fx.queries(spark, sf)), index, cat))
 
 
 def _structure_cte(prefix: str, queries: str) -> None:

@@ -368,10 +368,10 @@ def redact_payload(spark, sf):
     FROM (SELECT k.query_id, k.doc_id, k.chunk_index, k.raw_score, least(k.raw_score / 10.0, 1.0) AS final_score, c.title, c.path
       FROM q_keyword k JOIN catalog c ON c.doc_id = k.doc_id)""", "q_keyword", "catalog"))
 def hit_projection(spark, sf):
-    from lorespark.checks.retrieval_checks import corpus
+    from lorespark.checks.retrieval_checks import indexed
 
-    cat, chk, postings = corpus(spark, sf)
-    found = rt.keyword_channel(rt.rewrite_queries(fx.queries(spark, sf)), postings, cat, chk)
+    cat, _, index = indexed(spark, sf)
+    found = rt.keyword_channel(rt.rewrite_queries(fx.queries(spark, sf)), index, cat)
     hits = found.join(cat.select("doc_id", "title", "path"), "doc_id").withColumn(
         "final_score", scoring.normalize_score(F.col("channel"), F.col("raw_score")))
     return rt.present_hits(hits).select(

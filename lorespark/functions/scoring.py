@@ -25,6 +25,14 @@ def _sum_over(items: Column, points: Callable[[Column], Column], zero: Column) -
     return F.aggregate(items, zero, lambda total, item: total + points(item))
 
 
+def keyword_impact(occurs: Column, title: Column, path: Column, entities: Column) -> Column:
+    """What one term adds to the keyword score: occurrences in the text, capped, and field hits."""
+    return (
+        _points(title, KEYWORD_TITLE) + _points(path, KEYWORD_PATH) + _points(entities, KEYWORD_ENTITY)
+        + F.least(occurs, F.lit(KEYWORD_COUNT_CAP)).cast("double")
+    )
+
+
 def keyword_score(
     terms: Column, title: Column, path: Column, entities: Column, content: Column
 ) -> Column:

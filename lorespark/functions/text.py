@@ -55,6 +55,12 @@ def _bigrams(token: Column) -> Column:
     )
 
 
+def cjk_bigrams(text: Column) -> Column:
+    """Distinct bigrams of the CJK runs of all tokens."""
+    cut = F.array_distinct(F.flatten(F.transform(tokenize(text), _bigrams)))
+    return F.when(text.rlike(CJK_RUN), cut).otherwise(empty_strings())
+
+
 def keyword_terms(text: Column) -> Column:
     """Distinct tokens plus the bigrams of CJK runs, in order of first occurrence."""
     tokens = tokenize(text)

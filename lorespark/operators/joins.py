@@ -105,14 +105,25 @@ def _longest_grams(text: Column) -> Column:
     )
 
 
-def containment_join(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
+def gram_table(haystacks: DataFrame) -> DataFrame:
+    """hay, gram of every distinct text of ``haystacks`` (hay): all grams up to GRAM characters.
+
+    Kept at rest, it answers :func:`containment_join` without cutting the texts again.
+    """
+    hays = haystacks.filter(F.col("hay") != "").distinct()
+    return hays.select("hay", F.explode(_all_grams(F.col("hay"))).alias("gram"))
+
+
+def containment_join(
+    needles: DataFrame, haystacks: DataFrame | None = None, grams: DataFrame | None = None
+) -> DataFrame:
     """All pairs (needle, hay) where the text ``needle`` occurs inside ``hay``.
 
     Every needle is looked up by its rarest character gram, so the work follows the
     number of texts that can match instead of needles x haystacks. Inputs are one-column
-    tables ``needle`` and ``hay``; equal texts are compared once.
+    tables ``needle`` and ``hay``, or the ready ``grams`` of the hays; equal texts are
+    compared once.
     """
-    hays = haystacks.filter(F.col("hay") != "").distinct()
     needle_grams = materialize(
         needles.filter(F.col("needle") != "").distinct().select(
             "needle", F.explode(_longest_grams(F.col("needle"))).alias("gram")
@@ -120,7 +131,7 @@ def containment_join(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
     )
     # Grams that no needle has are dropped before anything is counted or shuffled.
     hay_grams = materialize(
-        hays.select("hay", F.explode(_all_grams(F.col("hay"))).alias("gram")).join(
+        (gram_table(haystacks) if grams is None else grams.select("hay", "gram")).join(
             needle_grams.select("gram").distinct(), "gram", "left_semi"
         )
     )
@@ -133,4 +144,5 @@ def containment_join(needles: DataFrame, haystacks: DataFrame) -> DataFrame:
         .select("needle", F.col("best.gram").alias("gram"))
     )
     pairs = salted_join(hay_grams, keyed, ["gram"], spread=["hay"])
-    return pairs.filter(F.contains("hay", "needle")).select("needle", "hay")
+    # A needle that is its own gram occurs in all hays with that gram.
+    return pairs.filter((F.col("needle") == F.col("gram")) | F.contains("hay", "needle")).select("needle", "hay")

@@ -4,13 +4,15 @@ Tables and their columns:
   queries     query_id, text (rewritten), top_k, filter_tags, filter_path
   catalog     doc_id, title, path, tags, entities, ...
   chunks      doc_id, chunk_index, total_chunks, content
-  postings    term, doc_id, chunk_index
+  postings    term, doc_id, chunk_index, tf, fields
   candidates  query_id, doc_id, chunk_index, channel, raw_score
 Scores tie-break on doc_id, then chunk_index.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ from lorespark.functions import scoring, text
 from lorespark.operators.joins import (
     containment_join,
     first_per,
+    gram_table,
+    materialize,
     salted_join,
     top_per_query,
 )
@@ -68,62 +72,162 @@ def matches_filters() -> Column:
     return path_ok & tags_ok
 
 
+def has_filters() -> Column:
+    return (F.col("filter_path") != "") | (F.size("filter_tags") > 0)
+
+
+# Marks of the fields in which a term stands.
+IN_TITLE, IN_PATH, IN_ENTITIES = 1, 2, 4
+#: Postings of one term that may lie together; a more frequent term is spread over several shards.
+SHARD_ROWS = 2_000_000
+#: Queries of a batch that may be sent to every task.
+BATCH = 100_000
+
+
 def build_postings(catalog: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Inverted index. Terms of a document's fields are cut once, not once per chunk."""
-    fields = catalog.filter(F.col("doc_id") != "").select(
-        "doc_id",
-        text.keyword_terms(
-            F.concat_ws(" ", "doc_id", "title", "path", F.array_join("entities", " "))
-        ).alias("doc_terms"),
+    """Inverted index: term, doc_id, chunk_index, tf, fields.
+
+    ``tf`` counts the token in the chunk's text; ``fields`` marks the fields of the document that
+    have it. What a term adds to a score is known from its postings, so chunk texts are not read
+    again. Bigrams of CJK runs and tokens of the id only recall: they have neither.
+    """
+    def entries(terms: Column, tf: int, mark: int) -> Column:
+        return F.transform(
+            F.coalesce(terms, text.empty_strings()),
+            lambda t: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(mark).alias("fields")))
+
+    entities = F.array_join("entities", " ")
+    everything = F.concat_ws(" ", "doc_id", "title", "path", entities)
+    marks = F.concat(
+        entries(text.tokenize(F.col("title")), 0, IN_TITLE), entries(text.tokenize(F.col("path")), 0, IN_PATH),
+        entries(text.tokenize(entities), 0, IN_ENTITIES), entries(text.tokenize(F.col("doc_id")), 0, 0),
+        entries(text.cjk_bigrams(everything), 0, 0),
     )
-    cut = chunks.select(*CHUNK_KEY, text.keyword_terms(F.col("content")).alias("chunk_terms"))
-    merged = F.array_distinct(F.concat("doc_terms", "chunk_terms"))
-    return cut.join(fields, "doc_id").select(F.explode(merged).alias("term"), *CHUNK_KEY)
+    fields = catalog.filter(F.col("doc_id") != "").select("doc_id", F.array_distinct(marks).alias("marks"))
+    content = F.concat(
+        entries(text.tokenize(F.col("content")), 1, 0), entries(text.cjk_bigrams(F.col("content")), 0, 0))
+    cut = chunks.select(*CHUNK_KEY, content.alias("tokens"))
+    posted = cut.join(fields, "doc_id").select(
+        *CHUNK_KEY, F.explode(F.concat("marks", "tokens")).alias("e")).select(*CHUNK_KEY, "e.*")
+    return posted.groupBy("term", *CHUNK_KEY).agg(
+        F.sum("tf").cast("int").alias("tf"), F.bit_or("fields").alias("fields"))
+
+
+@dataclass(frozen=True)
+class KeywordIndex:
+    """Tables that keyword search reads.
+
+    postings    term, shard, doc_id, chunk_index, tf, fields; at rest in buckets of (term, shard)
+    vocabulary  hay, gram: the tokens by their character grams
+    hot         term, shards: terms that lie in more than one shard
+    """
+
+    postings: DataFrame
+    vocabulary: DataFrame
+    hot: DataFrame
+
+
+def keyword_index(postings: DataFrame, shard_rows: int = SHARD_ROWS) -> KeywordIndex:
+    """The index over ``postings``. Frequent terms are measured, and only they are spread."""
+    counted = postings.groupBy("term").agg(F.count("*").alias("n"))
+    hot = materialize(counted.filter(F.col("n") > shard_rows).select(
+        "term", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards")))
+    # No more hot terms than rows / shard_rows, so they travel to the tasks.
+    spread = postings.join(F.broadcast(hot), "term", "left").withColumn(
+        "shard", F.pmod(F.xxhash64(*CHUNK_KEY), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
+    tokens = postings.filter("tf > 0 OR fields > 0").select(F.col("term").alias("hay"))
+    return KeywordIndex(spread, materialize(gram_table(tokens)), hot)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(text.keyword_terms(F.col("text"))).alias("term"))
 
 
-def _term_hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Distinct (query, chunk) whose postings hold one of the query's terms."""
-    hits = salted_join(postings, terms, ["term"], spread=CHUNK_KEY)
-    return hits.select("query_id", *CHUNK_KEY).distinct()
+def _lookup(index: KeywordIndex, found: DataFrame) -> DataFrame:
+    """Postings of the tokens in ``found`` (token, ...) with its other columns; the index stays where it is."""
+    shards = F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1))
+    asked = found.withColumnRenamed("token", "term").join(F.broadcast(index.hot), "term", "left").withColumn(
+        "shard", shards).drop("shards")
+    return index.postings.join(materialize(asked), ["term", "shard"])
+
+
+def matching_documents(queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(query, document) pairs that pass the filters of the queries that have any."""
+    asked = queries.filter(has_filters()).select("query_id", "filter_path", "filter_tags")
+    fields = catalog.select("doc_id", "path", "tags")
+    in_dir = fields.join(asked.filter("filter_path <> ''"), F.col("path") == F.col("filter_path"))
+    any_dir = asked.filter("filter_path = ''").withColumn("tag", F.explode("filter_tags"))
+    tagged = fields.withColumn("tag", F.explode("tags")).join(any_dir, "tag").drop("tag")
+    return in_dir.unionByName(tagged).filter(matches_filters()).select("query_id", "doc_id").distinct()
+
 
+def _pass_filters(found: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``found`` (query_id, doc_id, ...) without what the query's filters reject."""
+    if not queries.filter(has_filters()).limit(1).count():
+        return found
+    limited = queries.select("query_id", has_filters().alias("_limited"))
+    flagged = found.join(F.broadcast(limited) if queries.count() <= BATCH else limited, "query_id")
+    free = flagged.filter("NOT _limited").drop("_limited")
+    held = flagged.filter("_limited").drop("_limited")
+    return free.unionByName(held.join(matching_documents(queries, catalog), ["query_id", "doc_id"], "left_semi"))
 
-def keyword_recall(queries: DataFrame, postings: DataFrame, catalog: DataFrame) -> DataFrame:
+
+def keyword_recall(queries: DataFrame, index: KeywordIndex, catalog: DataFrame) -> DataFrame:
     """Distinct (query, chunk) that share a term and pass the query's filters."""
-    return (
-        _term_hits(query_terms(queries), postings)
-        .join(queries.select("query_id", "filter_path", "filter_tags"), "query_id")
-        .join(catalog.select("doc_id", "path", "tags"), "doc_id")
-        .filter(matches_filters())
-        .select("query_id", *CHUNK_KEY)
-    )
+    asked = query_terms(queries).groupBy(F.col("term").alias("token")).agg(F.collect_set("query_id").alias("asking"))
+    hits = _lookup(index, asked).select(F.explode("asking").alias("query_id"), *CHUNK_KEY).distinct()
+    return _pass_filters(hits, queries, catalog).select("query_id", *CHUNK_KEY)
 
 
-def _score_keywords(
-    hits: DataFrame, queries: DataFrame, catalog: DataFrame, chunks: DataFrame
-) -> DataFrame:
-    """Keyword scores of the hits that pass their query's filters."""
-    asked = queries.select(
-        "query_id", "top_k", "filter_path", "filter_tags",
-        text.keyword_terms(F.col("text")).alias("terms"),
-    )
-    lowered = chunks.select(*CHUNK_KEY, F.lower("content").alias("content_lc"))
-    score = scoring.keyword_score(
-        F.col("terms"), F.col("title_lc"), F.col("path_lc"), F.col("entities_lc"),
-        F.col("content_lc"),
+def expand_terms(terms: DataFrame, index: KeywordIndex) -> DataFrame:
+    """term, token, n: the tokens that hold a term, and how often.
+
+    A term has no separator, so it occurs in a text as often as in the text's tokens together.
+    """
+    inside = containment_join(terms.select(F.col("term").alias("needle")), grams=index.vocabulary)
+    counted = inside.select(
+        F.col("needle").alias("term"), F.col("hay").alias("token"),
+        text.substring_count(F.col("hay"), F.col("needle")).alias("n"))
+    itself = terms.select("term", F.col("term").alias("token"), F.lit(1).alias("n"))
+    return counted.unionByName(itself).distinct()
+
+
+def keyword_scores(queries: DataFrame, index: KeywordIndex) -> DataFrame:
+    """query_id, doc_id, chunk_index, raw_score, recalled of every chunk in which a query's term occurs.
+
+    ``recalled``: the chunk has a whole token or field token that is a term of the query. Scores
+    come from the postings alone. Matched postings move once, to the chunk they belong to; sums by
+    term and by query then need no further shuffle.
+    """
+    asked = materialize(query_terms(queries))
+    terms = materialize(asked.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
+    entry = F.struct("term_id", "n", (F.col("token") == F.col("term")).alias("whole"))
+    found = expand_terms(terms.select("term"), index).join(terms, "term").groupBy("token").agg(
+        F.collect_list(entry).alias("found"))
+    here = (
+        _lookup(index, found).select(*CHUNK_KEY, "tf", "fields", "found")
+        .repartition(*CHUNK_KEY)
+        .select(*CHUNK_KEY, "tf", "fields", F.explode("found").alias("f"))
+        .groupBy(*CHUNK_KEY, F.col("f.term_id").alias("term_id"))
+        .agg(F.sum(F.col("tf") * F.col("f.n")).alias("occurs"), F.bit_or("fields").alias("fields"),
+             F.max("f.whole").alias("whole"))
+        .select(*CHUNK_KEY, "term_id", "whole", scoring.keyword_impact(F.col("occurs"), *[
+            F.col("fields").bitwiseAND(m) > 0 for m in (IN_TITLE, IN_PATH, IN_ENTITIES)]).alias("impact"))
     )
+    asking = asked.join(terms, "term").groupBy("term_id").agg(F.collect_list("query_id").alias("asking"))
     return (
-        hits.join(asked, "query_id")
-        .join(lower_fields(catalog), "doc_id")
-        .filter(matches_filters())
-        .join(lowered, CHUNK_KEY)
-        .select("query_id", *CHUNK_KEY, "top_k", score.alias("raw_score"))
+        here.join(materialize(asking), "term_id")
+        .select(*CHUNK_KEY, "impact", "whole", F.explode("asking").alias("query_id"))
+        .groupBy(*CHUNK_KEY, "query_id")
+        .agg(F.sum("impact").alias("raw_score"), F.max("whole").alias("recalled"))
     )
 
 
+def _best_keywords(found: DataFrame, queries: DataFrame, catalog: DataFrame) -> DataFrame:
+    allowed = _pass_filters(found.filter("raw_score > 0"), queries, catalog)
+    return _as_candidates(allowed.join(queries.select("query_id", "top_k"), "query_id"), "keyword")
+
+
 def _as_candidates(scored: DataFrame, channel: str) -> DataFrame:
     # Zero scores rank last, so dropping them after the ranking gives the same rows and
     # spares evaluating the score once more for a filter below it.
@@ -131,32 +235,14 @@ def _as_candidates(scored: DataFrame, channel: str) -> DataFrame:
     return best.withColumn("channel", F.lit(channel)).select(*CANDIDATE)
 
 
-def keyword_channel(
-    queries: DataFrame, postings: DataFrame, catalog: DataFrame, chunks: DataFrame
-) -> DataFrame:
-    hits = _term_hits(query_terms(queries), postings)
-    return _as_candidates(_score_keywords(hits, queries, catalog, chunks), "keyword")
+def keyword_channel(queries: DataFrame, index: KeywordIndex, catalog: DataFrame) -> DataFrame:
+    """Best chunks among those that have a term of the query as a token of text or fields."""
+    return _best_keywords(keyword_scores(queries, index).filter("recalled"), queries, catalog)
 
 
-def keyword_scan_channel(
-    queries: DataFrame, postings: DataFrame, catalog: DataFrame, chunks: DataFrame
-) -> DataFrame:
-    """Substring recall: every chunk that contains a query term anywhere.
-
-    A term holds no separator, so it occurs in a text exactly when it occurs in one of
-    the text's tokens. Terms are therefore expanded over the vocabulary first and looked
-    up in the postings, instead of scanning all chunks for all queries.
-    """
-    terms = query_terms(queries)
-    vocabulary = postings.select(F.col("term").alias("hay")).distinct()
-    expanded = containment_join(terms.select(F.col("term").alias("needle")), vocabulary)
-    wide = (
-        terms.join(expanded, terms.term == expanded.needle)
-        .select("query_id", F.col("hay").alias("term"))
-        .distinct()
-    )
-    hits = _term_hits(wide, postings)
-    return _as_candidates(_score_keywords(hits, queries, catalog, chunks), "keyword")
+def keyword_scan_channel(queries: DataFrame, index: KeywordIndex, catalog: DataFrame) -> DataFrame:
+    """Best chunks among all that contain a query term anywhere, also inside tokens."""
+    return _best_keywords(keyword_scores(queries, index), queries, catalog)
 
 
 def structure_matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:

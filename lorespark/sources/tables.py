@@ -78,8 +78,9 @@ def append_versions(versions: DataFrame, folder: str) -> None:
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int) -> None:
-    """Postings bucketed by term, so that lookups do not shuffle them."""
-    postings.write.mode("overwrite").bucketBy(buckets, "term").sortBy("term").saveAsTable(table)
+    """Postings bucketed by term (and shard, where they have one), so that lookups do not shuffle them."""
+    keys = [c for c in ("term", "shard") if c in postings.columns]
+    postings.write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
 
 
 def write_chunks(chunks: DataFrame, table: str, buckets: int) -> None:

@@ -45,9 +45,9 @@ def hits(df):
 
 def test_keyword_channel_and_filters(spark):
     cat, chk = small_corpus(spark)
-    post = rt.build_postings(cat, chk)
+    index = rt.keyword_index(rt.build_postings(cat, chk))
     asked = queries(spark, ("alpha", [], ""), ("alpha", ["ops"], ""), ("alpha", [], "refs"), ("知识库检索", [], ""), ("absent", [], ""))
-    got = hits(rt.keyword_channel(asked, post, cat, chk))
+    got = hits(rt.keyword_channel(asked, index, cat))
     assert got == {
         (0, "doc-1", 0): 3.0, (0, "doc-1", 1): 3.0, (0, "doc-2", 0): 1.0, (1, "doc-1", 0): 3.0, (1, "doc-1", 1): 3.0,
         (2, "doc-2", 0): 1.0, (3, "doc-3", 0): 6.0}
@@ -55,11 +55,100 @@ def test_keyword_channel_and_filters(spark):
 
 def test_scan_channel_finds_terms_inside_tokens(spark):
     cat, chk = small_corpus(spark)
-    post = rt.build_postings(cat, chk)
+    index = rt.keyword_index(rt.build_postings(cat, chk))
     asked = queries(spark, ("oll", [], ""), ("a", [], "guides"))
-    got = hits(rt.keyword_scan_channel(asked, post, cat, chk))
+    got = hits(rt.keyword_scan_channel(asked, index, cat))
     assert got[(0, "doc-1", 1)] == 1.0
-    assert (1, "doc-1", 0) in got and not rt.keyword_channel(asked, post, cat, chk).filter("query_id = 0").count()
+    assert (1, "doc-1", 0) in got and not rt.keyword_channel(asked, index, cat).filter("query_id = 0").count()
+
+
+def plain_keyword_scores(docs, asked, scan):
+    """Scores by looking into whole texts: {(query, doc, chunk): score}."""
+    out = {}
+    for q, words in enumerate(asked):
+        terms = list(dict.fromkeys(words.lower().split()))
+        for d, title, path, entities, contents in docs:
+            fields = (title.lower(), path.lower(), " ".join(entities).lower())
+            for i, content in enumerate(contents):
+                own = set(" ".join([d, title, path, *entities, content]).lower().split())
+                if not scan and not own & set(terms):
+                    continue
+                score = sum(min(content.lower().count(t), 5) + sum(p for f, p in zip(fields, (3.0, 1.5, 3.5)) if t in f) for t in terms)
+                if score > 0:
+                    out[q, d, i] = score
+    return out
+
+
+def random_corpus(spark, seed, count):
+    rng = random.Random(seed)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abAc") for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+    docs = [(f"d{i:02}", words(3), f"p{i % 3}", [words(1), words(2)], [words(rng.randint(0, 30)) for _ in range(3)]) for i in range(count)]
+    cat = catalog(spark, *[(d, t, p, ["odd" if i % 2 else "even"], e) for i, (d, t, p, e, _) in enumerate(docs)])
+    chk = spark.createDataFrame([(d, i, 3, c) for d, _, _, _, cs in docs for i, c in enumerate(cs)], CHUNKS)
+    return docs, cat, chk, [words(rng.randint(1, 12)) for _ in range(8)]
+
+
+def test_keyword_scores_against_whole_texts(spark):
+    docs, cat, chk, asked = random_corpus(spark, 17, 30)
+    # Small shards: most terms are hot and lie in several of them.
+    for rows in (2_000_000, 7):
+        index = rt.keyword_index(rt.build_postings(cat, chk), shard_rows=rows)
+        assert bool(index.hot.count()) == (rows == 7)
+        scores = rt.keyword_scores(queries(spark, *[(a, [], "") for a in asked]), index).filter("raw_score > 0")
+        for scan in (False, True):
+            got = scores if scan else scores.filter("recalled")
+            assert hits(got) == plain_keyword_scores(docs, asked, scan)
+
+
+def test_keyword_filters_against_whole_texts(spark):
+    docs, cat, chk, asked = random_corpus(spark, 18, 24)
+    index = rt.keyword_index(rt.build_postings(cat, chk))
+    limits = [([], ""), (["odd"], ""), ([], "p1"), (["even", "odd"], "p2"), (["none"], ""), ([], "p0"), (["odd"], "p0"), ([], "")]
+    batch = queries(spark, *[(a, tags, path) for a, (tags, path) in zip(asked, limits)])
+    scores = plain_keyword_scores(docs, asked, False)
+    tags = {d[0]: {"odd" if i % 2 else "even"} for i, d in enumerate(docs)}
+    paths = {d[0]: d[2] for d in docs}
+    want = {}
+    for q, (some, path) in enumerate(limits):
+        own = [(-s, d, i) for (o, d, i), s in scores.items() if o == q and (not some or tags[d] & set(some)) and path in ("", paths[d])]
+        want |= {(q, d, i): -s for s, d, i in sorted(own)[:5]}
+    assert hits(rt.keyword_channel(batch, index, cat)) == want
+    recalled = {(r.query_id, r.doc_id, r.chunk_index) for r in rt.keyword_recall(batch, index, cat).collect()}
+    assert set(want) <= recalled and all((not limits[q][0] or tags[d] & set(limits[q][0])) for q, d, _ in recalled)
+
+
+def test_a_chunk_of_one_very_common_term(spark):
+    """One term in every chunk and many times in one: counts are capped, nothing else is."""
+    cat = catalog(spark, *[(f"d{i:03}", "t", "p", [], []) for i in range(200)])
+    chk = spark.createDataFrame([(f"d{i:03}", 0, 1, "hot " * (1 + i % 9)) for i in range(200)], CHUNKS)
+    index = rt.keyword_index(rt.build_postings(cat, chk), shard_rows=10)
+    got = hits(rt.keyword_scores(queries(spark, ("hot", [], "")), index))
+    assert got == {(0, f"d{i:03}", 0): float(min(1 + i % 9, 5)) for i in range(200)}
+
+
+def test_keyword_search_reads_no_chunk_text_and_leaves_the_index_in_place(spark):
+    from lorespark.sources import tables
+
+    docs, cat, chk, asked = random_corpus(spark, 19, 10)
+    built = rt.keyword_index(rt.build_postings(cat, chk), shard_rows=20)
+    tables.write_postings(built.postings, "test_index", 4)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = rt.KeywordIndex(spark.table("test_index"), built.vocabulary, built.hot)
+        found = rt.keyword_channel(queries(spark, *[(a, [], "") for a in asked]), index, cat)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        # Down from the join to the scan of the index there is a sort at most.
+        scan = plan.index("test_index")
+        above = plan[:scan].rsplit("Join", 1)[1]
+        assert "Exchange" not in above and "content" not in plan
+        assert found.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.sql("DROP TABLE test_index")
 
 
 def test_structure_channel(spark):
@@ -252,7 +341,7 @@ def test_components_against_brute_force(spark):
 
 def test_hybrid_search_without_vectors_or_graph(spark):
     cat, chk = small_corpus(spark)
-    corpus = Corpus(cat, chk, rt.build_postings(cat, chk))
+    corpus = Corpus(cat, chk, rt.keyword_index(rt.build_postings(cat, chk)))
     rows = hybrid_search(queries(spark, ("data portal", [], "")), corpus).orderBy("rank").collect()
     assert rows[0].doc_id == "doc-1" and rows[0].context_after == "rollback steps"
     assert rows[0].citation == "guides:Alpha Manual#chunk-0"
