@@ -84,34 +84,32 @@ def top_per_query(df: DataFrame, score: str, rank: str = "rank") -> DataFrame:
 
 
 def _grams(text: Column, length: int) -> Column:
-    return F.when(
-        F.length(text) >= length,
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(text) - (length - 1), F.lit(1))),
-            lambda i: F.substring(text, i, F.lit(length)),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
+    """All grams of ``length`` characters; the pattern looks ahead, so they overlap."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=({'.' * length}))"), F.lit(1))
 
 
 def _all_grams(text: Column) -> Column:
-    parts = [_grams(text, n) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(*parts))
+    return F.array_distinct(F.concat(*[_grams(text, n) for n in range(1, GRAM + 1)]))
 
 
 def _longest_grams(text: Column) -> Column:
     """Grams of one length: GRAM, or the whole text when it is shorter."""
-    return F.array_distinct(
-        F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, GRAM))
-    )
+    return F.array_distinct(F.when(F.length(text) < GRAM, F.array(text)).otherwise(_grams(text, GRAM)))
+
+
+def _distinct_texts(texts: DataFrame, name: str) -> DataFrame:
+    """Distinct texts that are not empty, over all tasks: few bytes of text make many grams."""
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.filter(F.col(name) != "").repartition(tasks, name).distinct()
 
 
 def gram_table(haystacks: DataFrame) -> DataFrame:
     """hay, gram of every distinct text of ``haystacks`` (hay): all grams up to GRAM characters.
 
-    Kept at rest, it answers :func:`containment_join` without cutting the texts again.
+    Kept at rest, it answers :func:`containment_join` without cutting the texts again. For short
+    texts such as tokens: every gram comes with the whole text.
     """
-    hays = haystacks.filter(F.col("hay") != "").distinct()
-    return hays.select("hay", F.explode(_all_grams(F.col("hay"))).alias("gram"))
+    return _distinct_texts(haystacks, "hay").select("hay", F.explode(_all_grams(F.col("hay"))).alias("gram"))
 
 
 def containment_join(
@@ -122,27 +120,32 @@ def containment_join(
     Every needle is looked up by its rarest character gram, so the work follows the
     number of texts that can match instead of needles x haystacks. Inputs are one-column
     tables ``needle`` and ``hay``, or the ready ``grams`` of the hays; equal texts are
-    compared once.
+    compared once. Long hays are known by a number until a needle's gram is found in them.
     """
     needle_grams = materialize(
-        needles.filter(F.col("needle") != "").distinct().select(
-            "needle", F.explode(_longest_grams(F.col("needle"))).alias("gram")
-        )
+        _distinct_texts(needles, "needle").select("needle", F.explode(_longest_grams(F.col("needle"))).alias("gram"))
     )
     # Grams that no needle has are dropped before anything is counted or shuffled.
-    hay_grams = materialize(
-        (gram_table(haystacks) if grams is None else grams.select("hay", "gram")).join(
-            needle_grams.select("gram").distinct(), "gram", "left_semi"
-        )
-    )
+    wanted = needle_grams.select("gram").distinct()
+    if grams is None:
+        hays = materialize(_distinct_texts(haystacks, "hay").withColumn("hay_id", F.monotonically_increasing_id()))
+        cut = hays.select("hay_id", F.explode(_all_grams(F.col("hay"))).alias("gram"))
+        hay_grams = materialize(cut.join(wanted, "gram", "left_semi"))
+    else:
+        hay_grams = grams.select("hay", "gram").join(wanted, "gram", "left_semi")
     frequency = hay_grams.groupBy("gram").agg(F.count("*").alias("df"))
-    keyed = (
+    # Written, so that its measured size decides whether it can travel to the tasks.
+    keyed = materialize(
         needle_grams.join(frequency, "gram", "left")
         .groupBy("needle")
         .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"))
+        # A needle with a gram that no hay has is in none.
         .filter("best.df > 0")
         .select("needle", F.col("best.gram").alias("gram"))
     )
-    pairs = salted_join(hay_grams, keyed, ["gram"], spread=["hay"])
+    if grams is None:
+        found = salted_join(hay_grams, keyed, ["gram"], spread=["hay_id"]).join(hays, "hay_id")
+    else:
+        found = salted_join(grams.select("hay", "gram"), keyed, ["gram"], spread=["hay"])
     # A needle that is its own gram occurs in all hays with that gram.
-    return pairs.filter((F.col("needle") == F.col("gram")) | F.contains("hay", "needle")).select("needle", "hay")
+    return found.filter((F.col("needle") == F.col("gram")) | F.contains("hay", "needle")).select("needle", "hay")

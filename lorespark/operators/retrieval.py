@@ -106,8 +106,7 @@ def build_postings(catalog: DataFrame, chunks: DataFrame) -> DataFrame:
     fields = catalog.filter(F.col("doc_id") != "").select("doc_id", F.array_distinct(marks).alias("marks"))
     content = F.concat(
         entries(text.tokenize(F.col("content")), 1, 0), entries(text.cjk_bigrams(F.col("content")), 0, 0))
-    cut = chunks.select(*CHUNK_KEY, content.alias("tokens"))
-    posted = cut.join(fields, "doc_id").select(
+    posted = chunks.select(*CHUNK_KEY, content.alias("tokens")).join(fields, "doc_id").select(
         *CHUNK_KEY, F.explode(F.concat("marks", "tokens")).alias("e")).select(*CHUNK_KEY, "e.*")
     return posted.groupBy("term", *CHUNK_KEY).agg(
         F.sum("tf").cast("int").alias("tf"), F.bit_or("fields").alias("fields"))
@@ -180,16 +179,15 @@ def keyword_recall(queries: DataFrame, index: KeywordIndex, catalog: DataFrame)
 
 
 def expand_terms(terms: DataFrame, index: KeywordIndex) -> DataFrame:
-    """term, token, n: the tokens that hold a term, and how often.
+    """term, token, n: the tokens that hold a term of ``terms`` (distinct), and how often.
 
     A term has no separator, so it occurs in a text as often as in the text's tokens together.
     """
     inside = containment_join(terms.select(F.col("term").alias("needle")), grams=index.vocabulary)
-    counted = inside.select(
+    counted = inside.filter("needle <> hay").select(
         F.col("needle").alias("term"), F.col("hay").alias("token"),
         text.substring_count(F.col("hay"), F.col("needle")).alias("n"))
-    itself = terms.select("term", F.col("term").alias("token"), F.lit(1).alias("n"))
-    return counted.unionByName(itself).distinct()
+    return counted.unionByName(terms.select("term", F.col("term").alias("token"), F.lit(1).alias("n")))
 
 
 def keyword_scores(queries: DataFrame, index: KeywordIndex) -> DataFrame:
@@ -201,16 +199,18 @@ def keyword_scores(queries: DataFrame, index: KeywordIndex) -> DataFrame:
     """
     asked = materialize(query_terms(queries))
     terms = materialize(asked.select("term").distinct().withColumn("term_id", F.monotonically_increasing_id()))
-    entry = F.struct("term_id", "n", (F.col("token") == F.col("term")).alias("whole"))
+    # One number holds the term, how often the token has it (as far as it counts) and if it is the token.
+    packed = F.shiftleft("term_id", 4) + F.least("n", F.lit(scoring.KEYWORD_COUNT_CAP)) * 2 + (
+        F.col("token") == F.col("term")).cast("int")
     found = expand_terms(terms.select("term"), index).join(terms, "term").groupBy("token").agg(
-        F.collect_list(entry).alias("found"))
+        F.collect_list(packed).alias("found"))
     here = (
         _lookup(index, found).select(*CHUNK_KEY, "tf", "fields", "found")
         .repartition(*CHUNK_KEY)
         .select(*CHUNK_KEY, "tf", "fields", F.explode("found").alias("f"))
-        .groupBy(*CHUNK_KEY, F.col("f.term_id").alias("term_id"))
-        .agg(F.sum(F.col("tf") * F.col("f.n")).alias("occurs"), F.bit_or("fields").alias("fields"),
-             F.max("f.whole").alias("whole"))
+        .groupBy(*CHUNK_KEY, F.shiftright("f", 4).alias("term_id"))
+        .agg(F.sum(F.col("tf") * F.shiftright(F.col("f").bitwiseAND(15), 1)).alias("occurs"),
+             F.bit_or("fields").alias("fields"), (F.max(F.col("f").bitwiseAND(1)) == 1).alias("whole"))
         .select(*CHUNK_KEY, "term_id", "whole", scoring.keyword_impact(F.col("occurs"), *[
             F.col("fields").bitwiseAND(m) > 0 for m in (IN_TITLE, IN_PATH, IN_ENTITIES)]).alias("impact"))
     )
