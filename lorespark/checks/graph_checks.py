@@ -380,8 +380,8 @@ fx.define("hybrid", ["rescored"], _fuse_body("rescored"))
 def _hybrid_inputs(spark, sf, with_graph=True):
     cat, chk, index = indexed(spark, sf)
     queries = fx.queries(spark, sf).join(fx.query_vectors(spark, sf), "query_id", "left")
-    edges = joins.materialize(relation_graph(spark, sf).edges) if with_graph else None
-    return queries, Corpus(cat, chk, index, fx.vectors(spark, sf), edges)
+    links = graph.graph_index(relation_graph(spark, sf).edges, cat, chk) if with_graph else None
+    return queries, Corpus(cat, chk, index, fx.vectors(spark, sf), links)
 
 
 @check("channel_union", fx.select(_CANDIDATES + "candidates", "candidates"))
@@ -445,7 +445,7 @@ def seed_docs(spark, sf):
 def graph_expand(spark, sf):
     asked, tables, _, fused = _fused(spark, sf, with_graph=True)
     found = graph.graph_expand(
-        fused, asked, graph.adjacency(tables.edges), tables.catalog, tables.chunks)
+        fused, asked, tables.graph, tables.catalog, tables.chunks)
     return found.select(
         "query_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "channel",
         F.round("raw_score", 6).alias("raw_score"), "seed_id", F.col("hop").cast("long").alias("hop"),

@@ -6,12 +6,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import metadata, scoring, text
 from lorespark.operators.joins import MAX_TOP_K, first_per, materialize, salted_join
-from lorespark.operators.retrieval import CHUNK_KEY, lower_fields, matches_filters
+from lorespark.operators.retrieval import CHUNK_KEY, has_filters, lower_fields, matches_filters
 
 # Group size up to which all pairs are linked, relation weights, and the
 # weights assumed for edges that carry none.
@@ -215,14 +217,46 @@ def best_links(adj: DataFrame) -> DataFrame:
     )
 
 
-def strongest_links(links: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` links of every node by weight, then by target.
+@dataclass(frozen=True)
+class GraphIndex:
+    """Links at rest, written once and read by every search.
 
-    Cut per task before the shuffle, so a hub never has to be gathered.
+    links    node, next, weight, relation, returnable: one link per pair of nodes, each way
+    ranked   the same, of every node the first ``depth`` links (``place``) and the first ``depth``
+             to documents that can be results (``document_place``), by weight, then target
     """
-    window = Window.partitionBy("node").orderBy(F.col("weight").desc(), "next")
-    ranked = links.withColumn("_rn", F.row_number().over(window))
-    return ranked.filter(F.col("_rn") <= limit).drop("_rn")
+
+    links: DataFrame
+    ranked: DataFrame
+    depth: int
+    min_weight: float
+
+
+#: Links that the ranked table keeps of a node, for each of its two orders.
+LINK_DEPTH = 128
+
+
+def graph_index(
+    edges: DataFrame, catalog: DataFrame, chunks: DataFrame, min_weight: float = 0.25, depth: int = LINK_DEPTH,
+) -> GraphIndex:
+    """The index over ``edges``. A document can be a result if it is in the catalog and has chunks."""
+    documents = catalog.select("doc_id").join(chunks.select("doc_id").distinct(), "doc_id", "left_semi").select(
+        F.col("doc_id").alias("next"), F.lit(True).alias("returnable"))
+    links = materialize(best_links(adjacency(edges, min_weight)).join(documents, "next", "left").withColumn(
+        "returnable", F.coalesce("returnable", F.lit(False))))
+    order = [F.col("weight").desc(), F.col("next")]
+
+    def first(rows: DataFrame, name: str) -> DataFrame:
+        # Cut per task before the shuffle, so a hub is never gathered.
+        place = F.row_number().over(Window.partitionBy("node").orderBy(*order))
+        return rows.withColumn(name, place).filter(F.col(name) <= depth)
+
+    any_node = first(links, "place").withColumn("document_place", F.lit(None).cast("int"))
+    to_document = first(links.filter("returnable"), "document_place").withColumn("place", F.lit(None).cast("int"))
+    ranked = any_node.unionByName(to_document).groupBy("node", "next").agg(
+        F.first("weight").alias("weight"), F.first("relation").alias("relation"), F.first("returnable").alias("returnable"),
+        F.max("place").alias("place"), F.max("document_place").alias("document_place"))
+    return GraphIndex(links, materialize(ranked), depth, min_weight)
 
 
 def frontier_size(max_results: int) -> int:
@@ -232,7 +266,7 @@ def frontier_size(max_results: int) -> int:
 def graph_reach(seeds: DataFrame, hops: list[DataFrame], max_results: int = 3) -> DataFrame:
     """Nodes reached from the seeds along the strongest paths.
 
-    ``hops`` holds the links to follow on each hop. Path weight is the product of link
+    ``hops`` holds the links to follow on each hop; ``seeds`` is a written table. Path weight is the product of link
     weights, damped on every hop after the first. A node counts again on a later hop only
     when its path got stronger for that seed; the frontier of a seed keeps its strongest
     nodes.
@@ -247,13 +281,13 @@ def graph_reach(seeds: DataFrame, hops: list[DataFrame], max_results: int = 3) -
         combined = F.col("path_weight") * F.col("weight")
         combined = combined if hop == 1 else combined * HOP_DECAY
         step = (
-            salted_join(links, frontier, ["node"], spread=["next"])
+            links.join(frontier, "node")
             .join(own_seeds, ["query_id", "next"], "left_anti")
             .select(
                 "query_id", "seed_id", "seed_rank", "seed_score", F.col("next").alias("node"),
                 combined.alias("path_weight"),
                 F.concat("relations", F.array("relation")).alias("relations"),
-                F.lit(hop).alias("hop"),
+                F.lit(hop).alias("hop"), "returnable",
             )
         )
         step = first_per(
@@ -272,15 +306,17 @@ def graph_reach(seeds: DataFrame, hops: list[DataFrame], max_results: int = 3) -
         step = materialize(step)
         reached = step if reached is None else reached.unionByName(step)
         window = Window.partitionBy("query_id", "seed_id").orderBy(F.col("path_weight").desc(), "node")
-        frontier = (
-            step.withColumn("_rn", F.row_number().over(window))
-            .filter(F.col("_rn") <= frontier_size(max_results)).drop("_rn", "hop")
-        )
+        if hop < len(hops):
+            # Written, so that its measured size decides whether the links stay where they are.
+            frontier = materialize(
+                step.withColumn("_rn", F.row_number().over(window))
+                .filter(F.col("_rn") <= frontier_size(max_results)).drop("_rn", "hop", "returnable")
+            )
     return reached
 
 
 def _needed_links(
-    links: DataFrame, returnable: DataFrame, max_hops: int, max_results: int, seed_count: int
+    index: GraphIndex, min_weight: float, max_hops: int, max_results: int, seed_count: int
 ) -> list[DataFrame]:
     """Per hop the links that can matter for queries without filters.
 
@@ -289,40 +325,45 @@ def _needed_links(
     cannot be among the results: at most seeds and hits of the ones before are left out.
     The first hop of two also feeds the frontier, for which the strongest links count.
     With three hops the inner hops keep all links, because what they reach decides what
-    later hops may reach again.
+    later hops may reach again. Where the ranked table is not deep enough, all links are followed.
     """
-    to_documents = links.join(returnable.select(F.col("doc_id").alias("next")), "next", "left_semi")
-    last = materialize(strongest_links(to_documents, max_results + seed_count + MAX_TOP_K))
+    every = index.links.filter(F.col("weight") >= min_weight)
+    ranked = index.ranked.filter(F.col("weight") >= min_weight)
+    results, nodes = max_results + seed_count + MAX_TOP_K, frontier_size(max_results) + seed_count
+    last = ranked.filter(F.col("document_place") <= results) if results <= index.depth else every.filter("returnable")
     if max_hops == 1:
         return [last]
-    if max_hops == 2:
-        inner = strongest_links(links, frontier_size(max_results) + seed_count)
-        return [materialize(inner.unionByName(last.select(*inner.columns)).distinct()), last]
-    return [links] * (max_hops - 1) + [last]
+    inner = every
+    if max_hops == 2 and max(results, nodes) <= index.depth:
+        inner = ranked.filter((F.col("place") <= nodes) | (F.col("document_place") <= results))
+    return [inner] * (max_hops - 1) + [last]
 
 
 def graph_expand(
-    hits: DataFrame, queries: DataFrame, adj: DataFrame, catalog: DataFrame, chunks: DataFrame,
+    hits: DataFrame, queries: DataFrame, index: GraphIndex, catalog: DataFrame, chunks: DataFrame,
     *, weight: float = 0.35, max_hops: int = 2, max_results: int = 3, seed_count: int = 3,
+    min_weight: float | None = None,
 ) -> DataFrame:
     """Candidates from documents related to the strongest hits.
 
     ``hits`` are the fused hits of every query. Documents already hit are passed through
     but not returned; filters are checked again; the best chunk by keywords stands for
-    the document.
+    the document. Each hop looks the links of its frontier up in the index.
     """
+    min_weight = index.min_weight if min_weight is None else min_weight
+    if min_weight < index.min_weight:
+        raise ValueError(f"the index has no links below {index.min_weight}")
     seeds = materialize(seed_docs(hits, seed_count))
     hop_count = min(max(1, max_hops), 3)
-    links = materialize(best_links(adj))
-    returnable = catalog.select("doc_id").join(chunks.select("doc_id").distinct(), "doc_id", "left_semi")
-    has_filter = (F.col("filter_path") != "") | (F.size("filter_tags") > 0)
-    restricted = queries.filter(has_filter).select("query_id")
-    needed = _needed_links(links, returnable, hop_count, max_results, seed_count)
+    restricted = queries.filter(has_filters()).select("query_id")
+    needed = _needed_links(index, min_weight, hop_count, max_results, seed_count)
     reached = graph_reach(seeds.join(restricted, "query_id", "left_anti"), needed, max_results)
     if restricted.limit(1).count():
         # A filter may leave out any number of documents, so all links are followed.
-        filtered_seeds = seeds.join(restricted, "query_id", "left_semi")
-        reached = reached.unionByName(graph_reach(filtered_seeds, [links] * hop_count, max_results))
+        filtered_seeds = materialize(seeds.join(restricted, "query_id", "left_semi"))
+        every = [index.links.filter(F.col("weight") >= min_weight)] * hop_count
+        reached = reached.unionByName(graph_reach(filtered_seeds, every, max_results))
+    reached = reached.filter("returnable").drop("returnable")
     scored = reached.withColumn(
         "raw_score", F.least(F.col("seed_score") * F.col("path_weight") * weight, F.lit(1.0))
     ).withColumnRenamed("node", "doc_id").filter("raw_score > 0")
@@ -336,7 +377,6 @@ def graph_expand(
         best.join(catalog.select("doc_id", "path", "tags"), "doc_id")
         .join(asked.select("query_id", "filter_path", "filter_tags"), "query_id")
         .filter(matches_filters())
-        .join(returnable, "doc_id", "left_semi")
     )
     window = Window.partitionBy("query_id").orderBy(F.col("raw_score").desc(), "doc_id")
     top = (

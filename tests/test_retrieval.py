@@ -308,7 +308,8 @@ def expand(spark, filter_path="", hops=1, weight=1.0):
     edges = spark.createDataFrame(
         [("doc-1", "doc-2", "co_entity", 0.9), ("doc-2", "doc-3", "co_tag", 0.5)], "source string, target string, relation string, weight double")
     found = spark.createDataFrame([(0, "doc-1", 0, 0.9)], "query_id int, doc_id string, chunk_index int, final_score double")
-    done = graph.graph_expand(found, queries(spark, ("text 1", [], filter_path)), graph.adjacency(edges), cat, chk, weight=weight, max_hops=hops)
+    index = graph.graph_index(edges, cat, chk)
+    done = graph.graph_expand(found, queries(spark, ("text 1", [], filter_path)), index, cat, chk, weight=weight, max_hops=hops)
     return {r.doc_id: (round(r.raw_score, 6), r.chunk_index, r.association_reason) for r in done.collect()}
 
 
@@ -320,6 +321,44 @@ def test_graph_expansion(spark):
     assert far == (round(0.9 * 0.9 * 0.5 * 0.75, 6), 1, "seed=doc-1; hops=2; relations=co_entity -> co_tag; edge_score=0.3375")
 
 
+def test_graph_expansion_of_a_hub_follows_the_index(spark):
+    """A node with most links: few ranked links answer like all links, whatever the depth."""
+    rng = random.Random(5)
+    names = [f"d{i:03}" for i in range(150)]
+    cat = catalog(spark, *[(n, "T", "even" if i % 2 == 0 else "odd", [], []) for i, n in enumerate(names)])
+    chk = spark.createDataFrame([(n, 0, 1, "x") for n in names], CHUNKS)
+    links = [("d000", n, "co_tag", round(rng.uniform(0.3, 1), 3)) for n in names[1:]]
+    links += [(*sorted(rng.sample(names, 2)), "co_entity", round(rng.uniform(0.3, 1), 3)) for _ in range(200)]
+    edges = spark.createDataFrame(links, "source string, target string, relation string, weight double")
+    found = spark.createDataFrame([(q, f"d{q:03}", 0, 0.9) for q in range(4)], "query_id int, doc_id string, chunk_index int, final_score double")
+    asked = queries(spark, *[("x", [], p) for p in ("", "", "odd", "even")])
+    seen = []
+    for depth in (128, 3):
+        index = graph.graph_index(edges, cat, chk, depth=depth)
+        assert depth == 128 or index.ranked.groupBy("node").count().agg(F.max("count")).first()[0] <= 2 * depth
+        for hops in (1, 2, 3):
+            done = graph.graph_expand(found, asked, index, cat, chk, max_hops=hops)
+            seen.append((depth, hops, sorted((r.query_id, r.doc_id, round(r.raw_score, 9), r.hop) for r in done.collect())))
+    assert [rows for d, _, rows in seen if d == 128] == [rows for d, _, rows in seen if d == 3]
+    best = {}
+    for a, b, _, w in links:
+        best[a, b] = best[b, a] = max(w, best.get((a, b), 0))
+    one = {q: sorted((-round(0.9 * w * 0.35, 9), n) for (a, n), w in best.items() if a == f"d{q:03}")[:3] for q in (0, 1)}
+    assert [(q, n, -s) for q in (0, 1) for s, n in sorted(one[q], key=lambda x: x[1])] == [
+        (q, d, s) for q, d, s, _ in seen[0][2] if q < 2]
+
+
+def test_graph_search_reads_links_in_place(spark):
+    cat = catalog(spark, ("a", "A", "p", [], []), ("b", "B", "p", [], []))
+    chk = spark.createDataFrame([("a", 0, 1, "x"), ("b", 0, 1, "y")], CHUNKS)
+    edges = spark.createDataFrame([("a", "b", "co_tag", 0.5)], "source string, target string, relation string, weight double")
+    index = graph.graph_index(edges, cat, chk)
+    seeds = spark.createDataFrame([(0, "a", 1, 0.9)], "query_id int, seed_id string, seed_rank int, seed_score double")
+    first = index.ranked.filter("document_place <= 5").join(seeds.withColumnRenamed("seed_id", "node"), "node")
+    assert "Window" not in first._jdf.queryExecution().executedPlan().toString()
+    assert [(r.node, r.returnable) for r in graph.graph_reach(seeds, [index.ranked]).collect()] == [("b", True)]
+
+
 def test_components_against_brute_force(spark):
     rng = random.Random(11)
     names = [f"n{i:03}" for i in range(120)]
