@@ -9,7 +9,7 @@ from lorespark.checks.registry import check
 from lorespark.checks.retrieval_checks import _CANDIDATES, indexed, show
 from lorespark.operators import graph, joins
 from lorespark.operators import retrieval as rt
-from lorespark.operators.vectors import semantic_pairs, vector_channel
+from lorespark.operators.vectors import semantic_pairs, vector_channel, vector_channel_coded, vector_codes
 from lorespark.plans.graph_build import build_graph
 from lorespark.plans.hybrid import Corpus, channel_union, hybrid_search
 
@@ -55,11 +55,19 @@ def vector_search_filtered(spark, sf):
 
 @check("vector_channel_tiled", fx.select(_CANDIDATES + "f_vector", "f_vector"))
 def vector_search_tiled(spark, sf):
-    """The path for query batches too large to travel with the tasks."""
+    """Filtered queries from quantised vectors, with exact scores of the candidates."""
     queries = rt.rewrite_queries(fx.filtered_queries(spark, sf)).join(
         fx.query_vectors(spark, sf), "query_id")
-    return show(vector_channel(
-        queries, fx.vectors(spark, sf), fx.catalog(spark, sf), query_block=16))
+    vectors = joins.materialize(fx.vectors(spark, sf))
+    return show(vector_channel_coded(queries, joins.materialize(vector_codes(vectors)), vectors, fx.catalog(spark, sf)))
+
+
+@check("vector_channel_coded", fx.select(_CANDIDATES + "a_vector", "a_vector"))
+def vector_search_coded(spark, sf):
+    """Every embedding looks for its nearest documents in the quantised vectors."""
+    queries = rt.rewrite_queries(fx.query_vectors(spark, sf).withColumn("text", F.lit("")))
+    vectors = joins.materialize(fx.vectors(spark, sf))
+    return show(vector_channel_coded(queries, joins.materialize(vector_codes(vectors)), vectors, fx.catalog(spark, sf)))
 
 
 fx.define("semantic", ["vectors"], f"""

@@ -11,139 +11,244 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.operators.joins import materialize, salted_join, top_per_query
+from lorespark.operators.blocks import held, read_blocks, write_blocks
+from lorespark.operators.joins import MAX_TOP_K, materialize, salted_join, top_per_query
 
 SCORE_DIGITS = 9
-# Query blocks up to this many rows travel with the task; larger batches are tiled.
-QUERY_BLOCK = 4096
-VECTOR_BLOCK = 65536
-_HITS = "query_id {id}, doc_id string, chunk_index int, raw_score double, top_k int"
+SCALE = 10**SCORE_DIGITS
+#: Bytes of one block of queries and of the vectors that a task compares with it, as doubles.
+QUERY_BYTES, HELD_BYTES = 128 << 10, 16 << 20
+#: Key of a row that a query's filters refuse.
+NEVER = -(2**62)
+#: Levels of a quantised entry, on either side of zero.
+LEVELS = 127
+CODES = "doc_id string, chunk_index int, code binary, step double, off double, same long"
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:
-    rows = np.array(column.tolist(), dtype=np.float64)
+    return _unit(np.array(column.tolist(), dtype=np.float64))
+
+
+def _unit(rows: np.ndarray) -> np.ndarray:
     norms = np.linalg.norm(rows, axis=1, keepdims=True)
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-class _QueryBlock:
-    """A block of query vectors with their limits and filters."""
-
-    def __init__(self, rows: pd.DataFrame):
-        self.ids = rows["query_id"].to_numpy()
-        self.top_k = rows["top_k"].to_numpy(dtype=np.int64)
-        self.filters = [
-            (path, frozenset(tags)) for path, tags in zip(rows["filter_path"], rows["filter_tags"])
-        ]
-        self.unit = unit_rows(rows["embedding"])
-
-    def best(self, vectors: pd.DataFrame, step: int = 256) -> pd.DataFrame:
-        """The top rows of every query among ``vectors``, ties by document and chunk."""
-        vectors = vectors.sort_values(["doc_id", "chunk_index"], ignore_index=True)
-        total = len(vectors)
-        corpus = unit_rows(vectors["embedding"]).T
-        allowed = {f: self._allowed(vectors, f) for f in set(self.filters) if f != ("", frozenset())}
-        scale = 10**SCORE_DIGITS
-        found = []
-        for start in range(0, len(self.ids), step):
-            scores = np.rint(self.unit[start:start + step] @ corpus * scale).astype(np.int64)
-            # Earlier rows win ties: the row position is folded into the sort key.
-            keys = scores * total - np.arange(total)
-            for offset in range(len(scores)):
-                query = start + offset
-                key, k = keys[offset], min(int(self.top_k[query]), total)
-                rows = np.argpartition(-key, k - 1)[:k] if k < total else np.arange(total)
-                mask = allowed.get(self.filters[query])
-                if mask is not None:
-                    usable = np.flatnonzero(mask)
-                    rows = usable[np.argsort(-key[usable])[:k]]
-                found.append(pd.DataFrame({
-                    "query_id": self.ids[query],
-                    "doc_id": vectors["doc_id"].to_numpy()[rows],
-                    "chunk_index": vectors["chunk_index"].to_numpy()[rows],
-                    "raw_score": scores[offset][rows] / scale,
-                    "top_k": self.top_k[query],
-                }))
-        return pd.concat(found, ignore_index=True) if found else pd.DataFrame()
-
-    @staticmethod
-    def _allowed(vectors: pd.DataFrame, wanted: tuple[str, frozenset]) -> np.ndarray:
-        path, tags = wanted
-        ok = np.ones(len(vectors), dtype=bool)
-        if path:
-            ok &= (vectors["path"] == path).to_numpy()
-        if tags:
-            ok &= vectors["tags"].map(lambda own: not tags.isdisjoint(own)).to_numpy(dtype=bool)
-        return ok
-
-
-def _each(blocks: int) -> Column:
-    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-
-
-def _keep_best(frames: list[pd.DataFrame]) -> pd.DataFrame:
-    rows = pd.concat(frames, ignore_index=True).sort_values(
-        ["query_id", "raw_score", "doc_id", "chunk_index"], ascending=[True, False, True, True]
-    )
-    return rows[rows.groupby("query_id").cumcount() < rows["top_k"]]
+def _by_width(table: pa.Table, name: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, places, unit vectors) of the list column ``name``, for each width there is."""
+    column = table.column(name)
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    widths = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths[widths > 0]):
+        at = np.flatnonzero(widths == width)
+        flat = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        yield int(width), at, _unit(flat.reshape(len(at), int(width)))
+
+
+class _Asked:
+    """A block of queries of one width, with their limits and filters."""
+
+    def __init__(self, block: pa.Table, at: np.ndarray, unit: np.ndarray):
+        own = block.take(pa.array(at))
+        self.ids, self.unit = own.column("query_id").combine_chunks(), unit
+        self.top_k = own.column("top_k").to_numpy()
+        self.filters = [(path or "", frozenset(tags or ())) for path, tags in zip(
+            own.column("filter_path").to_pylist(), own.column("filter_tags").to_pylist(), strict=True)]
+
+    def allowed(self, path: list, tags: list) -> np.ndarray | None:
+        """(query, row): whether the row passes the query's filters; None where there are none."""
+        if not any(p or t for p, t in self.filters):
+            return None
+        known = {
+            f: np.array([(not f[0] or p == f[0]) and (not f[1] or not f[1].isdisjoint(t or ()))
+                         for p, t in zip(path, tags, strict=True)], bool)
+            for f in set(self.filters)}
+        return np.array([known[f] for f in self.filters])
+
+
+def _asked_blocks(queries: DataFrame) -> str:
+    """Queries that have a vector, as blocks of bounded bytes in the shared folder."""
+    asked = queries.filter(F.size("embedding") > 0).select(
+        "query_id", F.col("top_k").cast("int").alias("top_k"), "filter_path", "filter_tags",
+        F.col("embedding").cast("array<double>").alias("embedding"))
+    width = asked.agg(F.max(F.size("embedding"))).first()[0] or 1
+    return write_blocks(asked, QUERY_BYTES // (8 * width))
 
 
-def vector_channel(
-    queries: DataFrame, vectors: DataFrame, catalog: DataFrame, query_block: int = QUERY_BLOCK
-) -> DataFrame:
+def _in_order(table: pa.Table) -> pa.Table:
+    """By document and chunk, which settles ties."""
+    return table.sort_by([("doc_id", "ascending"), ("chunk_index", "ascending")])
+
+
+def _hits_schema(queries: DataFrame) -> str:
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id string, chunk_index int, raw_score double, top_k int"
+
+
+def vector_channel(queries: DataFrame, vectors: DataFrame, catalog: DataFrame) -> DataFrame:
     """Exact cosine top-k of every query, within the query's directory and tag filters.
 
     ``queries`` carries an ``embedding``; ``vectors`` has doc_id, chunk_index, embedding.
-    A batch of at most ``query_block`` queries goes to the tasks whole, so the vectors
-    are scanned in place; each task keeps only its own top rows. A larger batch is cut
-    into blocks, and every (query block, vector block) tile is one group.
+    Vectors are scanned in place: a task holds some of them and reads the queries block by block
+    from the shared folder, so neither passes the driver and memory does not grow with either. A
+    task returns its own best rows of each query. Vectors of another width than the query's are
+    no hits; a query without a vector has none.
     """
-    # A query without a vector has no vector hits; it must not spoil its batch.
-    asked = queries.filter(F.size("embedding") > 0).select(
-        "query_id", "top_k", "filter_path", "filter_tags", "embedding")
-    docs = catalog.select("doc_id", "path", "tags")
-    placed = vectors.select("doc_id", "chunk_index", "embedding").join(docs, "doc_id")
-    schema = _HITS.format(id=asked.schema["query_id"].dataType.simpleString())
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    if asked.limit(query_block + 1).count() <= query_block:
-        block_rows = asked.toPandas()  # at most query_block rows, checked above
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            block, best = _QueryBlock(block_rows), None
-            for batch in batches:
-                if len(batch) and len(block.ids):
-                    new = block.best(batch)
-                    best = _keep_best([new] if best is None else [best, new])
-            if best is not None:
-                yield best[columns]
-
-        hits = placed.mapInPandas(scan, schema)
-    else:
-        query_blocks = -(-asked.count() // query_block)
-        vector_blocks = max(1, -(-placed.count() // VECTOR_BLOCK))
-        left = asked.withColumn(
-            "_q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))
-        ).withColumn("_v", _each(vector_blocks))
-        right = placed.withColumn(
-            "_v", F.pmod(F.xxhash64("doc_id", "chunk_index"), F.lit(vector_blocks))
-        ).withColumn("_q", _each(query_blocks))
-
-        def tile(query_rows: pd.DataFrame, vector_rows: pd.DataFrame) -> pd.DataFrame:
-            if query_rows.empty or vector_rows.empty:
-                return pd.DataFrame(columns=columns)
-            return _QueryBlock(query_rows).best(vector_rows)[columns]
-
-        hits = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(tile, schema)
-
-    return top_per_query(hits, "raw_score").select(
+    folder = _asked_blocks(queries)
+    placed = vectors.select("doc_id", "chunk_index", F.col("embedding").cast("array<double>").alias("embedding")).join(
+        catalog.select("doc_id", "path", "tags"), "doc_id")
+    schema = _hits_schema(queries)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in held(batches, HELD_BYTES):
+            rows = _in_order(rows)
+            parts = {w: (at, unit) for w, at, unit in _by_width(rows, "embedding")}
+            for block in read_blocks(folder):
+                for width, own, unit in _by_width(block, "embedding"):
+                    if width not in parts:
+                        continue
+                    asked, (at, corpus) = _Asked(block, own, unit), parts[width]
+                    scores = np.rint(asked.unit @ corpus.T * SCALE).astype(np.int64)
+                    # Earlier rows win ties: the place is folded into the sort key.
+                    keys = scores * len(at) - np.arange(len(at))
+                    near = rows.take(pa.array(at))
+                    allowed = asked.allowed(near.column("path").to_pylist(), near.column("tags").to_pylist())
+                    if allowed is not None:
+                        keys[~allowed] = NEVER
+                    k = min(int(asked.top_k.max()), len(at))
+                    best = np.argpartition(-keys, k - 1, axis=1)[:, :k] if k < len(at) else np.tile(np.arange(k), (len(keys), 1))
+                    q, c = np.repeat(np.arange(len(keys)), k), best.ravel()
+                    ok = keys[q, c] > NEVER
+                    q, c = q[ok], c[ok]
+                    found = near.take(pa.array(c))
+                    yield pa.RecordBatch.from_arrays(
+                        [asked.ids.take(pa.array(q)), found.column("doc_id").combine_chunks(), found.column("chunk_index").combine_chunks(),
+                         pa.array(scores[q, c] / SCALE), pa.array(asked.top_k[q], pa.int32())], names=names)
+
+    return top_per_query(placed.mapInArrow(scan, schema), "raw_score").select(
         "query_id", "doc_id", "chunk_index", F.lit("vector").alias("channel"), "raw_score"
     )
 
 
+def vector_codes(vectors: DataFrame) -> DataFrame:
+    """Quantised vectors at rest: CODES.
+
+    A unit vector becomes one signed byte an entry, an eighth of its size, ``step`` what a level
+    is worth, and ``off`` its distance from what the bytes stand for, which bounds the error of
+    every cosine. ``same`` is equal for equal vectors.
+    """
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for _, at, unit in _by_width(table, "embedding"):
+                step = np.maximum(np.abs(unit).max(axis=1), 1e-300) / LEVELS
+                code = np.rint(unit / step[:, None]).astype(np.int8)
+                off = np.linalg.norm(unit - code * step[:, None], axis=1)
+                own = table.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("doc_id").combine_chunks(), own.column("chunk_index").combine_chunks(),
+                     pa.array([c.tobytes() for c in code], pa.binary()), pa.array(step), pa.array(off), own.column("same").combine_chunks()],
+                    names=[c.split()[0] for c in CODES.split(", ")])
+
+    rows = vectors.select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"),
+                          F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.withColumn("same", F.xxhash64("embedding")).mapInArrow(encode, CODES)
+
+
+def _decoded(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    codes = table.column("code").combine_chunks()
+    widths = np.array([len(c) for c in codes.to_pylist()], np.int64)
+    step = table.column("step").to_numpy()
+    for width in np.unique(widths):
+        at = np.flatnonzero(widths == width)
+        joined = b"".join(codes.take(pa.array(at)).to_pylist())
+        yield int(width), at, np.frombuffer(joined, np.int8).reshape(len(at), int(width)) * step[at, None]
+
+
+def vector_candidates(queries: DataFrame, codes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """query_id, doc_id, chunk_index, low, high, top_k: rows that can be among a query's best.
+
+    Only the codes are scanned. The cosine of a row lies between ``low`` and ``high``; a row goes
+    when k others are surely better. Of rows with equal vectors only the first k can be results.
+    """
+    folder = _asked_blocks(queries)
+    placed = codes.join(catalog.select("doc_id", "path", "tags"), "doc_id")
+    schema = _hits_schema(queries).replace("raw_score double", "low double, high double")
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in held(batches, HELD_BYTES // 8):
+            rows = _in_order(rows)
+            parts = {w: (at, unit) for w, at, unit in _decoded(rows)}
+            for block in read_blocks(folder):
+                for width, own, unit in _by_width(block, "embedding"):
+                    if width not in parts:
+                        continue
+                    asked, (at, corpus) = _Asked(block, own, unit), parts[width]
+                    near = rows.take(pa.array(at))
+                    # Half a digit for the rounding of scores, as much again for that of the products.
+                    off = near.column("off").to_numpy() + 1.0 / SCALE
+                    about = asked.unit @ corpus.T
+                    allowed = asked.allowed(near.column("path").to_pylist(), near.column("tags").to_pylist())
+                    same = near.column("same").to_numpy()
+                    for q in range(len(about)):
+                        usable = np.arange(len(at)) if allowed is None else np.flatnonzero(allowed[q])
+                        k = int(asked.top_k[q])
+                        if len(usable) > k:
+                            low = (about[q] - off)[usable]
+                            usable = usable[(about[q] + off)[usable] >= np.partition(low, -k)[-k]]
+                            usable = usable[_first_of_each(same[usable], k)]
+                        found = near.take(pa.array(usable))
+                        yield pa.RecordBatch.from_arrays(
+                            [asked.ids.take(pa.array(np.full(len(usable), q))), found.column("doc_id").combine_chunks(),
+                             found.column("chunk_index").combine_chunks(), pa.array((about[q] - off)[usable]),
+                             pa.array((about[q] + off)[usable]), pa.array(np.full(len(usable), k), pa.int32())], names=names)
+
+    return placed.mapInArrow(scan, schema)
+
+
+def _first_of_each(values: np.ndarray, k: int) -> np.ndarray:
+    """Places of the first ``k`` of each value, in order."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    start = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    within = np.arange(len(values)) - np.repeat(start, np.diff(np.r_[start, len(values)]))
+    return np.sort(order[within < k])
+
+
+def vector_channel_coded(queries: DataFrame, codes: DataFrame, vectors: DataFrame, catalog: DataFrame) -> DataFrame:
+    """The same hits as :func:`vector_channel`, from codes at rest and the vectors of few candidates.
+
+    The kth best lower bound over all tasks leaves out candidates that one task could not; those
+    that remain are scored by their vectors, so no hit is missed (recall 1).
+    """
+    found = materialize(vector_candidates(queries, codes, catalog))
+    order = Window.partitionBy("query_id").orderBy(F.col("low").desc())
+    bound = (
+        found.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= MAX_TOP_K)
+        .filter(F.col("_n") <= F.col("top_k")).groupBy("query_id").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    )
+    kept = materialize(found.join(bound, "query_id").filter(
+        (F.col("n") < F.col("top_k")) | (F.col("high") >= F.col("least"))).select("query_id", "doc_id", "chunk_index", "top_k"))
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("asked"))
+    wanted = vectors.select("doc_id", "chunk_index", F.col("embedding").cast("array<double>").alias("embedding"))
+    pairs = kept.join(wanted, ["doc_id", "chunk_index"]).join(asked, "query_id")
+    # Equal texts of numbers make equal products: summed in one order, then rounded.
+    dot = F.aggregate(F.zip_with("asked", "embedding", lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
+
+    def norm(name: str) -> Column:
+        return F.sqrt(F.aggregate(name, F.lit(0.0), lambda t, x: t + x * x))
+
+    length = norm("asked") * norm("embedding")
+    score = F.when(length > 0, F.round(dot / length, SCORE_DIGITS)).otherwise(F.lit(0.0))
+    return top_per_query(pairs.select("query_id", "doc_id", "chunk_index", "top_k", score.alias("raw_score")), "raw_score").select(
+        "query_id", "doc_id", "chunk_index", F.lit("vector").alias("channel"), "raw_score")
+
+
 def _assign_cells(units: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot of every vector and the angle to it."""
 

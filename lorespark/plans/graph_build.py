@@ -19,11 +19,12 @@ class RelationGraph:
 
 def build_graph(
     catalog: DataFrame, vectors: DataFrame | None = None, semantic_threshold: float = 0.0,
-    copies: str = "pairs",
+    copies: str = "star",
 ) -> RelationGraph:
     """Nodes and edges; a positive threshold adds semantic edges.
 
-    ``copies`` is how :func:`semantic_pairs` treats documents with equal vectors.
+    ``copies`` is how :func:`semantic_pairs` treats documents with equal vectors; as a star,
+    like other large groups, so that edges grow with the copies and not with their pairs.
     """
     mentions = materialize(graph.entity_mentions(catalog))
     similar = None

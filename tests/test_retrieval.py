@@ -213,7 +213,7 @@ def vector_table(spark, array, name):
                                  "doc_id string, chunk_index int, embedding array<double>")
 
 
-def test_vector_paths_agree_with_brute_force(spark):
+def test_vector_paths_agree_with_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(3)
     corpus, asked = rng.normal(size=(60, 8)), rng.normal(size=(9, 8))
     corpus[10:30] = corpus[10]  # a crowd of copies
@@ -232,9 +232,44 @@ def test_vector_paths_agree_with_brute_force(spark):
         ok = [j for j in range(60) if not (i % 4 == 1 and j % 3) and not (i % 4 == 2 and j % 2 == 0)]
         best = sorted(ok, key=lambda j: (-cosine(v, corpus[j]), f"d{j:03}"))[:5]
         want |= {(i, f"d{j:03}") for j in best}
-    for block in (4096, 2):
-        got = vectors.vector_channel(q, table, cat, query_block=block)
-        assert {(r.query_id, r.doc_id) for r in got.collect()} == want
+    codes = vectors.vector_codes(table)
+    for kept, some in ((16 << 20, 128 << 10), (2000, 100)):
+        monkeypatch.setattr(vectors, "HELD_BYTES", kept)
+        monkeypatch.setattr(vectors, "QUERY_BYTES", some)
+        for got in (vectors.vector_channel(q, table, cat), vectors.vector_channel_coded(q, codes, table, cat)):
+            rows = got.collect()
+            assert len(rows) == len(want) and {(r.query_id, r.doc_id) for r in rows} == want
+    # Without filters every copy ties, yet few of them are candidates of any query.
+    free = q.withColumn("filter_path", F.lit("")).withColumn("filter_tags", F.array().cast("array<string>"))
+    found = vectors.vector_candidates(free, codes, cat).groupBy("query_id").count().collect()
+    assert all(r["count"] <= 3 * 5 * 60 for r in found)
+
+
+def test_codes_bound_every_cosine(spark):
+    rng = np.random.default_rng(9)
+    rows = rng.normal(size=(300, 32)) * rng.uniform(0.01, 100, (300, 1))
+    asked = rng.normal(size=(20, 32))
+    cat = catalog(spark, *[(f"d{i:03}", "t", "p", [], []) for i in range(300)])
+    q = spark.createDataFrame([(i, "", 10, [], "", v.tolist()) for i, v in enumerate(asked)],
+                              "query_id int, text string, top_k int, filter_tags array<string>, filter_path string, embedding array<double>")
+    table = vector_table(spark, rows, "d")
+    true = (asked / np.linalg.norm(asked, axis=1, keepdims=True)) @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T
+    found = vectors.vector_candidates(q, vectors.vector_codes(table), cat).collect()
+    assert all(r.low <= true[r.query_id, int(r.doc_id[1:])] <= r.high for r in found)
+    exact = {(r.query_id, r.doc_id): r.raw_score for r in vectors.vector_channel(q, table, cat).collect()}
+    coded = {(r.query_id, r.doc_id): r.raw_score for r in vectors.vector_channel_coded(q, vectors.vector_codes(table), table, cat).collect()}
+    # Recall 1 from a small share of the rows.
+    assert coded == exact and len(exact) == 200 and len(found) < 0.2 * 20 * 300
+
+
+def test_vectors_of_other_widths_are_no_hits(spark):
+    cat = catalog(spark, *[(f"d{i}", "t", "p", [], []) for i in range(4)])
+    table = spark.createDataFrame([("d0", 0, [1.0, 0.0]), ("d1", 0, [1.0, 0.0, 0.0]), ("d2", 0, []), ("d3", 0, None)],
+                                  "doc_id string, chunk_index int, embedding array<double>")
+    q = spark.createDataFrame([(1, "", 5, [], "", [1.0, 1.0]), (2, "", 5, [], "", None), (3, "", 5, [], "", [])],
+                              "query_id int, text string, top_k int, filter_tags array<string>, filter_path string, embedding array<double>")
+    for got in (vectors.vector_channel(q, table, cat), vectors.vector_channel_coded(q, vectors.vector_codes(table), table, cat)):
+        assert [(r.query_id, r.doc_id) for r in got.collect()] == [(1, "d0")]
 
 
 def test_semantic_pairs_with_copies_and_crowded_cells(spark):
