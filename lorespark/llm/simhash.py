@@ -5,11 +5,12 @@ bit patterns, which go to an upper node; a node holds only what its parent does
 up differences from the root down and leaves out a whole group when they exceed the radius, and
 also when the group already belongs to the component of the query.
 
-The upper levels of the index are cells, prefixes of the Gray rank deepened until none holds more
-than ``CELL`` fingerprints. A task has one cell with its own fingerprints and those of other cells
-that differ in at most ``radius`` bits of its pattern, and returns a spanning forest of the links,
-never all pairs. Equal fingerprints are compared once. Components of the forests are found by
-rounds over written tables.
+Fingerprints are dealt to tasks by the pigeonhole principle: of radius + 1 parts of the bits, two
+that link have one in common, so each goes to radius + 1 groups, however many there are; a group
+of more than ``CELL`` is dealt anew by parts of the other bits. A task has the groups of some
+values of one part, puts the bits of that part first in the order, and searches its Gray index
+only below nodes that agree in them. It returns a spanning forest of the links, never all pairs. Equal
+fingerprints are compared once. Components of the forests are found by rounds over written tables.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; rows with a
 repeated id are one document; rows with a null id belong to components but never name one, and are
@@ -38,9 +39,10 @@ TABLES, WIDE = 6, 3
 BANDS, ROWS = 28, 6
 #: Candidates that one task compares.
 GROUP = 400
-#: Fingerprints of a cell, children of a node, bits by which cells are deepened.
-CELL, FAN, STEP = 20_000, 16, 4
-PAIRS = 2_000_000
+#: Fingerprints of a group that share bits, children of a node.
+CELL, FAN = 20_000, 16
+#: Pairs of query and node that a search has at a time.
+PAIRS = 65_536
 
 
 def fingerprint(text: bytes | None, size: int = WORDS) -> int:
@@ -67,7 +69,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t) for t in batch.column(1).to_pylist()]
+            found = [fingerprint(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(found, pa.int64())], names=["doc_id", "fingerprint"])
 
@@ -133,8 +135,8 @@ class GrayIndex:
         return out
 
     def search(self, queries: np.ndarray, radius: int, own: np.ndarray | None = None,
-               labels: list[np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(query, code) places within ``radius``, in batches; without those of equal label."""
+               labels: list[np.ndarray] | None = None, must: np.uint64 = np.uint64(0)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(query, code) places within ``radius`` that agree in ``must``, in batches; without those of equal label."""
         top = len(self.levels) - 1
         start = (top, np.arange(len(queries)), np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64))
         waiting = [start]
@@ -145,8 +147,9 @@ class GrayIndex:
                 waiting += [(level, query[:half], node[:half], apart[:half]), (level, query[half:], node[half:], apart[half:])]
                 continue
             bits, mask = self.levels[level]
-            apart = apart + np.bitwise_count((queries[query] ^ bits[node]) & mask[node])
-            near = apart <= radius
+            differ = (queries[query] ^ bits[node]) & mask[node]
+            apart = apart + np.bitwise_count(differ)
+            near = (apart <= radius) & (differ & must == 0)
             if labels is not None:
                 near &= labels[level][node] != own[query]
             query, node, apart = query[near], node[near], apart[near]
@@ -161,76 +164,90 @@ class GrayIndex:
             waiting.append((level - 1, np.repeat(query, FAN)[real], child[real], np.repeat(apart, FAN)[real]))
 
 
-def forest(own: np.ndarray, guests: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among ``own`` codes and from ``guests`` to them."""
-    if not len(own):
-        return own, own
-    codes = np.concatenate([own, guests])
+def forest(codes: np.ndarray, radius: int = RADIUS, must: np.uint64 = np.uint64(0)) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest of the links among ``codes`` that have the bits of ``must`` in common."""
+    if not len(codes):
+        return codes, codes
     parent = np.arange(len(codes))
-    index = GrayIndex(own)
+    index = GrayIndex(codes)
     at, size = 0, 64
     while at < len(codes):
         # Labels are renewed for each block; small blocks first, so that a dense group is
         # united early and then left out as a whole.
         block = np.arange(at, min(at + size, len(codes)))
-        labels = index.labels(parent[: len(own)])
-        for query, code in index.search(codes[block], radius, parent[block], labels):
+        for query, code in index.search(codes[block], radius, parent[block], index.labels(parent), must):
             parent = unite(parent, block[query], code)
         at, size = at + size, min(size * 2, 4096)
     linked = np.flatnonzero(parent != np.arange(len(codes)))
     return codes[linked], codes[parent[linked]]
 
 
-def _cells(codes: DataFrame, limit: int) -> list[tuple[int, int, int]]:
-    """(table, prefix, depth) of cells of at most ``limit`` codes; the driver sees counts only."""
-    found, depth, rest = [], STEP, codes
+def parts(mask: int, count: int) -> list[int]:
+    """``mask`` with, in turn, each of ``count`` nearly equal parts of the bits that it lacks."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(free) * i // count for i in range(count + 1)]
+    return [mask | sum(1 << b for b in free[x:y]) for x, y in zip(cuts, cuts[1:], strict=False) if y > x]
+
+
+def _signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def moved(codes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Codes with their bits (the highest first) in another order, which keeps differences."""
+    bits = np.unpackbits(codes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return np.packbits(np.ascontiguousarray(bits[:, order]), axis=1).ravel().view(">u8").astype(np.uint64)
+
+
+def _routed(codes: DataFrame, radius: int, limit: int) -> DataFrame:
+    """table, mask, code: codes that agree in the bits of a mask, no more than ``limit`` of them where bits are left.
+
+    Of radius + 1 parts of the bits, two codes within the radius have one in common, so a code goes
+    to radius + 1 groups, however many codes there are. Crowded groups are dealt anew by
+    parts of the other bits.
+    """
+    masks, out = [0], None
+    rest = codes.select("table", F.lit(0).cast("long").alias("mask"), F.col("fingerprint").alias("code"))
     while True:
-        prefix = F.shiftrightunsigned("fingerprint", 64 - depth) if depth < 64 else F.col("fingerprint")
-        counts = rest.groupBy("table", prefix.alias("prefix")).count().collect()
-        crowded = [(r["table"], r["prefix"]) for r in counts if r["count"] > limit and depth < 64]
-        found += [(r["table"], r["prefix"], depth) for r in counts if r["count"] <= limit or depth == 64]
-        if not crowded:
-            return found
-        hot = codes.sparkSession.createDataFrame(crowded, "hot_table int, hot_prefix long")
-        # At most (codes / limit) rows.
-        rest = rest.join(F.broadcast(hot), (F.col("table") == F.col("hot_table")) & (prefix == F.col("hot_prefix")), "left_semi")
-        depth += STEP
+        child = {m: parts(m % 2**64, radius + 1) for m in masks}
+        deeper = F.create_map(*[x for m, c in child.items() for x in (
+            F.lit(m).cast("long"), F.array(*[F.lit(_signed(k)).cast("long") for k in c]))])
+        masks = sorted({_signed(k) for c in child.values() for k in c})
+        keyed = rest.select("table", F.explode(F.element_at(deeper, F.col("mask"))).alias("mask"), "code").withColumn(
+            "value", F.col("code").bitwiseAND(F.col("mask")))
+        # A mask may be come by in several ways.
+        keyed = keyed if out is None else keyed.distinct()
+        key = ["table", "mask", "value"]
+        crowded = materialize(keyed.groupBy(*key).count().filter(F.col("count") > limit).drop("count"))
+        # With all bits in common a group is one code.
+        if crowded.isEmpty() or -1 in masks:
+            return keyed if out is None else out.unionByName(keyed)
+        done = keyed.join(crowded, key, "left_anti")
+        out = done if out is None else out.unionByName(done)
+        rest = materialize(keyed.join(crowded, key, "left_semi").select("table", "mask", "code"))
 
 
 def link_forests(found: DataFrame, radius: int, limit: int = CELL) -> DataFrame:
     """table, a, b: spanning forests of the links between fingerprints (table, fingerprint)."""
     codes = materialize(found.select(F.col("table").cast("int").alias("table"), "fingerprint").distinct())
-    cells: dict[int, list[tuple[int, int, int]]] = {}
-    for number, (table, prefix, depth) in enumerate(_cells(codes, limit)):
-        cells.setdefault(table, []).append((number, prefix % 2**64, depth))
-    sent = codes.sparkSession.sparkContext.broadcast(cells)
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = {}
-        for table, own in sent.value.items():
-            shift = np.array([64 - d for _, _, d in own], np.uint64)
-            bits, cover = np.array([p for _, p, _ in own], np.uint64) << shift, ~np.uint64(0) << shift
-            trees[table] = GrayIndex(bits, cover), bits, cover, np.array([n for n, _, _ in own])
-        for batch in batches:
-            tables, codes = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            for table, (index, bits, cover, number) in trees.items():
-                own = codes[tables == table]
-                wide = own.view(np.uint64)
-                for query, cell in index.search(wide, radius) if len(own) else ():
-                    guest = (wide[query] & cover[cell]) != bits[cell]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(number[cell]), pa.array(np.full(len(cell), table, np.int32)), pa.array(own[query]), pa.array(guest)],
-                        names=["cell", "table", "code", "guest"])
+    # About ``limit`` codes a task; the values of a mask share tasks, and stay apart within them.
+    most = codes.groupBy("table").count().agg(F.max("count")).first()[0] or 0
+    shares = max(1, -(-most // limit))
 
     def link(group: pa.Table) -> pa.Table:
-        code = group.column("code").to_numpy().astype(np.int64).view(np.uint64)
-        guest = group.column("guest").to_numpy()
-        a, b = forest(code[~guest], code[guest], radius)
+        mask = group.column("mask")[0].as_py() % 2**64
+        own = group.column("code").to_numpy().astype(np.int64).view(np.uint64)
+        # The bits in common come first: they decide the upper nodes of the index.
+        order = np.array(sorted(range(64), key=lambda b: not mask >> (63 - b) & 1))
+        common = bin(mask).count("1")
+        a, b = forest(moved(own, order), radius, np.uint64((2**common - 1) << (64 - common)))
+        back = np.argsort(order)
         table = np.full(len(a), group.column("table")[0].as_py(), np.int32)
-        return pa.table({"table": table, "a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"table": table, "a": moved(a, back).view(np.int64), "b": moved(b, back).view(np.int64)})
 
-    routed = codes.mapInArrow(route, "cell long, table int, code long, guest boolean")
-    return routed.groupBy("cell").applyInArrow(link, "table int, a long, b long")
+    routed = _routed(codes, radius, limit).withColumn("share", F.pmod(F.xxhash64("value"), F.lit(shares)))
+    return routed.select("table", "mask", "share", "code").groupBy("table", "mask", "share").applyInArrow(
+        link, "table int, a long, b long")
 
 
 def near_components(
@@ -316,8 +333,8 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [byte_words(t) for t in batch.column(2).to_pylist()]
-            found = [sketches(w) + bands(w) for w in words]
+            # One text at a time: words of a whole batch would fill the memory of a worker.
+            found = [sketches(words) + bands(words) for words in (byte_words(t.as_py()) for t in batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "digest", "codes"])
 

@@ -123,16 +123,46 @@ def test_forest_links_what_brute_force_links(radius):
     codes = [rng.getrandbits(64) for _ in range(60)]
     codes += [c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in codes for _ in range(5)]
     codes = sorted(set(codes))
-    cut = len(codes) // 2
-    a, b = simhash.forest(np.array(codes[:cut], np.uint64), np.array(codes[cut:], np.uint64), radius)
-    a2, b2 = simhash.forest(np.array(codes[cut:], np.uint64), np.array(codes[:cut], np.uint64), radius)
+    a, b = simhash.forest(np.array(codes, np.uint64), radius)
     place = {c: i for i, c in enumerate(codes)}
     parent = np.arange(len(codes))
-    parent = simhash.unite(parent, np.array([place[int(x)] for x in [*a, *a2]], int), np.array([place[int(x)] for x in [*b, *b2]], int))
+    parent = simhash.unite(parent, np.array([place[int(x)] for x in a], int), np.array([place[int(x)] for x in b], int))
     want = linked(codes, radius)
     assert len(a) < len(codes) and [want.index(x) for x in want] == [list(parent).index(p) for p in parent]
 
 
+def test_moved_bits_keep_differences_and_come_back():
+    rng = random.Random(2)
+    codes = np.array([rng.getrandbits(64) for _ in range(50)], np.uint64)
+    order = np.array(rng.sample(range(64), 64))
+    there = simhash.moved(codes, order)
+    assert (simhash.moved(there, np.argsort(order)) == codes).all()
+    assert (np.bitwise_count(there[1:] ^ there[:-1]) == np.bitwise_count(codes[1:] ^ codes[:-1])).all()
+
+
+@pytest.mark.parametrize("radius,limit", [(2, 20_000), (2, 25), (3, 12)])
+def test_forests_of_crowded_groups_link_what_brute_force_links(spark, radius, limit):
+    """Codes that agree in most bits crowd one group of every part, which is dealt anew."""
+    rng = random.Random(limit)
+    codes = [rng.getrandbits(64) for _ in range(40)]
+    codes += [c ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for c in codes for _ in range(3)]
+    codes += [0xABCD_0000_0000_0000 | rng.getrandbits(12) << rng.choice((0, 20, 30)) for _ in range(200)]
+    codes = sorted(set(codes))
+    frame = spark.createDataFrame([(t, c - 2**64 if c >= 2**63 else c) for t in (0, 4) for c in codes], "table int, fingerprint long")
+    routed = simhash._routed(frame, radius, limit)
+    if limit > len(codes):
+        assert routed.count() == 2 * len(codes) * (radius + 1)
+    else:
+        assert routed.groupBy("table", "mask", "value").count().agg(F.max("count")).first()[0] <= limit
+    place, want = {c: i for i, c in enumerate(codes)}, linked(codes, radius)
+    links = simhash.link_forests(frame, radius, limit).collect()
+    for table in (0, 4):
+        own = [(r.a % 2**64, r.b % 2**64) for r in links if r.table == table]
+        assert all((a ^ b).bit_count() > 0 for a, b in own)
+        parent = simhash.unite(np.arange(len(codes)), np.array([place[a] for a, _ in own]), np.array([place[b] for _, b in own]))
+        assert [want.index(x) for x in want] == [list(parent).index(p) for p in parent]
+
+
 def test_components_are_those_of_union_find(spark):
     rng = random.Random(4)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(70)]
