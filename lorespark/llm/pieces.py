@@ -101,6 +101,11 @@ class Model:
             self.beside[pair] = self.bare.encode(a + b) == self.ids(a) + self.ids(b)
         return self.beside[pair]
 
+    def forget(self) -> None:
+        """At the end of a task: the worker lives on, and other stages need its memory."""
+        for held in (self.memo.known, self.ids_of, self.beside):
+            held.clear()
+
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
         return data[1:]
@@ -294,6 +299,7 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([row], pa.int64()), pa.array([number], pa.int32()), pa.array([ids], pa.list_(pa.int32()))],
                     names=["row", "number", "ids"])
+        model.forget()
 
     # Chunks are dealt anew, so one giant document is worked on by many tasks.
     chunks = materialize(giants.select("row", "text").mapInArrow(cut, CHUNKS).repartition("row", "number"))
@@ -321,6 +327,7 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", chunk: int = C
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], own], names=[*part.schema.names[:-1], name])
+        model.forget()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -212,15 +212,15 @@ def _routed(codes: DataFrame, radius: int, limit: int) -> DataFrame:
         child = {m: parts(m % 2**64, radius + 1) for m in masks}
         deeper = F.create_map(*[x for m, c in child.items() for x in (
             F.lit(m).cast("long"), F.array(*[F.lit(_signed(k)).cast("long") for k in c]))])
-        masks = sorted({_signed(k) for c in child.values() for k in c})
         keyed = rest.select("table", F.explode(F.element_at(deeper, F.col("mask"))).alias("mask"), "code").withColumn(
             "value", F.col("code").bitwiseAND(F.col("mask")))
         # A mask may be come by in several ways.
         keyed = keyed if out is None else keyed.distinct()
         key = ["table", "mask", "value"]
         crowded = materialize(keyed.groupBy(*key).count().filter(F.col("count") > limit).drop("count"))
-        # With all bits in common a group is one code.
-        if crowded.isEmpty() or -1 in masks:
+        # Masks of crowded groups only; with all bits in common a group is one code.
+        masks = [r["mask"] for r in crowded.select("mask").distinct().collect()]
+        if not masks or -1 in masks:
             return keyed if out is None else out.unionByName(keyed)
         done = keyed.join(crowded, key, "left_anti")
         out = done if out is None else out.unionByName(done)

@@ -173,8 +173,8 @@ def _choose_terms(examples: DataFrame) -> tuple[DataFrame, list[str]]:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [(t or "").lower().split() for t in batch.column(1).to_pylist()]
-            signs = [_signature(w) - 2**63 for w in words]
+            # One text at a time: words of a whole batch would fill the memory of a worker.
+            signs = [_signature((t.as_py() or "").lower().split()) - 2**63 for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(signs, pa.int64()), batch.column(1)],
                                              names=["doc_id", "label", "sign", "text"])
 
@@ -184,8 +184,8 @@ def _choose_terms(examples: DataFrame) -> tuple[DataFrame, list[str]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {0: Counter(), 1: Counter()}
         for batch in batches:
-            for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen[label].update({t for w in set((text or "").lower().split()) for t in features(w)})
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen[label].update({t for w in set((text.as_py() or "").lower().split()) for t in features(w)})
         for label, found in seen.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.string()), pa.array([label] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())],
@@ -216,8 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         memo, seen, rows = {}, np.zeros(len(terms), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            for text in batch.column(0).to_pylist():
-                seen[list(count_terms(text, terms, memo))] += 1
+            for text in batch.column(0):
+                seen[list(count_terms(text.as_py(), terms, memo))] += 1
         yield pa.RecordBatch.from_arrays(
             [pa.array([-1, *range(len(terms))], pa.int64()), pa.array([rows, *seen.tolist()], pa.int64())], names=["term", "df"])
 
@@ -312,7 +312,8 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            found = list(zip(*map(scorer, batch.column(batch.num_columns - 1).to_pylist()), strict=True)) or [[]] * 4
+            scored = (scorer(t.as_py()) for t in batch.column(batch.num_columns - 1))
+            found = list(zip(*scored, strict=True)) or [[]] * 4
             added = [pa.array(list(v), k) for v, k in zip(found, _KINDS, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], *names])
 

@@ -140,7 +140,7 @@ def test_moved_bits_keep_differences_and_come_back():
     assert (np.bitwise_count(there[1:] ^ there[:-1]) == np.bitwise_count(codes[1:] ^ codes[:-1])).all()
 
 
-@pytest.mark.parametrize("radius,limit", [(2, 20_000), (2, 25), (3, 12)])
+@pytest.mark.parametrize("radius,limit", [(2, 20_000), (2, 60), (3, 60)])
 def test_forests_of_crowded_groups_link_what_brute_force_links(spark, radius, limit):
     """Codes that agree in most bits crowd one group of every part, which is dealt anew."""
     rng = random.Random(limit)
