@@ -323,8 +323,9 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     Equal texts are found by digest. Of different ones, candidates link in any of ``TABLES``
     SimHash fingerprints of their distinct words, which edits of single words hardly move, or in any
     of ``BANDS`` bands of least hashes of their shingles, whose chance depends on the resemblance
-    alone, so that added and cut passages are found like scattered edits; their
-    components are then gone through by the exact share of common five-word shingles. In blocks of
+    alone, so that added and cut passages are found like scattered edits. Candidate pairs are
+    verified by the exact share of common five-word shingles, and components of the verified links
+    are then gone through by the same share. In blocks of
     about ``GROUP`` documents, one by one, a document is dropped that reaches ``similar`` with an
     earlier one that stays. Components of one block are settled at once, larger ones dealt anew
     until their blocks drop nothing, and then one leader at a time. Nothing is dropped
@@ -349,18 +350,33 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
                          .select(F.col("doc_id").alias("node"), F.posexplode("codes").alias("table", "fingerprint")))
     # Tables from ``TABLES`` on are bands, in which only equal hashes link.
     forests = materialize(link_forests(single.filter(F.col("table") < TABLES), radius))
-    least = single.groupBy("table", "fingerprint").agg(F.min("node").alias("least"))
-    same = single.join(least, ["table", "fingerprint"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    least = single.groupBy("table", "fingerprint").agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    # Two centres of every band: a document that is unlike one may be like the other.
+    same = single.join(least, ["table", "fingerprint"]).select(
+        F.col("node").alias("a"), F.explode(F.array("least", "most")).alias("b"))
 
     def at(end: str) -> DataFrame:
         return least.select("table", F.col("fingerprint").alias(end), F.col("least").alias(f"node_{end}"))
 
     linked = forests.join(at("a"), ["table", "a"]).join(at("b"), ["table", "b"]).select(
         F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    roots = materialize(components(linked.unionAll(same)))
-    texts = materialize(named.join(roots, F.col("doc_id") == F.col("node"), "left_semi").groupBy("doc_id").agg(
+    candidates = materialize(linked.unionAll(same).filter("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = materialize(named.join(ends, F.col("doc_id") == F.col("node"), "left_semi").groupBy("doc_id").agg(
         F.min("text").alias("text")).withColumnRenamed("doc_id", "node"))
 
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = [resemblance(byte_words(a.as_py()), byte_words(b.as_py())) >= similar
+                    for a, b in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    # Only verified links make components, so unlike documents never crowd one.
+    pairs = candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    roots = materialize(components(materialize(pairs.mapInArrow(alike, "a long, b long"))))
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = [resemblance(byte_words(a), byte_words(b)) >= similar
