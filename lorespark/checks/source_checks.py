@@ -10,7 +10,7 @@ from lorespark.checks.registry import check
 from lorespark.checks.scalar_checks import AS_OF, EFFECTIVE_SQL, audit, grants, md_docs
 from lorespark.functions import embedding
 from lorespark.operators import catalog as cg
-from lorespark.operators import filters, stats
+from lorespark.operators import filters, rates, stats
 from lorespark.plans import ingest
 from lorespark.sources import files, tables
 from lorespark.session import shared_folder
@@ -397,11 +397,11 @@ def _rate_sql(key: str, source: str, seconds: int, limit: int) -> str:
 
 @check("anchored_rate_window", _rate_sql("key", "requests", 60, 30))
 def anchored_rate_window(spark, sf):
-    return stamped(stats.anchored_rate_windows(requests(spark, sf)), "opened_at")
+    return stamped(rates.anchored_rate_windows(requests(spark, sf)), "opened_at")
 
 
 @check("anchored_rate_window_hour", _rate_sql("event_type", "events", 3600, 3))
 def anchored_rate_window_hour(spark, sf):
-    """Few hot keys and long windows that cross the blocks."""
+    """Few hot keys and long windows."""
     asked = fx.table(spark, sf, "events").select(F.col("event_type").alias("key"), "ts")
-    return stamped(stats.anchored_rate_windows(asked, width_seconds=3600, limit=3, block_seconds=7200, hot_rows=1000), "opened_at")
+    return stamped(rates.anchored_rate_windows(asked, width_seconds=3600, limit=3), "opened_at")

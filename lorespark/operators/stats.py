@@ -1,20 +1,15 @@
-"""Usage, audit and dashboard aggregates, and the anchored rate window."""
+"""Usage, audit and dashboard aggregates."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators.joins import materialize, salted_join
-
 # Rate window and limit, days that hourly and daily counts are kept, and
 # the zone in which trend labels are shown.
 WINDOW_SECONDS, RATE_LIMIT = 60, 30
 HOURLY_DAYS, DAILY_DAYS = 8, 90
 LABEL_ZONE = "+08:00"
-NEVER = -(2**62)
 
 
 def requests_per(requests: DataFrame, unit: str) -> DataFrame:
@@ -82,111 +77,3 @@ def node_summary(log: DataFrame) -> DataFrame:
 
 def ingest_failures(log: DataFrame) -> DataFrame:
     return log.filter("status = 'failed'").select("doc_id", "title", "node", "error")
-
-
-# ------------------------------------------------------------------ anchored rate window
-
-
-def _next_open(times: np.ndarray, width: int) -> np.ndarray:
-    """Per request the first request that no longer falls into a window opened by it."""
-    return np.searchsorted(times, times + width, side="left")
-
-
-def _entries(width: int):
-    """For every state a block can be entered in, the state it is left in.
-
-    A block is entered with the time its carried window expires. That time decides which
-    request of the block opens the next window; only requests in the first window width
-    of the block, or the one after them, can be that request.
-    """
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(block["us"].to_numpy())
-        after = _next_open(times, width)
-        leaves = np.empty(len(times), dtype=np.int64)
-        for i in range(len(times) - 1, -1, -1):
-            leaves[i] = times[i] + width if after[i] == len(times) else leaves[after[i]]
-        start = block["block_us"].iat[0]
-        count = min(len(times), int(np.searchsorted(times, start + width, side="left")) + 1)
-        return pd.DataFrame({
-            "key": block["key"].iat[0], "block_us": start, "opener": times[:count],
-            "leaves": leaves[:count],
-        }).drop_duplicates("opener")
-
-    return run
-
-
-def _chain(summaries: pd.DataFrame) -> pd.DataFrame:
-    """Expiry carried into each block of one key, blocks in time order."""
-    carried, rows = NEVER, []
-    for start, block in summaries.sort_values(["block_us", "opener"]).groupby("block_us"):
-        rows.append((summaries["key"].iat[0], start, carried))
-        open_at = block[block["opener"] >= carried]
-        if len(open_at):
-            carried = int(open_at["leaves"].iat[0])
-    return pd.DataFrame(rows, columns=["key", "block_us", "carried"])
-
-
-def _windows(width: int):
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("us", ignore_index=True)
-        times = block["us"].to_numpy()
-        carried = int(block["carried"].iat[0])
-        after = _next_open(times, width)
-        opened = np.full(len(times), carried - width, dtype=np.int64)
-        at = int(np.searchsorted(times, carried, side="left"))
-        while at < len(times):
-            opened[at:after[at]] = times[at]
-            at = int(after[at])
-        return pd.DataFrame({
-            "key": block["key"], "us": times, "n": block["n"], "opened_us": opened,
-        })
-
-    return run
-
-
-def anchored_rate_windows(
-    requests: DataFrame, width_seconds: int = WINDOW_SECONDS, limit: int = RATE_LIMIT,
-    block_seconds: int = 21600, hot_rows: int = 100_000,
-) -> DataFrame:
-    """Windows per key: the first request opens one, requests until it expires count.
-
-    Requests over ``limit`` in a window are rejected but still count. Returns key,
-    opened_at, requests, rejected.
-
-    Equal times are merged first. A key with more than ``hot_rows`` different times is
-    cut into time blocks that are worked on in parallel. All a block needs from the ones
-    before is the time when the carried window expires, so the blocks are summarised, the
-    summaries of the key are chained, and then every block assigns its own requests.
-    """
-    if block_seconds < width_seconds:
-        raise ValueError("a block must be at least as long as a window")
-    width = width_seconds * 1_000_000
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    times = requests.groupBy("key", us.alias("us")).agg(F.count("*").alias("n"))
-    hot = times.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
-    block = F.col("us") - F.pmod("us", F.lit(block_seconds * 1_000_000))
-    merged = materialize(
-        salted_join(times, hot, ["key"], spread=["us"], how="left").select(
-            "key", "us", "n", F.when(F.col("_n").isNotNull(), block).alias("block_us")
-        )
-    )
-    key_type = merged.schema["key"].dataType.simpleString()
-    assigned_schema = f"key {key_type}, us long, n long, opened_us long"
-    whole = merged.filter("block_us IS NULL").withColumn("carried", F.lit(NEVER)).groupBy("key")
-    by_block = ["key", "block_us"]
-    cut = merged.filter("block_us IS NOT NULL")
-    entries = cut.select("key", "block_us", "us").groupBy(*by_block).applyInPandas(
-        _entries(width), f"key {key_type}, block_us long, opener long, leaves long"
-    )
-    carried = entries.groupBy("key").applyInPandas(
-        _chain, f"key {key_type}, block_us long, carried long"
-    )
-    blocks = cut.join(carried, by_block).groupBy(*by_block)
-    assigned = whole.applyInPandas(_windows(width), assigned_schema).union(
-        blocks.applyInPandas(_windows(width), assigned_schema)
-    )
-    return assigned.groupBy("key", "opened_us").agg(F.sum("n").alias("requests")).select(
-        "key", F.timestamp_micros("opened_us").alias("opened_at"), "requests",
-        F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"),
-    )

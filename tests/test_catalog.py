@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text
 from lorespark.functions.embedding import embed_chunks, hashed_terms
 from lorespark.operators import catalog as cg
-from lorespark.operators import consistency, stats
+from lorespark.operators import consistency, rates
 from lorespark.plans.ingest import ingest_documents, reindex
 from lorespark.sources import files, tables
 from lorespark.streaming import jobs
@@ -129,17 +129,29 @@ def brute_windows(times, width):
     return windows
 
 
-@pytest.mark.parametrize("hot_rows, block", [(10**6, 600), (10, 600), (10, 60), (10, 180)])
-def test_rate_windows_against_brute_force(spark, hot_rows, block):
-    rng = random.Random(block + hot_rows)
-    times = {"busy": [rng.randrange(0, 3000) for _ in range(400)], "edge": list(range(0, 1200, 60)) + [59, 60, 61],
-             "rare": [5, 64, 65, 66, 2000], "gap": [10, 69, 70, 700, 1290]}
+def given_windows(spark, times, width):
     rows = [(k, t) for k, ts in times.items() for t in ts]
     asked = spark.createDataFrame(rows, "key string, s long").select("key", F.timestamp_seconds("s").alias("ts"))
-    got = stats.anchored_rate_windows(asked, 60, 3, block_seconds=block, hot_rows=hot_rows)
-    want = {(k, o): (n, max(n - 3, 0)) for k, ts in times.items() for o, n in brute_windows(ts, 60).items()}
-    assert {(r.key, int(r.opened_at.timestamp())): (r.requests, r.rejected) for r in got.withColumn(
-        "opened_at", F.col("opened_at")).collect()} == want
+    got = rates.anchored_rate_windows(asked, width, 3).collect()
+    return {(r.key, int(r.opened_at.timestamp())): (r.requests, r.rejected) for r in got}, len(got)
+
+
+@pytest.mark.parametrize("width, span", [(60, 3000), (7, 3000), (1, 200)])
+def test_rate_windows_against_brute_force(spark, monkeypatch, width, span):
+    monkeypatch.setattr(rates, "SPAN", 4)
+    rng = random.Random(width)
+    # One key with nine tenths of the rows, a null key, gaps, full cells, repeated times.
+    times = {"busy": [rng.randrange(0, span) for _ in range(900)], "edge": list(range(0, 1200, 60)) + [59, 60, 61],
+             "rare": [5, 64, 65, 66, 2000], "gap": [10, 69, 70, 700, 1290], "one": [77, 77], None: [3, 4, 70, 500]}
+    got, rows = given_windows(spark, times, width)
+    want = {(k, o): (n, max(n - 3, 0)) for k, ts in times.items() for o, n in brute_windows(ts, width).items()}
+    assert got == want and rows == len(want)
+
+
+def test_rate_windows_of_nothing(spark):
+    empty = spark.createDataFrame([], "key string, ts timestamp")
+    assert rates.anchored_rate_windows(empty).count() == 0
+    assert rates.anchored_rate_windows(spark.sql("SELECT 'a' AS key, CAST(NULL AS TIMESTAMP) AS ts")).count() == 0
 
 
 # ----------------------------------------------------------------------- ingestion, streams
