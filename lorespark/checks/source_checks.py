@@ -224,6 +224,16 @@ def audit_page(spark, sf):
         "id", "timestamp", "action", "total")
 
 
+@check("audit_page_deep", f"""
+    SELECT 'audit-' || event_id AS id, {fx.stamp('ts')} AS "timestamp", event_type AS action, count(*) OVER () AS total FROM events
+    WHERE event_type <> 'error' ORDER BY ts DESC, 'audit-' || event_id LIMIT 100 OFFSET 400""")
+def audit_page_deep(spark, sf):
+    """A page that is found by measured ranges."""
+    rows = filters.audit_matches(audit(spark, sf), success=True)
+    return stamped(cg.newest_page(rows, "timestamp", "id", limit=100, offset=400, top_rows=0), "timestamp").select(
+        "id", "timestamp", "action", "total")
+
+
 @check("graph_sink", fx.select(
     "SELECT relation, CAST(1 AS BIGINT) AS version, count(*) AS edges FROM edges GROUP BY relation", "edges"))
 def graph_sink(spark, sf):

@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import metadata, text
 from lorespark.functions.paths import breadcrumbs, parent_dir, path_normalize, source_path, under
-from lorespark.operators.joins import first_per, salted_join
+from lorespark.operators.joins import first_per, rows_from, salted_join
 
 # Matches reported per document and the similarity a semantic match needs.
 MATCHES = 5
 SEMANTIC_MATCH = 0.9
+#: Rows up to which a page is the end of a top-n; pages further back are found by ranges.
+TOP_ROWS = 10_000
 
 
 # ------------------------------------------------------------------ listings and pages
 
 
-def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
+def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0, top_rows: int = TOP_ROWS) -> DataFrame:
     """One page in order, with the total number of rows before paging.
 
-    The page is a top-n over all tasks; the total is a scalar subquery.
+    A page within the first ``top_rows`` is a top-n over all tasks, one further back is taken from
+    measured ranges of the order; the rows are the same. ``order`` must be unique. The total is a scalar subquery.
     """
-    total = df.agg(F.count("*").alias("total")).scalar()
-    return df.orderBy(*order).offset(max(0, offset)).limit(limit).withColumn("total", total)
+    total, skipped = df.agg(F.count("*").alias("total")).scalar(), max(0, offset)
+    if skipped + limit <= top_rows:
+        rows = df.orderBy(*order).offset(skipped).limit(limit)
+    else:
+        rows = rows_from(df, order, skipped, limit)
+    return rows.withColumn("total", total)
 
 
 def list_documents(catalog: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -31,8 +38,10 @@ def list_documents(catalog: DataFrame, limit: int = 20, offset: int = 0) -> Data
     return page(catalog, [F.col("created_at").desc(), F.col("doc_id")], limit, offset)
 
 
-def newest_page(df: DataFrame, time: str, tie: str, limit: int, offset: int = 0) -> DataFrame:
-    return page(df, [F.col(time).desc(), F.col(tie)], limit, offset)
+def newest_page(
+    df: DataFrame, time: str, tie: str, limit: int, offset: int = 0, top_rows: int = TOP_ROWS
+) -> DataFrame:
+    return page(df, [F.col(time).desc(), F.col(tie)], limit, offset, top_rows)
 
 
 def task_page(tasks: DataFrame, limit: int) -> DataFrame:

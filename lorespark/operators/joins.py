@@ -48,21 +48,48 @@ def first_per(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
 
 
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows, written in ranges of the order; ``_range`` numbers the ranges.
+
+    Ranges are measured on the rows themselves, so they hold about equal numbers of rows however
+    the values are distributed; rows equal in the whole order stay together.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(df.repartitionByRange(tasks, *order).withColumn("_range", F.spark_partition_id()))
+
+
 def spread_row_number(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
-    """Row number per key by a text column, without sorting a crowded key in one task.
+    """Row number per key by a column, without sorting a crowded key in one task.
 
-    Rows are numbered within the first two characters of ``order``; the rows before each
-    such bucket are counted from a pre-aggregation. ``order`` must be unique per key.
+    Rows are numbered within measured ranges of (key, order); the rows of a key before each range
+    are counted from a pre-aggregation of one row a key and range. ``order`` must be unique per key.
     """
-    bucketed = df.withColumn("_b", F.substring(order, 1, 2))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = bucketed.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).select(
-        *keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")
+    ranged = in_ranges(df, *keys, order)
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_c")).select(
+        *keys, "_range", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")
     )
-    own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order))
-    return bucketed.withColumn("_own", own).join(starts, [*keys, "_b"]).withColumn(
+    own = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order))
+    return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn(
         name, F.col("_own") + F.col("_before")
-    ).drop("_b", "_own", "_before")
+    ).drop("_range", "_own", "_before")
+
+
+def rows_from(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
+    """``limit`` rows after the first ``offset`` ones in order, without gathering those before.
+
+    Rows are written in measured ranges; counts of the ranges tell which of them hold the wanted
+    places, and only those are sorted, each in a task of its own. ``order`` must be unique.
+    """
+    ranged = in_ranges(df, *order)
+    # One row a range.
+    running = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_c")).select(
+        "_range", "_c", F.coalesce(F.sum("_c").over(running), F.lit(0)).alias("_before"))
+    touched = counts.filter((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_c") > offset))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    placed = ranged.join(F.broadcast(touched), "_range").withColumn("_place", F.col("_before") + own)
+    return placed.filter(F.col("_place").between(offset + 1, offset + limit)).orderBy("_place").select(*df.columns)
 
 
 def top_per_query(df: DataFrame, score: str, rank: str = "rank") -> DataFrame:

@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lorespark.operators import graph, joins, vectors
@@ -298,6 +299,26 @@ def test_spread_row_number(spark):
     assert got == want
 
 
+def test_numbers_of_crowded_ids_come_from_several_ranges(spark):
+    # One key has nearly all rows and all its ids begin alike.
+    rows = spark.range(2000).select(F.when(F.col("id") < 10, "few").otherwise("most").alias("k"),
+                                    F.format_string("document-%05d", (F.col("id") * 7919) % 2000).alias("d"))
+    ranged = joins.in_ranges(rows, "k", "d").groupBy("_range").agg(F.count("*").alias("n")).collect()
+    assert len(ranged) == 4 and max(r.n for r in ranged) < 1000
+    got = [(r.k, r.d, r.n) for r in joins.spread_row_number(rows, ["k"], "d", "n").collect()]
+    known = [(r.k, r.d) for r in rows.collect()]
+    want = [(k, d, n) for k in ("few", "most") for n, d in enumerate(sorted(d for o, d in known if o == k), 1)]
+    assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("offset, limit", [(0, 3), (37, 20), (95, 20), (100, 5), (500, 5)])
+def test_rows_from_equal_the_sorted_slice(spark, offset, limit):
+    rows = spark.range(100).select((F.col("id") % 3).alias("a"), "id")
+    got = [(r.a, r.id) for r in joins.rows_from(rows, [F.col("a").desc(), F.col("id")], offset, limit).collect()]
+    assert got == sorted(((i % 3, i) for i in range(100)), key=lambda r: (-r[0], r[1]))[offset:offset + limit]
+    assert joins.rows_from(rows.limit(0), [F.col("id")], offset, limit).count() == 0
+
+
 # ---------------------------------------------------------------------------------- graph
 
 
