@@ -3,9 +3,10 @@
 Shingles of five words are hashed once. The upper bits of a hash choose one of ``BINS`` bins, and the
 least hash of a bin is its value. An empty bin takes the value of a filled one by optimal
 densification: it tries bins in an order that depends on its own number only, so two documents
-with the same filled bins fill alike, and each filled bin is as likely as any other. The lowest
-``BITS`` bits of every bin are packed into a string of hexadecimal digits. Likeness is the share
-of equal bins, corrected for the share that is equal by chance.
+with the same filled bins fill alike, and each filled bin is as likely as any other. Of every bin
+the lowest ``BITS`` bits of a hash of its value and its number are packed into a string of hexadecimal
+digits, so one value that fills many bins gives each other bits. Likeness is the share of equal
+bins, corrected for the share that is equal by chance.
 
 Defined results: a null text counts as empty; fewer than five words are one shingle; a text without
 words has the empty fingerprint, which is like itself (1) and unlike any other (0). Rows are
@@ -98,7 +99,8 @@ def fingerprint(text: Column) -> Column:
     low = F.lit(list(DIGITS))
 
     def packed(h: Column) -> Column:
-        digits = F.transform(signature(h), lambda x: F.get(low, x.bitwiseAND(F.lit(len(DIGITS) - 1)).cast("int")))
+        digits = F.transform(
+            signature(h), lambda x, b: F.get(low, F.xxhash64(x, b).bitwiseAND(F.lit(len(DIGITS) - 1)).cast("int")))
         return F.when(F.size(h) == 0, F.lit("")).otherwise(F.array_join(digits, ""))
 
     return _let(shingle_hashes(text), packed)

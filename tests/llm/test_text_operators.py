@@ -291,6 +291,60 @@ def test_bins_of_short_texts_are_as_likely_as_any_other(spark):
     assert len(shares) > 70 and abs(np.mean(shares) - 0.5) < 0.03 and np.std(shares) < 0.06
 
 
+def signed(value):
+    return value - 2**64 if value >= 2**63 else value
+
+
+def hashed(*values):
+    """Texts as UTF-8, pairs (number, bytes) as little-endian integers; each hash seeds the next."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else v[0].to_bytes(v[1], "little", signed=True), seed=seed).intdigest()
+    return signed(seed)
+
+
+def own_minhash(text):
+    """The fingerprint by its definition, one bin after the other."""
+    known = words(text)
+    if not known:
+        return ""
+    if len(known) < 5:
+        values = {hashed(" ".join(known))}
+    else:
+        values = {hashed(*[(hashed(w), 8) for w in known[i:i + 5]]) for i in range(len(known) - 4)}
+    least = {}
+    for v in sorted(values, reverse=True):
+        least[(v >> 56) + 128] = v
+    rng = random.Random(minhash.BINS)
+    tries = [[rng.randrange(minhash.BINS) for _ in range(sum(minhash.TRIES))] for _ in range(minhash.BINS)]
+    out = ""
+    for b in range(minhash.BINS):
+        at = b
+        if b not in least:
+            hits = [t for t in tries[b] if t in least]
+            at = hits[0] if hits else min(least, key=lambda t: hashed((b, 4), (t, 4)))
+        out += f"{hashed((least[at], 8), (b, 4)) & 15:x}"
+    return out
+
+
+def test_fingerprints_equal_their_definition(spark):
+    texts = [prose(i, n, 3000) for i, n in enumerate((1, 2, 4, 5, 6, 7, 9, 20, 60, 400, 3000))] + ["", " \n", "Ünï Wörd A", "a a a a a a a"]
+    frame = docs(spark, list(enumerate(texts)))
+    got = dict(frame.select("doc_id", minhash.fingerprint(F.col("text"))).collect())
+    assert [got[i] for i in range(len(texts))] == [own_minhash(t) for t in texts]
+
+
+def test_unrelated_short_texts_are_unlike(spark):
+    # One to five shingles; few values fill all bins.
+    texts = [prose(1000 + i, 5 + i % 5, 10**6) for i in range(150)]
+    frame = docs(spark, list(enumerate(texts))).select("doc_id", minhash.fingerprint(F.col("text")).alias("f"))
+    prints = [f for _, f in sorted(frame.collect())]
+    assert len(set(prints)) == len(texts)
+    pairs = [(a, b) for i, a in enumerate(prints) for b in prints[:i]]
+    near = spark.createDataFrame(pairs, "a string, b string").select(minhash.likeness(F.col("a"), F.col("b")).alias("n"))
+    assert near.agg(F.max("n")).first()[0] < 0.3
+
+
 # -------------------------------------------------------------------------------------- toxicity
 
 
