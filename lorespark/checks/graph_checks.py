@@ -84,6 +84,12 @@ def similar_pairs(spark, sf):
         "similarity", F.round("similarity", 6))
 
 
+@check("semantic_pairs_banded")
+def similar_pairs_banded(spark, sf):
+    """Candidates by bands of signs: few pairs at the threshold are missed, none is wrong."""
+    return semantic_pairs(fx.vectors(spark, sf), 0.8, recall=0.99).withColumn("similarity", F.round("similarity", 6))
+
+
 # ------------------------------------------------------------------------- graph build
 
 fx.define("mentions", ["catalog"], r"""
@@ -264,6 +270,46 @@ def graph_communities(spark, sf):
     return graph.label_propagation(built.nodes, joins.materialize(built.edges), rounds=4)
 
 
+def _moves_sql(rounds: int) -> str:
+    fx.define("mv_degrees", ["lp_links"], "SELECT node, sum(w) AS degree FROM lp_links GROUP BY node")
+    fx.define("mv0", ["nodes"], "SELECT id AS node, id AS community FROM nodes")
+    for i in range(rounds):
+        fx.define(f"mv{i + 1}", [f"mv{i}", "mv_degrees", "lp_links"], f"""
+            SELECT m.node, coalesce(b.community, m.community) AS community FROM mv{i} m LEFT JOIN (
+              SELECT o.node, o.community, row_number() OVER (PARTITION BY o.node ORDER BY
+                CAST((SELECT sum(degree) FROM mv_degrees) AS DOUBLE) * CAST(o.w AS DOUBLE) - CAST(o.degree AS DOUBLE)
+                  * CAST(s.total - CASE WHEN o.community = o.own THEN o.degree ELSE 0 END AS DOUBLE) DESC,
+                o.community <> o.own, o.community) AS rn
+              FROM (SELECT node, community, degree, own, sum(w) AS w FROM (
+                  SELECT k.node, n.community, d.degree, h.community AS own, k.w FROM lp_links k
+                    JOIN mv{i} n ON n.node = k.next JOIN mv{i} h ON h.node = k.node JOIN mv_degrees d ON d.node = k.node
+                    WHERE k.node <> k.next
+                  UNION ALL SELECT h.node, h.community, d.degree, h.community, 0 FROM mv{i} h JOIN mv_degrees d ON d.node = h.node)
+                WHERE substr(md5(node || ':{i}'), 1, 1) < '8' GROUP BY ALL) o
+              JOIN (SELECT h.community, sum(d.degree) AS total FROM mv{i} h JOIN mv_degrees d ON d.node = h.node
+                GROUP BY h.community) s ON s.community = o.community) b ON b.node = m.node AND b.rn = 1""")
+    return fx.select(f"SELECT node, community FROM mv{rounds}", f"mv{rounds}")
+
+
+@check("graph_modularity_moves", _moves_sql(3))
+def graph_modularity_moves(spark, sf):
+    """The first rounds of moves, before anything is contracted."""
+    built = relation_graph(spark, sf)
+    links = joins.materialize(graph.modularity_links(built.nodes, built.edges))
+    degrees = links.groupBy("node").agg(F.sum("w").alias("degree"))
+    total = links.agg(F.sum("w")).first()[0] or 0
+    members = built.nodes.select(F.col("id").alias("node"), F.col("id").alias("community"))
+    for number in range(3):
+        members = joins.materialize(graph.local_moves(links, members, degrees, total, number))
+    return members
+
+
+@check("graph_communities_modularity")
+def graph_communities_modularity(spark, sf):
+    built = relation_graph(spark, sf)
+    return graph.modularity_communities(built.nodes, joins.materialize(built.edges))
+
+
 fx.define("cc_links", ["edges"], """
     SELECT source AS u, target AS v FROM edges WHERE relation IN ('declares_core_entity', 'semantically_similar')
     UNION SELECT target, source FROM edges WHERE relation IN ('declares_core_entity', 'semantically_similar')""")

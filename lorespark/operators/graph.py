@@ -487,6 +487,107 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, rounds: int = 5) -> Da
     return labels
 
 
+def modularity_links(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, next, w: links in both directions, weights summed as integers of 1/10000.
+
+    A link of a node with itself counts twice, as its two ends do.
+    """
+    ends = edges.select("source", "target", F.round(F.col("weight") * 10000).cast("long").alias("w"))
+    both = ends.select(F.col("source").alias("node"), F.col("target").alias("next"), "w").union(
+        ends.select(F.col("target").alias("node"), F.col("source").alias("next"), "w"))
+    return both.groupBy("node", "next").agg(F.sum("w").alias("w"))
+
+
+def _degrees(links: DataFrame) -> DataFrame:
+    return links.groupBy("node").agg(F.sum("w").alias("degree"))
+
+
+def modularity(members: DataFrame, links: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of a partition (node, community) over :func:`modularity_links`; 0 without links."""
+    sums = salted_join(links, members, ["node"], spread=["next"])
+    ends = salted_join(sums, members.select(F.col("node").alias("next"), F.col("community").alias("other")), ["next"], spread=["node"])
+    per = ends.groupBy("community").agg(
+        F.sum("w").alias("total"), F.sum(F.when(F.col("community") == F.col("other"), F.col("w")).otherwise(0)).alias("inner"))
+    square = F.col("total").cast("double") * F.col("total")
+    row = per.agg(F.sum("total").alias("all"), F.sum("inner").alias("inner"), F.sum(square).alias("squares")).first()
+    if not row["all"]:
+        return 0.0
+    return row["inner"] / row["all"] - resolution * row["squares"] / row["all"] / row["all"]
+
+
+def local_moves(
+    links: DataFrame, members: DataFrame, degrees: DataFrame, total: int, number: int, resolution: float = 1.0
+) -> DataFrame:
+    """One round of moves: every second node, by a digest of its id and the round, may move.
+
+    A node goes to the neighbouring community that raises modularity most, if one does; ties to
+    the smallest community. ``total`` is the sum of all degrees.
+    """
+    placed = members.join(degrees, "node")
+    sums = placed.groupBy("community").agg(F.sum("degree").alias("total_degree"))
+    turn = F.substring(F.md5(F.concat("node", F.lit(f":{number}"))), 1, 1) < "8"
+    moving = placed.filter(turn).select("node", "degree", F.col("community").alias("own"))
+    near = (
+        salted_join(links.filter("node <> next"), members.withColumnRenamed("node", "next"), ["next"], spread=["node"])
+        .groupBy("node", "community").agg(F.sum("w").alias("w"))
+        .join(moving, "node")
+    )
+    # A node that no link ties to its own community compares with leaving it for itself.
+    home = moving.select("node", F.col("own").alias("community"), F.lit(0).cast("long").alias("w"), "degree", "own")
+    options = near.unionByName(home).groupBy("node", "community", "degree", "own").agg(F.sum("w").alias("w"))
+    weighed = salted_join(options, sums, ["community"], spread=["node"])
+    without = F.col("total_degree") - F.when(F.col("community") == F.col("own"), F.col("degree")).otherwise(0)
+    gain = F.lit(float(total)) * F.col("w") - F.lit(resolution) * F.col("degree") * without
+    best = weighed.withColumn("gain", gain).groupBy("node").agg(
+        F.min_by("community", F.struct(
+            -F.col("gain"), (F.col("community") != F.col("own")).alias("moves"), F.col("community"))).alias("won"))
+    return members.join(best, "node", "left").select("node", F.coalesce("won", "community").alias("community"))
+
+
+def modularity_communities(
+    nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, patience: int = 3, least_gain: float = 1e-4,
+) -> DataFrame:
+    """Communities by local moves and contraction: node, community (the smallest node id of it).
+
+    In each level nodes move between neighbouring communities until ``patience`` rounds in a row
+    raise modularity by less than ``least_gain``; the best partition seen is contracted to one node a
+    community and the next level begins, until a level gains nothing. A greater ``resolution``
+    makes more and smaller communities. Nodes without links stay alone. Results depend on the
+    graph alone: weights are integers, turns follow a digest of ids, ties go to the smallest id.
+    """
+    links = materialize(modularity_links(nodes, edges))
+    members = materialize(nodes.select(F.col("id").alias("node"), F.col("id").alias("community")))
+    total = links.agg(F.sum("w")).first()[0] or 0
+    if not total:
+        return members
+    reached = modularity(members, links, resolution)
+    while True:
+        degrees = materialize(_degrees(links))
+        own = materialize(degrees.select("node", F.col("node").alias("community")))
+        best, best_score, idle, number = own, reached, 0, 0
+        while idle < patience:
+            own = materialize(local_moves(links, own, degrees, total, number, resolution))
+            score = modularity(own, links, resolution)
+            idle = 0 if score > best_score + least_gain else idle + 1
+            if score > best_score:
+                best, best_score = own, score
+            number += 1
+        if best_score <= reached + least_gain:
+            break
+        reached = best_score
+        named = best.groupBy("community").agg(F.min("node").alias("name"))
+        best = materialize(salted_join(best, named, ["community"], spread=["node"]).select("node", F.col("name").alias("community")))
+        # Communities of a level are nodes of the next.
+        step = best.select(F.col("node").alias("community"), F.col("community").alias("into"))
+        members = materialize(salted_join(members, step, ["community"], spread=["node"], how="left").select(
+            "node", F.coalesce("into", "community").alias("community")))
+        half = salted_join(links, best, ["node"], spread=["next"]).select(F.col("community").alias("from"), "next", "w")
+        links = materialize(
+            salted_join(half, best.select(F.col("node").alias("next"), "community"), ["next"], spread=["from"])
+            .groupBy(F.col("from").alias("node"), F.col("community").alias("next")).agg(F.sum("w").alias("w")))
+    return members
+
+
 def community_labels(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Readable label: the most frequent tag, else the most frequent directory."""
     docs = members.join(nodes.filter("file_type = 'document'"), members.node == nodes.id)

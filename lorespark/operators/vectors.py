@@ -249,30 +249,154 @@ def vector_channel_coded(queries: DataFrame, codes: DataFrame, vectors: DataFram
         "query_id", "doc_id", "chunk_index", F.lit("vector").alias("channel"), "raw_score")
 
 
-def _assign_cells(units: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot of every vector and the angle to it."""
+#: Rows of one side of a tile; two such sides and their products fit every task.
+BLOCK_ROWS = 2048
+PAIRS = "source string, target string, similarity double"
+
+
+def _split(rows: DataFrame, keys: list[str], name: str, block_rows: int) -> DataFrame:
+    """``block`` of every row and the number of blocks ``name`` of its group."""
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
+    return salted_join(rows, sizes, keys, spread=["doc_id"]).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), F.col(name)).cast("int"))
+
+
+def _tiles(owners: DataFrame, visitors: DataFrame | None, keys: list[str], threshold: float, block_rows: int) -> DataFrame:
+    """Pairs within each group of ``owners``, and between them and the group's ``visitors``.
+
+    Groups are cut into blocks, and every two blocks that meet are one tile, so a crowded group
+    is many tasks. Rows carry doc_id, embedding and the keys of their group.
+    """
+    def side(rows: DataFrame, outer: bool, second: bool, x: Column, y: Column) -> DataFrame:
+        return rows.select("doc_id", "embedding", *keys, F.lit(outer).alias("outer"), F.lit(second).alias("second"), x, y)
+
+    own = _split(owners, keys, "n_own", block_rows)
+    block, first = F.col("block"), F.lit(0)
+    sides = side(own, False, False, block.alias("x"), F.explode(F.sequence(block, F.col("n_own") - 1)).alias("y"))
+    sides = sides.unionByName(side(
+        own.filter(block > 0), False, True, F.explode(F.sequence(first, block - 1)).alias("x"), block.alias("y")))
+    if visitors is not None:
+        guests = _split(visitors, keys, "n_guests", block_rows)
+        met = guests.groupBy(*keys).agg(F.first("n_guests").alias("n_guests"))
+        hosts = own.groupBy(*keys).agg(F.first("n_own").alias("n_own"))
+        sides = sides.unionByName(side(
+            salted_join(own, met, keys, spread=["doc_id"]), True, False, block.alias("x"),
+            F.explode(F.sequence(first, F.col("n_guests") - 1)).alias("y")))
+        sides = sides.unionByName(side(
+            salted_join(guests, hosts, keys, spread=["doc_id"]), True, True,
+            F.explode(F.sequence(first, F.col("n_own") - 1)).alias("x"), block.alias("y")))
+
+    def tile(both: pd.DataFrame) -> pd.DataFrame:
+        rows, others = both[~both["second"]], both[both["second"]]
+        alone = not both["outer"].iat[0] and both["x"].iat[0] == both["y"].iat[0]
+        others = rows if alone else others
+        if rows.empty or others.empty:
+            return pd.DataFrame(columns=[c.split()[0] for c in PAIRS.split(", ")])
+        cosines = np.rint(unit_rows(rows["embedding"]) @ unit_rows(others["embedding"]).T * SCALE) / SCALE
+        if alone:
+            cosines[np.tri(len(rows), dtype=bool)] = -2.0
+        i, j = np.nonzero(cosines >= threshold)
+        return pd.DataFrame({"source": rows["doc_id"].to_numpy()[i], "target": others["doc_id"].to_numpy()[j],
+                             "similarity": cosines[i, j]})
+
+    return sides.groupBy(*keys, "outer", "x", "y").applyInPandas(tile, PAIRS)
+
+
+def _cell_pairs(units: DataFrame, n: int, threshold: float, pivots: int | None, block_rows: int) -> DataFrame:
+    """Pairs by cells around pivots; a vector visits only the cells that can hold a partner.
+
+    With u in the cell of pivot p, a partner in the cell of pivot q lies beyond the plane between
+    p and q, which must be within the distance of the threshold, and within the cell's radius.
+    Of two cells one visits the other, by the parity of their numbers.
+    """
+    wanted = pivots or math.ceil(math.sqrt(n) / 2)
+    chosen = units.orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).toPandas()
+    centre = unit_rows(chosen["embedding"])
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                cosines = np.clip(unit_rows(batch["embedding"]) @ pivots.T, -1.0, 1.0)
+                cosines = np.clip(unit_rows(batch["embedding"]) @ centre.T, -1.0, 1.0)
                 cell = cosines.argmax(axis=1)
                 angle = np.arccos(cosines[np.arange(len(batch)), cell])
                 yield batch.assign(cell=cell.astype(np.int32), angle=angle)
 
-    return units.mapInPandas(assign, "doc_id string, embedding array<double>, cell int, angle double")
+    placed = materialize(units.mapInPandas(assign, "doc_id string, embedding array<double>, cell int, angle double"))
+    # One row a pivot, as many as the pivots themselves.
+    measured = placed.groupBy("cell").agg(F.max("angle").alias("radius")).toPandas()
+    radius = np.full(len(centre), -np.inf)
+    radius[measured["cell"].to_numpy()] = measured["radius"].to_numpy()
+    reach = math.acos(min(1.0, threshold - 1.0 / SCALE)) + 1e-6
+    span = math.sqrt(2.0 - 2.0 * min(1.0, threshold - 1.0 / SCALE)) + 1e-6
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = np.arange(len(centre))
+        for batch in batches:
+            for start in range(0, len(batch), 256):
+                part = batch.iloc[start:start + 256]
+                cosines = np.clip(unit_rows(part["embedding"]) @ centre.T, -1.0, 1.0)
+                home = part["cell"].to_numpy()
+                gap = np.sqrt(np.maximum(2.0 - 2.0 * (centre[home] @ centre.T), 0.0))
+                lead = cosines[np.arange(len(part)), home][:, None] - cosines
+                turn = np.where((home[:, None] + numbers) % 2 == 1, home[:, None] < numbers, home[:, None] > numbers)
+                i, j = np.nonzero(turn & (lead <= span * gap + 1e-9) & (np.arccos(cosines) <= radius + reach))
+                if len(i):
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy()[i], "embedding": part["embedding"].to_numpy()[i],
+                                        "cell": j.astype(np.int32)})
+
+    owners = placed.drop("angle")
+    visitors = owners.mapInPandas(visit, "doc_id string, embedding array<double>, cell int")
+    return _tiles(owners, materialize(visitors), ["cell"], threshold, block_rows)
+
+
+def band_counts(n: int, threshold: float, recall: float) -> tuple[int, int]:
+    """(bits of a band, bands) that bring together a pair at the threshold with probability ``recall``.
+
+    Bits follow the logarithm of the number of vectors, so that buckets of unrelated vectors do not
+    grow; the number of bands follows from the threshold.
+    """
+    bits = max(4, min(48, math.ceil(math.log2(max(n, 2)))))
+    equal = (1.0 - math.acos(min(1.0, threshold)) / math.pi) ** bits
+    return bits, 1 if equal >= 1.0 else max(1, math.ceil(math.log(1.0 - recall) / math.log1p(-equal)))
+
+
+def _band_pairs(units: DataFrame, n: int, threshold: float, recall: float, block_rows: int, seed: int = 42) -> DataFrame:
+    """Pairs that agree in the signs of one band of random directions, verified by their cosine."""
+    bits, bands = band_counts(n, threshold, recall)
+
+    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.iloc[start:start + 1024]
+                unit = unit_rows(part["embedding"])
+                if planes is None:
+                    planes = np.random.default_rng(seed).standard_normal((bands * bits, unit.shape[1]))
+                above = (unit @ planes.T > 0).reshape(len(part), bands, bits)
+                code = above @ (np.int64(1) << np.arange(bits, dtype=np.int64))
+                yield pd.DataFrame({
+                    "doc_id": np.repeat(part["doc_id"].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype=np.int32), len(part)),
+                    "code": code.ravel()})
+
+    codes = materialize(units.mapInPandas(sign, "doc_id string, band int, code long"))
+    # Vectors follow only into buckets that hold two or more.
+    shared = codes.groupBy("band", "code").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    met = salted_join(codes, shared, ["band", "code"], spread=["doc_id"]).join(units, "doc_id")
+    return _tiles(materialize(met), None, ["band", "code"], threshold, block_rows).select(
+        F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "similarity").distinct()
 
 
 def semantic_pairs(
-    vectors: DataFrame, threshold: float, pivots: int = 64, block_rows: int = 4096,
-    copies: str = "pairs",
+    vectors: DataFrame, threshold: float, pivots: int | None = None, block_rows: int = BLOCK_ROWS,
+    copies: str = "pairs", recall: float | None = None,
 ) -> DataFrame:
-    """All document pairs whose cosine reaches ``threshold`` (> 0), exactly.
+    """All document pairs whose cosine reaches ``threshold`` (> 0).
 
-    Equal vectors are compared once. Vectors are grouped into cells around a bounded set
-    of pivots; by the triangle inequality on angles, two cells whose pivots are further
-    apart than their radii plus the threshold angle cannot hold a pair and are never
-    brought together. Large cells are cut into blocks, so a crowded cell is many tiles.
+    Equal vectors are compared once. Without ``recall`` the result is exact: vectors lie in cells
+    around pivots, half the square root of the vectors by default, and meet the cells that can hold
+    a partner. With ``recall`` (below 1) candidates are the pairs that agree in a band of signs;
+    a pair at the threshold is found with that probability, closer ones more often, and every
+    pair returned is verified.
 
     ``copies`` says how documents with equal vectors appear: "pairs" lists every pair,
     which is the whole result; "star" links each copy to its first document only and
@@ -282,6 +406,8 @@ def semantic_pairs(
         raise ValueError(f"unknown treatment of copies: {copies}")
     if threshold <= 0:
         raise ValueError("threshold must be positive")
+    if recall is not None and not 0 < recall < 1:
+        raise ValueError("recall must lie between 0 and 1")
     usable = vectors.filter(F.exists("embedding", lambda x: x != 0)).select("doc_id", "embedding")
     keyed = usable.withColumn("_hash", F.xxhash64("embedding"))
     distinct = keyed.groupBy("_hash", "embedding").agg(F.min("doc_id").alias("rep"))
@@ -289,77 +415,14 @@ def semantic_pairs(
         salted_join(keyed, distinct, ["_hash", "embedding"], spread=["doc_id"]).select("rep", "doc_id")
     )
     units = materialize(distinct.select(F.col("rep").alias("doc_id"), "embedding"))
-
-    # Few vectors need few cells: every cell pair is a tile.
-    wanted = min(pivots, max(1, units.count() // block_rows))
-    chosen = units.orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).toPandas()
-    if chosen.empty:
+    n = units.count()
+    if n == 0:
         return members.select(
             F.col("doc_id").alias("source"), F.col("doc_id").alias("target"),
             F.lit(1.0).alias("similarity"),
         ).filter("false")
-    centre = unit_rows(chosen["embedding"])
-    placed = materialize(_assign_cells(units, centre))
-    stats = placed.groupBy("cell").agg(
-        F.count("*").alias("n"), F.max("angle").alias("radius")
-    ).toPandas()  # one row per pivot
-
-    blocks = {int(c): -(-int(n) // block_rows) for c, n in zip(stats["cell"], stats["n"])}
-    radius = dict(zip(stats["cell"].astype(int), stats["radius"]))
-    reach = math.acos(min(1.0, threshold)) + 1e-6
-    apart = np.arccos(np.clip(centre @ centre.T, -1.0, 1.0))
-    meeting = [
-        (a, b, blocks[a], blocks[b])
-        for a in blocks for b in blocks
-        if a <= b and (a == b or apart[a, b] - radius[a] - radius[b] <= reach)
-    ]
-    spark = vectors.sparkSession
-    # At most pivots * (pivots + 1) / 2 rows.
-    cells = spark.createDataFrame(meeting, "a int, b int, a_blocks int, b_blocks int")
-    size = F.element_at(
-        F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("cell")
-    )
-    blocked = placed.withColumn("block", F.pmod(F.xxhash64("doc_id"), size).cast("int"))
-
-    own = F.col("block")
-    left = blocked.join(F.broadcast(cells), F.col("cell") == F.col("a")).select(
-        "doc_id", "embedding", "a", "b", own.alias("x"),
-        F.explode(
-            F.sequence(F.when(F.col("a") == F.col("b"), own).otherwise(F.lit(0)), F.col("b_blocks") - 1)
-        ).alias("y"),
-    )
-    # Within one cell block x meets the blocks from x on; the tile of a block with itself
-    # needs no right side.
-    last = F.when(F.col("a") == F.col("b"), own - 1).otherwise(F.col("a_blocks") - 1)
-    right = blocked.join(F.broadcast(cells), F.col("cell") == F.col("b")).select(
-        "doc_id", "embedding", "a", "b",
-        F.explode(
-            F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0))))
-        ).alias("x"),
-        own.alias("y"),
-    )
-    scale = 10**SCORE_DIGITS
-    columns = ["source", "target", "similarity"]
-
-    def tile(both: pd.DataFrame) -> pd.DataFrame:
-        rows, others = both[both["side"] == 0], both[both["side"] == 1]
-        if rows.empty:
-            return pd.DataFrame(columns=columns)
-        alone = bool(rows["a"].iat[0] == rows["b"].iat[0] and rows["x"].iat[0] == rows["y"].iat[0])
-        others = rows if alone else others
-        if others.empty:
-            return pd.DataFrame(columns=columns)
-        cosines = np.rint(unit_rows(rows["embedding"]) @ unit_rows(others["embedding"]).T * scale) / scale
-        if alone:
-            cosines = np.where(np.tri(len(rows), dtype=bool), -2.0, cosines)
-        i, j = np.nonzero(cosines >= threshold)
-        one, two = rows["doc_id"].to_numpy()[i], others["doc_id"].to_numpy()[j]
-        return pd.DataFrame({"source": one, "target": two, "similarity": cosines[i, j]})
-
-    sides = left.withColumn("side", F.lit(0)).unionByName(right.withColumn("side", F.lit(1)))
-    found = sides.groupBy("a", "x", "b", "y").applyInPandas(
-        tile, "source string, target string, similarity double"
-    )
+    found = (_cell_pairs(units, n, threshold, pivots, block_rows) if recall is None
+             else _band_pairs(units, n, threshold, recall, block_rows))
     if copies == "star":
         links = members.filter("rep <> doc_id").select(
             F.col("rep").alias("source"), F.col("doc_id").alias("target"), F.lit(1.0).alias("similarity")

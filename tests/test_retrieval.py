@@ -292,6 +292,24 @@ def test_semantic_pairs_with_copies_and_crowded_cells(spark):
     assert {p for p in star if not set(p) & crowd} == {p for p in want if not set(p) & crowd}
 
 
+def test_banded_pairs_are_true_and_few_are_missed(spark):
+    rng = np.random.default_rng(9)
+    heart = rng.normal(size=(40, 16))
+    base = np.repeat(heart, 6, axis=0) + rng.normal(scale=0.35, size=(240, 16))
+    base[200:230] = base[200]
+    table = vector_table(spark, base, "d")
+    exact = {(r.source, r.target): r.similarity for r in vectors.semantic_pairs(table, 0.8).collect()}
+    got = vectors.semantic_pairs(table, 0.8, recall=0.99, block_rows=16).collect()
+    assert len({(r.source, r.target) for r in got}) == len(got)
+    assert all(exact[r.source, r.target] == r.similarity for r in got)
+    assert len(got) >= 0.97 * len(exact) > 500
+    more, fewer = vectors.band_counts(1000, 0.6, 0.95), vectors.band_counts(1000, 0.9, 0.95)
+    assert more[0] == fewer[0] < vectors.band_counts(10**8, 0.9, 0.95)[0] and more[1] > fewer[1]
+    with pytest.raises(ValueError):
+        vectors.semantic_pairs(table, 0.8, recall=1.0)
+    assert vectors.semantic_pairs(table.limit(0), 0.8, recall=0.9).count() == 0
+
+
 def test_spread_row_number(spark):
     rows = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").cast("string").alias("d"))
     got = {(r.k, r.d): r.n for r in joins.spread_row_number(rows, ["k"], "d", "n").collect()}
@@ -434,6 +452,45 @@ def test_components_against_brute_force(spark):
     assert {r.node: r.community for r in got.collect()} == {n: root(n) for n in names}
 
 
+def _cliques(spark, count, size):
+    names = [f"c{c}-{i}" for c in range(count) for i in range(size)]
+    edges = [(f"c{c}-{i}", f"c{c}-{j}", 1.0) for c in range(count) for i, j in itertools.combinations(range(size), 2)]
+    edges += [(f"c{c}-0", f"c{(c + 1) % count}-1", 0.5) for c in range(count)]
+    return (spark.createDataFrame([(n,) for n in [*names, "alone"]], "id string"),
+            spark.createDataFrame(edges, "source string, target string, weight double"))
+
+
+def test_modularity_finds_cliques_and_follows_the_resolution(spark):
+    nodes, edges = _cliques(spark, 4, 5)
+    got = {r.node: r.community for r in graph.modularity_communities(nodes, edges).collect()}
+    assert got == {**{f"c{c}-{i}": f"c{c}-0" for c in range(4) for i in range(5)}, "alone": "alone"}
+    links = graph.modularity_links(nodes, edges)
+    frame = spark.createDataFrame(list(got.items()), "node string, community string")
+    total = 4 * 10 + 4 * 0.5
+    assert graph.modularity(frame, links) == pytest.approx(40 / total - 4 * (2 * total / 4) ** 2 / (2 * total) ** 2)
+    coarse = graph.modularity_communities(nodes, edges, resolution=0.05)
+    assert coarse.filter("node <> 'alone'").select("community").distinct().count() < 4
+    assert graph.modularity_communities(nodes, edges.limit(0)).filter("node <> community").count() == 0
+    assert graph.modularity(frame, links.limit(0)) == 0.0
+
+
+def test_modularity_is_at_least_that_of_label_propagation(spark):
+    rng = random.Random(3)
+    names = [f"n{i:02}" for i in range(60)]
+    pairs = {tuple(sorted(rng.sample(names, 2))) for _ in range(60)}
+    pairs |= {(a, b) for a, b in itertools.combinations(names, 2) if a[1] == b[1] and rng.random() < 0.5}
+    pairs |= {("n00", n) for n in names[1:]}  # a hub
+    nodes = spark.createDataFrame([(n,) for n in names], "id string")
+    edges = spark.createDataFrame([(a, b, rng.choice([0.3, 0.6, 0.9])) for a, b in sorted(pairs)],
+                                  "source string, target string, weight double")
+    links = joins.materialize(graph.modularity_links(nodes, edges))
+    moved, spread = graph.modularity_communities(nodes, edges), graph.label_propagation(nodes, edges)
+    assert moved.count() == 60
+    assert graph.modularity(moved, links) >= graph.modularity(spread, links)
+    again = graph.modularity_communities(nodes.repartition(3), edges.repartition(5))
+    assert sorted(moved.collect()) == sorted(again.collect())
+
+
 def test_hybrid_search_without_vectors_or_graph(spark):
     cat, chk = small_corpus(spark)
     corpus = Corpus(cat, chk, rt.keyword_index(rt.build_postings(cat, chk)))
