@@ -11,6 +11,8 @@ from lorespark.checks.scalar_checks import md_docs
 from lorespark.functions import metadata, text
 from lorespark.operators import catalog as cg
 from lorespark.operators import consistency, retrieval
+from lorespark.session import shared_folder
+from lorespark.sources.tables import append_versions, compact_versions, read_versions
 
 TIME = "yyyy-MM-dd HH:mm:ss"
 
@@ -220,6 +222,54 @@ def upsert_by_title(spark, sf):
     return _actions(spark, sf)
 
 
+@check("upsert_create_new", fx.select(_actions_sql("title_path", "created_new"), "incoming", "matches"))
+def upsert_create_new(spark, sf):
+    """Documents whose title is known in their directory become new ones beside them."""
+    return _actions(spark, sf, on_conflict="create_new")
+
+
+# Incoming documents bring the embedding of their origin; live ones hold their own.
+fx.define("all_matches", ["live", "incoming"], """
+    SELECT in_id, doc_id, similarity, reason, row_number() OVER (PARTITION BY in_id ORDER BY similarity DESC, doc_id) AS rank FROM (
+      SELECT in_id, doc_id, arg_min(similarity, priority) AS similarity, arg_min(reason, priority) AS reason FROM (
+        SELECT i.in_id, v.doc_id, 1.0::DOUBLE AS similarity, 'content_hash' AS reason, 0 AS priority
+          FROM incoming i JOIN live v ON v.content_hash = i.content_hash
+        UNION ALL SELECT i.in_id, v.doc_id, 1.0, 'title_path', 1
+          FROM incoming i JOIN live v ON v.path = i.path AND lower(trim(v.title)) = lower(trim(i.title))
+        UNION ALL SELECT in_id, doc_id, similarity, 'semantic', 2 FROM (
+          SELECT *, row_number() OVER (PARTITION BY in_id ORDER BY similarity DESC, doc_id) AS near FROM (
+            SELECT i.in_id, v.doc_id, round(list_cosine_similarity(a.embedding, b.embedding), 9) AS similarity
+            FROM incoming i JOIN live v ON v.path = i.path JOIN embedded a ON a.doc_id = i.origin_id JOIN embedded b ON b.doc_id = v.doc_id))
+          WHERE near <= 5)
+      GROUP BY in_id, doc_id) QUALIFY rank <= 5""".replace(
+    "embedded", "(SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)"))
+
+
+def _all_matches(spark, sf):
+    vectors = fx.vectors(spark, sf)
+    new, old = incoming(spark, sf), live(spark, sf)
+    own = vectors.select(F.col("doc_id").alias("origin_id"), "embedding")
+    near = cg.semantic_matches(new.join(own, "origin_id"), old, vectors)
+    return new, cg.find_similar(new, old, near)
+
+
+@check("find_similar_semantic", fx.select("""
+    SELECT in_id, doc_id, round(similarity, 6) AS similarity, reason, CAST(rank AS BIGINT) AS rank FROM all_matches""", "all_matches"))
+def find_similar_semantic(spark, sf):
+    return _all_matches(spark, sf)[1].withColumns(
+        {"similarity": F.round("similarity", 6), "rank": F.col("rank").cast("long")})
+
+
+@check("upsert_semantic", fx.select("""
+    SELECT i.in_id, coalesce(m.target_id, '') AS target_id, CASE WHEN m.target_id IS NULL THEN 'created' ELSE 'updated' END AS action
+    FROM incoming i LEFT JOIN (SELECT in_id, arg_min(doc_id, rank) AS target_id FROM all_matches
+      WHERE similarity >= 0.9 GROUP BY in_id) m ON m.in_id = i.in_id""", "incoming", "all_matches"))
+def upsert_semantic(spark, sf):
+    new, matches = _all_matches(spark, sf)
+    decided = cg.upsert_actions(new, matches, match_strategy="semantic")
+    return decided.select("in_id", F.coalesce("target_id", F.lit("")).alias("target_id"), "action")
+
+
 @check("stream_dedup_hash", fx.select(_actions_sql("content_hash", "skipped"), "incoming", "matches"))
 def upsert_skip_by_hash(spark, sf):
     """Batch twin of the stream that skips known content."""
@@ -414,10 +464,15 @@ def restore_version(spark, sf):
 @check("version_append", fx.select("""
     SELECT doc_id, title, path, 'before_delete' AS reason, 'admin' AS created_by, true AS named FROM catalog""", "catalog"))
 def version_append(spark, sf):
-    """Snapshots of all documents, as they would be appended before a delete."""
+    """Snapshots of all documents are appended in two parts, compacted and read back."""
     docs = fx.catalog(spark, sf).join(fx.sources(spark, sf).select("doc_id", "content"), "doc_id")
     taken = cg.snapshot(docs, "before_delete", "admin", F.lit("2025-01-01").cast("timestamp"))
-    return taken.select("doc_id", "title", "path", "reason", "created_by",
+    store = shared_folder(spark, "versions")
+    english = F.array_contains("tags", "en")
+    append_versions(taken.filter(english), store)
+    append_versions(taken.filter(~english), store)
+    compact_versions(spark, store)
+    return read_versions(spark, store).select("doc_id", "title", "path", "reason", "created_by",
                         F.col("version_id").startswith("v-20250101-").alias("named"))
 
 

@@ -87,7 +87,7 @@ def similar_pairs(spark, sf):
 @check("semantic_pairs_banded")
 def similar_pairs_banded(spark, sf):
     """Candidates by bands of signs: few pairs at the threshold are missed, none is wrong."""
-    return semantic_pairs(fx.vectors(spark, sf), 0.8, recall=0.99).withColumn("similarity", F.round("similarity", 6))
+    return semantic_pairs(fx.vectors(spark, sf), 0.5, recall=0.95).withColumn("similarity", F.round("similarity", 6))
 
 
 # ------------------------------------------------------------------------- graph build
@@ -311,8 +311,7 @@ def graph_communities_modularity(spark, sf):
 
 
 fx.define("cc_links", ["edges"], """
-    SELECT source AS u, target AS v FROM edges WHERE relation IN ('declares_core_entity', 'semantically_similar')
-    UNION SELECT target, source FROM edges WHERE relation IN ('declares_core_entity', 'semantically_similar')""")
+    SELECT source AS u, target AS v FROM edges UNION SELECT target, source FROM edges""")
 
 
 @check("graph_components", fx.select("""
@@ -320,10 +319,9 @@ fx.define("cc_links", ["edges"], """
       SELECT k.v, r.root FROM reach r JOIN cc_links k ON k.u = r.node WHERE r.root < k.v)
     SELECT node, min(root) AS community FROM reach GROUP BY node""", "nodes", "cc_links", recursive=True))
 def graph_components(spark, sf):
-    """Components of the entity and similarity links."""
+    """Components over all relations."""
     built = relation_graph(spark, sf)
-    links = built.edges.filter(F.col("relation").isin("declares_core_entity", "semantically_similar"))
-    return graph.connected_components(built.nodes, links)
+    return graph.connected_components(built.nodes, built.edges)
 
 
 @check("graph_stats", fx.select("""

@@ -62,11 +62,13 @@ _BEFORE = f"least(length(a), {_BUDGET} - {_AFTER})"
 @check("bound_context", f"""
     SELECT doc_id, CASE WHEN {_BEFORE} > 0 THEN right(a, {_BEFORE}) ELSE '' END AS context_before,
       CASE WHEN {_AFTER} > 0 THEN left(b, {_AFTER}) ELSE '' END AS context_after
-    FROM (SELECT doc_id, split_part(text, chr(10), 1) AS a, split_part(text, chr(10), 2) AS b FROM documents)""")
+    FROM (SELECT doc_id, left(text, length(text) // 2) AS a, substr(text, length(text) // 2 + 1) AS b FROM documents)""")
 def bound_context(spark, sf):
+    """The two halves of every text stand around a hit."""
+    half = F.expr("length(text) div 2")
     docs = fx.table(spark, sf, "documents").select(
-        "doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("a"),
-        F.split_part("text", F.lit("\n"), F.lit(2)).alias("b"))
+        "doc_id", F.substring("text", F.lit(1), half).alias("a"),
+        F.substring("text", half + 1, F.length("text")).alias("b"))
     before, after = text.bound_context(F.col("a"), F.col("b"), (F.col("doc_id") % 97).cast("int"))
     return docs.select("doc_id", before.alias("context_before"), after.alias("context_after"))
 

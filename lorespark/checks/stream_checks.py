@@ -56,6 +56,23 @@ def stream_search_hourly(spark, sf):
     return stamped(jobs.read_latest(spark, f"{folder}/counts", ["bucket"]), "bucket")
 
 
+@check("stream_search_late", fx.select("""
+    , marked AS (SELECT date_trunc('hour', ts) AS bucket, date_trunc('hour', ts) + INTERVAL 2 HOUR
+        <= (SELECT max(ts) FROM requests WHERE key % 3 = 0) AS late, key % 3 = 0 AS first_batch FROM requests)
+    SELECT strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, count(*) FILTER (first_batch OR NOT late) AS requests,
+      count(*) FILTER (late AND NOT first_batch) AS late_requests FROM marked GROUP BY bucket""", "requests"))
+def stream_search_late(spark, sf):
+    """A third of the users' requests arrive first; what the others asked before that is late."""
+    folder = _scratch(spark)
+    third = F.col("key") % 3 == 0
+    for name, own in (("first", third), ("rest", ~third)):
+        arriving = _requests(spark, sf).filter(own)
+        shift = 0 if name == "first" else 1
+        _finish(arriving.writeStream.option("checkpointLocation", f"{folder}/seen-{name}").foreachBatch(
+            lambda rows, batch, shift=shift: jobs.count_batch(rows, f"{folder}/all", batch + shift)))
+    return stamped(jobs.read_counts(spark, f"{folder}/all"), "bucket")
+
+
 @check("stream_key_usage", fx.select(
     f"SELECT key, count(*) AS use_count, {fx.stamp('max(ts)')} AS last_used_at FROM requests GROUP BY key", "requests"))
 def stream_key_usage(spark, sf):

@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import metadata, text
+from lorespark.functions.embedding import Provider, embed_chunks
 from lorespark.functions.paths import breadcrumbs, parent_dir, path_normalize, source_path, under
 from lorespark.operators.joins import first_per, rows_from, salted_join
+from lorespark.operators.vectors import vector_channel
 
 # Matches reported per document and the similarity a semantic match needs.
 MATCHES = 5
 SEMANTIC_MATCH = 0.9
+# Fixed value: characters of an incoming text that stand for it in a semantic match.
+HEAD_CHARS = 1000
 #: Rows up to which a page is the end of a top-n; pages further back are found by ranges.
 TOP_ROWS = 10_000
 
@@ -173,6 +177,28 @@ def find_similar(
     )
 
 
+def semantic_matches(
+    incoming: DataFrame, live: DataFrame, vectors: DataFrame, *providers: Provider,
+    top_k: int = MATCHES, head_chars: int = HEAD_CHARS,
+) -> DataFrame:
+    """in_id, doc_id, similarity for :func:`find_similar`: the live documents nearest in meaning.
+
+    ``incoming``: in_id, path, and ``embedding`` or else ``content``, whose first ``head_chars``
+    characters are embedded by the providers; blank texts match nothing. Only documents of the
+    incoming document's directory count, all of them where it names none. A document with several
+    chunks counts with its best one. ``vectors``: doc_id, chunk_index, embedding.
+    """
+    asked = incoming
+    if "embedding" not in incoming.columns:
+        heads = incoming.select("in_id", "path", F.substring("content", 1, head_chars).alias("content"))
+        asked = embed_chunks(heads.filter(text.strip(F.col("content")) != ""), *providers)
+    queries = asked.select(
+        F.col("in_id").alias("query_id"), "embedding", F.lit(top_k).alias("top_k"),
+        F.coalesce("path", F.lit("")).alias("filter_path"), text.empty_strings().alias("filter_tags"))
+    found = vector_channel(queries, vectors, live)
+    return found.groupBy(F.col("query_id").alias("in_id"), "doc_id").agg(F.max("raw_score").alias("similarity"))
+
+
 def upsert_actions(
     incoming: DataFrame, matches: DataFrame, match_strategy: str = "title_path",
     on_conflict: str = "update",

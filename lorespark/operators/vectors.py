@@ -309,7 +309,7 @@ def _cell_pairs(units: DataFrame, n: int, threshold: float, pivots: int | None,
     p and q, which must be within the distance of the threshold, and within the cell's radius.
     Of two cells one visits the other, by the parity of their numbers.
     """
-    wanted = pivots or math.ceil(math.sqrt(n) / 2)
+    wanted = pivots or math.ceil(min(math.sqrt(n) / 2, n / block_rows))
     chosen = units.orderBy(F.xxhash64("doc_id"), "doc_id").limit(wanted).toPandas()
     centre = unit_rows(chosen["embedding"])
 
@@ -345,6 +345,8 @@ def _cell_pairs(units: DataFrame, n: int, threshold: float, pivots: int | None,
                                         "cell": j.astype(np.int32)})
 
     owners = placed.drop("angle")
+    if len(centre) == 1:
+        return _tiles(owners, None, ["cell"], threshold, block_rows)
     visitors = owners.mapInPandas(visit, "doc_id string, embedding array<double>, cell int")
     return _tiles(owners, materialize(visitors), ["cell"], threshold, block_rows)
 
@@ -379,10 +381,28 @@ def _band_pairs(units: DataFrame, n: int, threshold: float, recall: float, block
                     "code": code.ravel()})
 
     codes = materialize(units.mapInPandas(sign, "doc_id string, band int, code long"))
-    # Vectors follow only into buckets that hold two or more.
-    shared = codes.groupBy("band", "code").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
-    met = salted_join(codes, shared, ["band", "code"], spread=["doc_id"]).join(units, "doc_id")
-    return _tiles(materialize(met), None, ["band", "code"], threshold, block_rows).select(
+    # Vectors follow only into buckets that hold two or more. Many small buckets share a task;
+    # those beyond a block are cut into tiles.
+    shared = codes.groupBy("band", "code").agg(F.count("*").alias("n")).filter("n > 1")
+    met = materialize(salted_join(codes, shared, ["band", "code"], spread=["doc_id"]).join(units, "doc_id"))
+
+    def buckets(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("code", kind="stable")
+        unit, code, names = unit_rows(rows["embedding"]), rows["code"].to_numpy(), rows["doc_id"].to_numpy()
+        edges = np.r_[0, np.flatnonzero(np.diff(code)) + 1, len(code)]
+        parts = []
+        for start, end in zip(edges[:-1], edges[1:], strict=True):
+            cosines = np.rint(unit[start:end] @ unit[start:end].T * SCALE) / SCALE
+            i, j = np.nonzero(np.triu(cosines >= threshold, 1))
+            parts.append((names[start + i], names[start + j], cosines[i, j]))
+        source, target, similarity = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pd.DataFrame({"source": source, "target": target, "similarity": similarity})
+
+    shares = max(1, math.ceil(n / block_rows))
+    small = met.filter(F.col("n") <= block_rows).withColumn("share", F.pmod(F.xxhash64("code"), F.lit(shares)))
+    found = small.groupBy("band", "share").applyInPandas(buckets, PAIRS).union(
+        _tiles(met.filter(F.col("n") > block_rows), None, ["band", "code"], threshold, block_rows))
+    return found.select(
         F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), "similarity").distinct()
 
 
@@ -393,8 +413,8 @@ def semantic_pairs(
     """All document pairs whose cosine reaches ``threshold`` (> 0).
 
     Equal vectors are compared once. Without ``recall`` the result is exact: vectors lie in cells
-    around pivots, half the square root of the vectors by default, and meet the cells that can hold
-    a partner. With ``recall`` (below 1) candidates are the pairs that agree in a band of signs;
+    around pivots (half the square root of the vectors, but no more than there are blocks) and meet
+    the cells that can hold a partner. With ``recall`` (below 1) candidates are the pairs that agree in a band of signs;
     a pair at the threshold is found with that probability, closer ones more often, and every
     pair returned is verified.
 

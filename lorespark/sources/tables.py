@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.sources import committed
+
 AUDIT_SCHEMA = (
     "id string, timestamp timestamp, actor_type string, actor string, action string, "
     "target_type string, target_id string, path string, success boolean, "
@@ -73,8 +75,20 @@ def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, version: int =
     edges.withColumns(stamp).write.mode("overwrite").partitionBy("relation").parquet(f"{folder}/edges")
 
 
-def append_versions(versions: DataFrame, folder: str) -> None:
-    versions.write.mode("append").parquet(folder)
+def append_versions(versions: DataFrame, folder: str) -> int:
+    """Add versions to the store; all of them are visible at once, or none."""
+    return committed.append(versions, folder)
+
+
+def read_versions(spark: SparkSession, folder: str, at: int | None = None) -> DataFrame:
+    """The versions of the store, as of its newest commit or commit ``at``."""
+    return committed.read(spark, folder, at)
+
+
+def compact_versions(spark: SparkSession, folder: str) -> int:
+    """Rewrite the parts of the store as one, ordered for lookups by document."""
+    return committed.rewrite(spark, folder, lambda rows: rows.repartitionByRange("doc_id", "version_id").sortWithinPartitions(
+        "doc_id", "version_id"))
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int) -> None:

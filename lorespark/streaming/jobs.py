@@ -116,6 +116,58 @@ def request_counts(stream: DataFrame, unit: str = "1 hour", delay: str = "1 hour
     )
 
 
+def count_batch(
+    rows: DataFrame, folder: str, batch: int, unit_seconds: int = 3600, delay_seconds: int = 3600
+) -> None:
+    """Count one micro-batch by time bucket; rows that come too late are set aside, not lost.
+
+    A row is late where its bucket ends at or before the newest time of all earlier batches less
+    the delay; a row without a time is late too. Counts carry whether they are late, and late rows
+    are kept whole. A batch that is run again overwrites its own folders.
+    """
+    spark = rows.sparkSession
+    counts = f"{folder}/counts"
+    newest = None
+    if batch > 0 and _exists(spark, counts):
+        newest = spark.read.schema(f"{_COUNTED}, batch int").parquet(counts).filter(
+            F.col("batch") < batch).agg(F.max("newest")).first()[0]
+    width = F.lit(unit_seconds)
+    bucket = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / width) * width)
+    late = F.col("ts").isNull()
+    if newest is not None:
+        closed = F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_seconds + unit_seconds))
+        late = late | (bucket <= closed)
+    marked = rows.withColumn("bucket", bucket).withColumn("late", late)
+    _write_batch(marked.groupBy("bucket", "late").agg(
+        F.count("*").alias("requests"), F.max("ts").alias("newest")), counts, batch)
+    if not spark.read.schema(_COUNTED).parquet(f"{counts}/batch={batch}").filter("late").isEmpty():
+        _write_batch(marked.filter("late").drop("late"), f"{folder}/late", batch)
+
+
+_COUNTED = "bucket timestamp, late boolean, requests long, newest timestamp"
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def counted_requests(
+    stream: DataFrame, folder: str, checkpoint: str, unit_seconds: int = 3600, delay_seconds: int = 3600
+) -> DataStreamWriter:
+    """Requests (with a time ``ts``) counted per bucket, late ones aside: see :func:`count_batch`."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda rows, batch: count_batch(rows, folder, batch, unit_seconds, delay_seconds))
+
+
+def read_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """bucket, requests, late_requests of all batches; the two sum to the rows that arrived."""
+    rows = spark.read.schema(f"{_COUNTED}, batch int").parquet(f"{folder}/counts")
+    return rows.groupBy("bucket").agg(
+        F.sum(F.when(F.col("late"), 0).otherwise(F.col("requests"))).alias("requests"),
+        F.sum(F.when(F.col("late"), F.col("requests")).otherwise(0)).alias("late_requests"))
+
+
 def usage_counts(stream: DataFrame) -> DataFrame:
     """Running use count and last use per key (update or complete mode)."""
     return stream.groupBy("key").agg(F.count("*").alias("use_count"), F.max("ts").alias("last_used_at"))

@@ -10,7 +10,7 @@ from lorespark.functions.embedding import embed_chunks, hashed_terms
 from lorespark.operators import catalog as cg
 from lorespark.operators import consistency, rates
 from lorespark.plans.ingest import ingest_documents, reindex
-from lorespark.sources import files, tables
+from lorespark.sources import committed, files, tables
 from lorespark.streaming import jobs
 
 
@@ -220,3 +220,71 @@ def test_audit_log_round_trip(spark, tmp_path):
     (day / "part-broken.json").write_text('\n\n{"broken": \n')
     rows = tables.read_audit(spark, folder).filter("action IS NOT NULL").collect()
     assert [(r.action, r.actor, r.success) for r in rows] == [("login", "system", True)]
+
+
+def test_commits_are_seen_whole_and_rewrites_lose_nothing(spark, tmp_path):
+    store = str(tmp_path / "versions")
+    with pytest.raises(FileNotFoundError):
+        committed.read(spark, store)
+    assert committed.rewrite(spark, store, lambda rows: rows) == 0
+    rows = [spark.range(10 * i, 10 * i + 10).withColumn("text", F.col("id").cast("string")) for i in range(4)]
+    assert [committed.append(r, store) for r in rows[:2]] == [1, 2]
+    rows[3].write.parquet(f"{store}/parts/part-unfinished")  # written, never published
+    early = committed.read(spark, store)
+
+    def while_another_appends(df):
+        committed.append(rows[2], store)
+        return df.coalesce(1)
+
+    assert committed.rewrite(spark, store, while_another_appends) == 4
+    ids = [r.id for r in committed.read(spark, store).orderBy("id").collect()]
+    assert ids == list(range(30))
+    assert early.count() == 20 and committed.read(spark, store, at=1).count() == 10
+    # A number that is taken is not published twice.
+    assert not committed._Store(spark, store).publish(4, {"parts": []})
+    assert len(committed.clean(spark, store, keep=1)) == 3
+    assert committed.read(spark, store).count() == 30
+    committed.replace(rows[0], store)
+    assert committed.read(spark, store).count() == 10
+
+
+def test_versions_are_read_back(spark, tmp_path):
+    docs = spark.createDataFrame([("d1", "T", "text", "p", ["a"])], "doc_id string, title string, content string, path string, tags array<string>")
+    for reason in ("manual", "before_delete"):
+        tables.append_versions(cg.snapshot(docs, reason, "admin", F.current_timestamp()), str(tmp_path))
+    tables.compact_versions(spark, str(tmp_path))
+    got = tables.read_versions(spark, str(tmp_path))
+    assert sorted(r.reason for r in got.collect()) == ["before_delete", "manual"]
+    assert got.select("version_id").distinct().count() == 2
+
+
+def test_late_requests_are_counted_and_kept(spark, tmp_path):
+    def batch(number, *times):
+        rows = spark.createDataFrame([("k", t) for t in times], "key string, t string").select("key", F.col("t").cast("timestamp").alias("ts"))
+        jobs.count_batch(rows, str(tmp_path), number)
+
+    batch(0, "2024-01-01 10:05:00", "2024-01-01 12:30:00")
+    for _ in range(2):  # a batch that is run again counts once
+        # At 12:30 less an hour, the hour from 10 is closed and that from 11 is open.
+        batch(1, "2024-01-01 10:59:59", "2024-01-01 11:00:00", None)
+    got = {(str(r.bucket)[11:13] if r.bucket else None): (r.requests, r.late_requests) for r in jobs.read_counts(spark, str(tmp_path)).collect()}
+    assert got == {"10": (1, 1), "12": (1, 0), "11": (1, 0), None: (0, 1)}
+    assert spark.read.parquet(str(tmp_path / "late")).count() == 2
+
+
+def test_semantic_matches_by_head_and_directory(spark):
+    live = spark.createDataFrame([("a", "A", "p", ["x"], "h1"), ("b", "B", "q", [], "h2"), ("c", "C", "p", [], "h3")],
+                                 "doc_id string, title string, path string, tags array<string>, content_hash string")
+    texts = spark.createDataFrame([("a", 0, "red fox"), ("a", 1, "red fox jumps"), ("b", 0, "red fox jumps"), ("c", 0, "blue whale")],
+                                  "doc_id string, chunk_index int, content string")
+    stored = embed_chunks(texts)
+    new = spark.createDataFrame([("n1", "N", "p", "red fox jumps", "x1"), ("n2", "N", "", "red fox jumps", "x2"), ("n3", "N", "p", "  ", "x3")],
+                                "in_id string, title string, path string, content string, content_hash string")
+    near = cg.semantic_matches(new, live, stored)
+    best = {r.in_id: (r.doc_id, r.reason) for r in cg.find_similar(new, live, near).filter("rank = 1").collect()}
+    assert best == {"n1": ("a", "semantic"), "n2": ("a", "semantic")}
+    decided = cg.upsert_actions(new, cg.find_similar(new, live, near), match_strategy="semantic")
+    assert {r.in_id: (r.target_id, r.action) for r in decided.collect()} == {
+        "n1": ("a", "updated"), "n2": ("a", "updated"), "n3": (None, "created")}
+    short = {r.in_id: r.similarity for r in cg.semantic_matches(new, live, stored, head_chars=7, top_k=1).collect()}
+    assert short["n1"] == 1.0  # the head alone is the first chunk of a
