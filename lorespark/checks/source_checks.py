@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorespark.checks import fixtures as fx
 from lorespark.checks.catalog_checks import stamped
+from lorespark.checks.graph_checks import relation_graph
 from lorespark.checks.registry import check
 from lorespark.checks.scalar_checks import AS_OF, EFFECTIVE_SQL, audit, grants, md_docs
 from lorespark.functions import embedding
@@ -302,6 +303,20 @@ def reindex_summary(spark, sf):
     return stats.reindex_summary(ingest.ingest_log(ingest.prepare(uploads(spark, sf))))
 
 
+@check("ingest_failures", fx.select("""
+    SELECT doc_id, reason AS error FROM uploads WHERE reason IS NOT NULL""", "uploads"))
+def ingest_failures(spark, sf):
+    return stats.ingest_failures(ingest.ingest_log(ingest.prepare(uploads(spark, sf)))).select("doc_id", "error")
+
+
+@check("node_summary", fx.select("""
+    SELECT node, CASE WHEN reason IS NULL OR node <> 'parse_markdown' THEN 'succeeded' ELSE 'failed' END AS status, count(*) AS documents
+    FROM uploads, (VALUES ('parse_markdown'), ('normalize_content'), ('chunk'), ('embedding'), ('persist_source'),
+      ('persist_vector'), ('commit_index')) n(node) WHERE reason IS NULL OR node = 'parse_markdown' GROUP BY ALL""", "uploads"))
+def node_summary(spark, sf):
+    return stats.node_summary(ingest.ingest_log(ingest.prepare(uploads(spark, sf))))
+
+
 @check("reindex", fx.select("""
     SELECT k.doc_id, CAST(k.chunk_index AS BIGINT) AS chunk_index, k.content, d.lang || ',' || d.source AS tags
     FROM md_chunks k JOIN md_docs d ON d.doc_id = k.doc_id WHERE d.path LIKE 'en/%'""", "md_chunks", "md_docs"))
@@ -385,12 +400,15 @@ def key_usage(spark, sf):
 @check("corpus_dashboard", fx.select(f"""
     SELECT (SELECT count(*) FROM catalog) AS documents, count(*) FILTER (status = 'active') AS active_keys,
       count(*) FILTER (status = 'active' AND expires_at BETWEEN as_of AND as_of + INTERVAL 1 DAY) AS expiring_keys, count(*) AS total_keys,
-      (SELECT count(*) FROM requests WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-15') AS requests_today
-    FROM (SELECT *, {EFFECTIVE_SQL} AS status FROM grants)""", "catalog", "requests", "grants"))
+      (SELECT count(*) FROM requests WHERE date_trunc('day', ts) = TIMESTAMP '2024-01-15') AS requests_today,
+      (SELECT count(*) FROM requests) AS requests_total, (SELECT count(*) FROM nodes) AS graph_nodes,
+      (SELECT count(*) FROM edges) AS graph_edges
+    FROM (SELECT *, {EFFECTIVE_SQL} AS status FROM grants)""", "catalog", "requests", "grants", "nodes", "edges"))
 def corpus_dashboard(spark, sf):
     as_of = F.lit(AS_OF).cast("timestamp")
     shown = grants(spark, sf).withColumnRenamed("stored", "status").withColumn("status", filters.effective_status(as_of))
-    return stats.dashboard(fx.catalog(spark, sf), shown, requests(spark, sf), as_of)
+    built = relation_graph(spark, sf)
+    return stats.dashboard(fx.catalog(spark, sf), shown, requests(spark, sf), as_of, built.nodes, built.edges)
 
 
 def _rate_sql(key: str, source: str, seconds: int, limit: int) -> str:

@@ -43,12 +43,17 @@ def key_usage(requests: DataFrame) -> DataFrame:
 
 
 def dashboard(
-    catalog: DataFrame, grants: DataFrame, requests: DataFrame, as_of: Column
+    catalog: DataFrame, grants: DataFrame, requests: DataFrame, as_of: Column,
+    nodes: DataFrame | None = None, edges: DataFrame | None = None,
 ) -> DataFrame:
-    """One row: documents, active, expiring and total grants, requests of the day.
+    """One row: documents, active, expiring and total grants, requests of the day and in all.
 
-    ``grants``: status (effective), expires_at.
+    ``grants``: status (effective), expires_at. With the relation graph's ``nodes`` and ``edges``
+    their numbers follow; without, they are null.
     """
+    def size(rows: DataFrame | None) -> Column:
+        return F.lit(None).cast("long") if rows is None else rows.agg(F.count("*").alias("n")).scalar()
+
     docs = catalog.agg(F.count("*").alias("n")).scalar()
     today = requests.filter(F.date_trunc("day", "ts") == F.date_trunc("day", as_of)).agg(
         F.count("*").alias("n")
@@ -59,7 +64,8 @@ def dashboard(
         F.count_if(active).alias("active_keys"), F.count_if(soon).alias("expiring_keys"),
         F.count("*").alias("total_keys"),
     ).select(docs.alias("documents"), "active_keys", "expiring_keys", "total_keys",
-             today.alias("requests_today"))
+             today.alias("requests_today"), size(requests).alias("requests_total"),
+             size(nodes).alias("graph_nodes"), size(edges).alias("graph_edges"))
 
 
 def reindex_summary(log: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lorespark.functions.embedding import embed_chunks, hashed_terms
 from lorespark.operators import graph, joins, vectors
 from lorespark.operators import retrieval as rt
 from lorespark.plans.graph_build import build_graph
@@ -498,3 +499,30 @@ def test_hybrid_search_without_vectors_or_graph(spark):
     assert rows[0].doc_id == "doc-1" and rows[0].context_after == "rollback steps"
     assert rows[0].citation == "guides:Alpha Manual#chunk-0"
     assert {r.channel for r in rows} <= {"keyword", "structure", "keyword+neighbor", "structure+neighbor"}
+
+
+def test_hybrid_search_embeds_queries_and_takes_parts_from_the_caller(spark):
+    cat, chk = small_corpus(spark)
+    corpus = Corpus(cat, chk, rt.keyword_index(rt.build_postings(cat, chk)), embed_chunks(chk.select("doc_id", "chunk_index", "content")))
+    asked = queries(spark, ("rollback steps", [], ""), ("  ", [], ""))
+
+    def failing(texts):
+        raise ConnectionError("down")
+
+    seen = []
+
+    def last_document(hits, asked, corpus):
+        seen.append(sorted({r.query_id for r in hits.collect()}))
+        return hits.filter("rank = 1").select(
+            "query_id", F.lit("doc-3").alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit("graph").alias("channel"),
+            F.lit(0.2).alias("raw_score"), F.col("doc_id").alias("seed_id"), F.lit(1).alias("hop"), F.lit(0.5).alias("path_weight"),
+            F.array(F.lit("cites")).alias("relations"), F.lit("cited").alias("association_reason"))
+
+    found = hybrid_search(asked, corpus, providers=[failing, hashed_terms], expander=last_document,
+                          postprocessor=lambda scored: rt.fuse(scored.filter("doc_id <> 'doc-2'"))).collect()
+    best = {r.doc_id: r for r in found if r.query_id == 0}
+    assert best["doc-1"].channel == "vector" and "doc-2" not in best
+    assert best["doc-3"].channel == "graph" and best["doc-3"].association_reason == "cited"
+    assert seen == [[0]] and {r.query_id for r in found} == {0}
+    plain = hybrid_search(asked, corpus).collect()
+    assert "vector" not in {r.channel for r in plain}
