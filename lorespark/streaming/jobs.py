@@ -23,8 +23,12 @@ STORED = ("catalog", "chunks", "postings", "sources")
 
 
 def read_stream(spark: SparkSession, folder: str, schema: StructType | str, file: str = "*") -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    """Parquet files of a folder as a stream; ``file`` may also name folders of part files in it."""
+    if file == "*":
+        return spark.readStream.schema(schema).parquet(folder)
+    # As a pattern, since a stream takes a plain path to be a folder.
+    pattern = file if set(file) & set("*?[{") else f"{file[:-1]}[{file[-1]}]"
+    return spark.readStream.schema(schema).parquet(f"{folder}/{pattern}")
 
 
 def _write_batch(df: DataFrame, folder: str, batch: int) -> None:

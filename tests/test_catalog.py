@@ -288,3 +288,16 @@ def test_semantic_matches_by_head_and_directory(spark):
         "n1": ("a", "updated"), "n2": ("a", "updated"), "n3": (None, "created")}
     short = {r.in_id: r.similarity for r in cg.semantic_matches(new, live, stored, head_chars=7, top_k=1).collect()}
     assert short["n1"] == 1.0  # the head alone is the first chunk of a
+
+
+def test_stream_reads_tables_of_part_files_and_single_files(spark, tmp_path):
+    rows = spark.range(20).select(F.col("id").alias("n"))
+    rows.repartition(3).write.parquet(str(tmp_path / "given" / "docs.parquet"))
+    part = next((tmp_path / "given" / "docs.parquet").glob("part-*"))
+    (tmp_path / "given" / "one.parquet").write_bytes(part.read_bytes())
+    for name, wanted in (("docs", 20), ("one", spark.read.parquet(str(part)).count())):
+        seen, out = str(tmp_path / f"seen-{name}"), str(tmp_path / f"out-{name}")
+        stream = jobs.read_stream(spark, str(tmp_path / "given"), "n long", f"{name}.parquet")
+        stream.writeStream.format("parquet").option("checkpointLocation", seen).option("path", out).trigger(
+            availableNow=True).start().awaitTermination()
+        assert spark.read.schema("n long").parquet(out).count() == wanted
