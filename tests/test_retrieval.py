@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -526,3 +527,28 @@ def test_hybrid_search_embeds_queries_and_takes_parts_from_the_caller(spark):
     assert seen == [[0]] and {r.query_id for r in found} == {0}
     plain = hybrid_search(asked, corpus).collect()
     assert "vector" not in {r.channel for r in plain}
+
+
+def test_keyword_blocks_keep_chunks_whole_and_rows_few(spark, monkeypatch):
+    """Chunks cut across many small blocks, ties by document; no row is made for each (query, chunk) pair."""
+    from lorespark.operators import keyword_blocks as kb
+
+    rows = [(f"d{i:03d}", "T", "p", ["x"] if i % 2 else ["y"], []) for i in range(60)]
+    cat = catalog(spark, *rows)
+    chk = spark.createDataFrame([(r[0], c, 3, f"alpha beta{i % 7} gamma alpha") for i, r in enumerate(rows) for c in range(3)], CHUNKS)
+    index = rt.keyword_index(rt.build_postings(cat, chk))
+    asked = queries(spark, ("alpha", [], ""), ("eta3 gamma", ["x"], ""), ("beta1", [], "nowhere"))
+    assert [f.name for f in index.vocabulary.schema] == ["hay"]
+    got = rt.keyword_scan_channel(asked, index, cat).collect()
+    first = [r.doc_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: (r.doc_id, r.chunk_index))]
+    assert first == ["d000"] * 3 + ["d001"] * 2 and {r.raw_score for r in got if r.query_id == 0} == {2.0}
+    assert [(r.doc_id, r.raw_score) for r in sorted(got, key=lambda r: (r.doc_id, r.chunk_index)) if r.query_id == 1] == [
+        ("d003", 2.0)] * 3 + [("d017", 2.0)] * 2
+    assert not [r for r in got if r.query_id == 2]
+    assert rt.keyword_recall(asked, index, cat).count() == 60 * 3 + 30 * 3
+    # Three chunks, two of one hash and mixed, over batches of two rows and blocks of about one.
+    keys = [(1, "a", 0), (1, "b", 0), (1, "a", 0), (1, "b", 0), (2, "a", 1)]
+    table = pa.table({"hash": [k[0] for k in keys], "doc_id": [k[1] for k in keys], "chunk_index": [k[2] for k in keys]})
+    monkeypatch.setattr(kb, "HELD_BYTES", 20)
+    cut = [(part.num_rows, starts.tolist()) for part, starts in kb._whole_chunks(iter(table.to_batches(max_chunksize=2)))]
+    assert cut == [(4, [0, 2]), (1, [0])]
