@@ -312,6 +312,13 @@ def test_banded_pairs_are_true_and_few_are_missed(spark):
     assert vectors.semantic_pairs(table.limit(0), 0.8, recall=0.9).count() == 0
 
 
+def test_bands_copy_vectors_few_times():
+    # Each band copies every vector; 2,950 bands of 17 bits did so before.
+    bits, bands = vectors.band_counts(100_000, 0.5, 0.95)
+    assert bands <= 60 and 100_000 / 2**bits <= 1024
+    assert 1 - (1 - (2 / 3) ** bits) ** bands >= 0.95
+
+
 def test_spread_row_number(spark):
     rows = spark.range(300).select((F.col("id") % 2).alias("k"), F.col("id").cast("string").alias("d"))
     got = {(r.k, r.d): r.n for r in joins.spread_row_number(rows, ["k"], "d", "n").collect()}
