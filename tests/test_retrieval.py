@@ -312,6 +312,24 @@ def test_banded_pairs_are_true_and_few_are_missed(spark):
     assert vectors.semantic_pairs(table.limit(0), 0.8, recall=0.9).count() == 0
 
 
+def test_equal_structure_queries_are_answered_once(spark, monkeypatch):
+    cat = catalog(spark, *[(f"d{i}", f"Title {i}", "crowded/dir", ["x"], []) for i in range(40)])
+    chk = spark.createDataFrame([(f"d{i}", c, 2, "t") for i in range(40) for c in (0, 1)], CHUNKS)
+    made = []
+
+    def counted(asked, catalog, _matches=rt.structure_matches):
+        made.append(_matches(asked, catalog).count())
+        return _matches(asked, catalog)
+
+    monkeypatch.setattr(rt, "structure_matches", counted)
+    asked = queries(spark, *[("crowded/dir", [], "")] * 30, ("title 7", [], ""), ("crowded/dir", ["y"], ""))
+    got = rt.structure_channel(asked, cat, chk).collect()
+    assert made == [41]
+    for q in range(30):
+        assert sorted(r.doc_id for r in got if r.query_id == q) == ["d0", "d1", "d10", "d11", "d12"]
+    assert [(r.query_id, r.doc_id, r.chunk_index, r.raw_score) for r in got if r.query_id >= 30] == [(30, "d7", 0, 8.0)]
+
+
 def test_bands_copy_vectors_few_times():
     # Each band copies every vector; 2,950 bands of 17 bits did so before.
     bits, bands = vectors.band_counts(100_000, 0.5, 0.95)
