@@ -241,3 +241,22 @@ def test_uploads_are_decoded_and_converted(spark):
     assert got["e.md"] == got["g.md"] == (None, "undecodable or empty")
     assert got["f.md"] == (None, "empty document")
     assert got["h.MD"] == ("ok", None)
+
+
+def test_packing_holds_few_documents_as_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    paragraph = " ".join(["word"] * 400)
+    doc = [["# Title", *[paragraph] * 10]]
+    batch = pa.array([doc if i % 3 else None for i in range(600)], pa.list_(pa.list_(pa.string())))
+    tracemalloc.start()
+    packed = chunking.pack_documents(batch, 512, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert packed.null_count == 200 and len(packed) == 600
+    assert packed[1].as_py() == chunking.pack_section(doc[0], 512, 50) == packed[599].as_py()
+    assert len(chunking.pack_documents(batch[:0], 512, 50)) == 0
+    # The batch holds 8 MB of text.
+    assert peak < 2_000_000
