@@ -577,3 +577,35 @@ def test_keyword_blocks_keep_chunks_whole_and_rows_few(spark, monkeypatch):
     monkeypatch.setattr(kb, "HELD_BYTES", 20)
     cut = [(part.num_rows, starts.tolist()) for part, starts in kb._whole_chunks(iter(table.to_batches(max_chunksize=2)))]
     assert cut == [(4, [0, 2]), (1, [0])]
+
+
+def test_rare_terms_are_listed_and_frequent_ones_multiplied(spark, monkeypatch):
+    """Both ways give the same points; a term that one query asks for takes no column of the matrix."""
+    from lorespark.operators import keyword_blocks as kb
+
+    rng = np.random.default_rng(3)
+    lists = [sorted(rng.choice(40, 6).tolist()) + [99] for _ in range(30)]
+    block = pa.table({
+        "query_id": list(range(30)), "top_k": [5] * 30, "terms": lists, "free": [True] * 30,
+        "filters": pa.array([[]] * 30, pa.list_(pa.int64()))})
+    terms = sorted({t for own in lists for t in own})
+    cell = np.unique(rng.integers(0, 20 * len(terms), 200))
+    worth = rng.integers(1, 20, len(cell)) / 2.0
+    dense, asks = np.zeros((20, len(terms))), np.array([[own.count(t) for own in lists] for t in terms])
+    dense[cell // len(terms), cell % len(terms)] = worth
+    for listed, columns in ((8, int((np.count_nonzero(asks, axis=1) > 8).sum())), (0, len(terms)), (30, 0)):
+        monkeypatch.setattr(kb, "LISTED", listed)
+        asked = kb._Asked(block)
+        assert asked.weight.shape == (columns, 30)
+        got = asked.add_up(cell // len(terms), cell % len(terms), worth, 20)
+        assert got.tolist() == (dense @ asks).tolist()
+
+
+def test_postings_shuffle_texts_and_not_tokens(spark):
+    """Repeated words of a chunk are counted where its text lies."""
+    cat, chk = small_corpus(spark)
+    built = rt.build_postings(cat, chk.union(spark.createDataFrame([("doc-2", 1, 2, "beta beta api")], CHUNKS)))
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan
+    rows = {r.term: (r.tf, r.fields) for r in built.filter("doc_id = 'doc-2' AND chunk_index = 1").collect()}
+    assert rows == {"beta": (2, 1), "api": (1, 0), "reference": (0, 1), "refs": (0, 2), "doc-2": (0, 0)}
