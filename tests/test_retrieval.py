@@ -609,3 +609,24 @@ def test_postings_shuffle_texts_and_not_tokens(spark):
     assert "hashpartitioning(doc_id" in plan and "hashpartitioning(term" not in plan
     rows = {r.term: (r.tf, r.fields) for r in built.filter("doc_id = 'doc-2' AND chunk_index = 1").collect()}
     assert rows == {"beta": (2, 1), "api": (1, 0), "reference": (0, 1), "refs": (0, 2), "doc-2": (0, 0)}
+
+
+def test_similar_pairs_copy_no_vector_to_other_cells(spark, monkeypatch):
+    """Vectors that visit many cells are read there, not written once a cell."""
+    rng = np.random.default_rng(5)
+    points = rng.standard_normal((300, 4))
+    table = spark.createDataFrame([(f"d{i}", p.tolist()) for i, p in enumerate(points)], "doc_id string, embedding array<double>")
+    written = []
+
+    def counting(df):
+        done = joins.materialize(df)
+        written.append(done.count())
+        return done
+
+    monkeypatch.setattr(vectors, "materialize", counting)
+    got = vectors.semantic_pairs(table, 0.3, pivots=20, block_rows=16).collect()
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    near = np.rint(unit @ unit.T * vectors.SCALE) / vectors.SCALE >= 0.3
+    expected = {tuple(sorted((f"d{i}", f"d{j}"))) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True)}
+    assert {(r.source, r.target) for r in got} == expected and len(got) == len(expected)
+    assert max(written) == 300
