@@ -14,14 +14,34 @@ SPAN = 4096
 DEEP = 4
 
 
+def _marked_cells(requests: DataFrame, width: int) -> DataFrame:
+    """k, cell, head, before, n, closed: the cells of each key, as wide as a window.
+
+    A request that comes a width or more after the one before it opens a window whatever came
+    earlier. Only the first of a cell can be such a ``head``, as the others follow one in the same
+    cell. ``before`` is the head of the cell before, whose window may end in this one; ``closed``
+    tells that all requests of the cell are in the window of one of these two.
+    """
+    cells = requests.groupBy("k", "cell").agg(
+        F.min("us").alias("first"), F.max("us").alias("last"), F.count("*").alias("n"))
+    # Cells are looked through in spans; the last two of a span are looked at by the next one, too.
+    span, place = F.expr(f"(cell - pmod(cell, {SPAN}L)) div {SPAN}L"), F.expr(f"pmod(cell, {SPAN}L)")
+    spans = F.when(place >= SPAN - 2, F.array(span, span + 1)).otherwise(F.array(span))
+    seen = cells.select("*", span.alias("own"), F.explode(spans).alias("span"))
+    line = Window.partitionBy("k", "span").orderBy("cell")
+    follows = (F.lag("cell").over(line) == F.col("cell") - 1) & (F.col("first") - F.lag("last").over(line) < width)
+    heads = seen.withColumn("head", F.when(~F.coalesce(follows, F.lit(False)), F.col("first")))
+    before = F.when(F.lag("cell").over(line) == F.col("cell") - 1, F.lag("head").over(line))
+    marked = heads.withColumn("before", before).filter("span = own")
+    closed = F.col("head").isNotNull() | F.coalesce(F.col("last") - F.col("before") < width, F.lit(False))
+    return materialize(marked.select("k", "cell", "head", "before", "n", closed.alias("closed")))
+
+
 def _times(requests: DataFrame) -> DataFrame:
-    """k, x, n, start: different times of each key, counted from its first one, in microseconds."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    # Inside a struct a null key equals itself.
-    times = materialize(requests.groupBy(F.struct("key").alias("k"), us.alias("us")).agg(F.count("*").alias("n")))
-    starts = times.groupBy("k").agg(F.min("us").alias("start"))
+    """k, x, n, start: different times (us, n) of each key, counted from its first one, in microseconds."""
+    starts = requests.groupBy("k").agg(F.min("us").alias("start"))
     return materialize(
-        salted_join(times, starts, ["k"], spread=["us"]).select("k", (F.col("us") - F.col("start")).alias("x"), "n", "start")
+        salted_join(requests, starts, ["k"], spread=["us"]).select("k", (F.col("us") - F.col("start")).alias("x"), "n", "start")
     )
 
 
@@ -101,6 +121,22 @@ def _openers(times: DataFrame, width: int) -> DataFrame:
     return entered
 
 
+def _chained(times: DataFrame, width: int) -> DataFrame:
+    """k, opened, requests: windows of times (k, x, n, start), the first of each key opening one.
+
+    The first time at least a window after another is its successor; the openers are the times on
+    the way of successors from a key's first one, found in log2(time span / window) rounds.
+    """
+    cell = F.expr(f"x div {width}L")
+    # A window covers its cell to the end, so a cell has one opener at most.
+    openers = materialize(_openers(times, width).select("k", cell.alias("cell"), F.col("x").alias("opener")))
+    placed = times.withColumn("cell", cell).join(openers, ["k", "cell"], "left")
+    before = F.col("opener").isNull() | (F.col("x") < F.col("opener"))
+    counts = placed.groupBy("k", (F.col("cell") - before.cast("long")).alias("cell"), "start").agg(
+        F.sum("n").alias("requests"))
+    return counts.join(openers, ["k", "cell"]).select("k", (F.col("start") + F.col("opener")).alias("opened"), "requests")
+
+
 def anchored_rate_windows(
     requests: DataFrame, width_seconds: int = WINDOW_SECONDS, limit: int = RATE_LIMIT
 ) -> DataFrame:
@@ -110,19 +146,29 @@ def anchored_rate_windows(
     opened_at, requests, rejected. Equal times are merged first; a null key is a key of its own;
     requests without a time are left out.
 
-    The first request at least a window after another is its successor; the openers are the
-    requests on the way of successors from a key's first one, found in log2(time span / window)
-    rounds. Tasks work on one cell of a key as wide as a window, never on a whole key.
+    A request after a pause of a window or more opens one, so most windows of a key that asks
+    now and then are known from its cells. Requests that come after such a window without a pause
+    are chained; no other is moved for that. What is left of a key by taking away the windows
+    after its pauses has the remaining openers: the way of successors that ends before a pause goes
+    on at the next request that is left, which opens a window itself. Tasks work on one cell of a key
+    as wide as a window, or on the summed cells of a span, never on a whole key.
     """
     width = width_seconds * 1_000_000
-    times = _times(requests.filter("ts IS NOT NULL"))
-    cell = F.expr(f"x div {width}L")
-    # A window covers its cell to the end, so a cell has one opener at most.
-    openers = materialize(_openers(times, width).select("k", cell.alias("cell"), F.col("x").alias("opener")))
-    placed = times.withColumn("cell", cell).join(openers, ["k", "cell"], "left")
-    before = F.col("opener").isNull() | (F.col("x") < F.col("opener"))
-    counts = placed.groupBy("k", (F.col("cell") - before.cast("long")).alias("cell"), "start").agg(
-        F.sum("n").alias("requests"))
-    return counts.join(openers, ["k", "cell"]).select(
-        F.col("k.key").alias("key"), F.timestamp_micros(F.col("start") + F.col("opener")).alias("opened_at"), "requests",
+    # Inside a struct a null key equals itself.
+    asked = requests.filter("ts IS NOT NULL").select(
+        F.struct("key").alias("k"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    ).withColumn("cell", F.expr(f"(us - pmod(us, {width}L)) div {width}L"))
+    cells = _marked_cells(asked, width)
+    opened = F.coalesce("head", "before").alias("opened")
+    whole = cells.filter("closed").select("k", opened, "n")
+    # Times of the other cells: up to the end of the window before, and those that are left.
+    times = materialize(
+        asked.join(cells.filter("NOT closed").select("k", "cell", "before"), ["k", "cell"])
+        .groupBy("k", "us", "before").agg(F.count("*").alias("n")))
+    inside = F.coalesce(F.col("us") - F.col("before") < width, F.lit(False))
+    tails = times.filter(inside).select("k", F.col("before").alias("opened"), "n")
+    counts = whole.unionByName(tails).groupBy("k", "opened").agg(F.sum("n").alias("requests"))
+    chained = _chained(_times(times.filter(~inside).select("k", "us", "n")), width)
+    return counts.unionByName(chained).select(
+        F.col("k.key").alias("key"), F.timestamp_micros("opened").alias("opened_at"), "requests",
         F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"))

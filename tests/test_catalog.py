@@ -148,6 +148,24 @@ def test_rate_windows_against_brute_force(spark, monkeypatch, width, span):
     assert got == want and rows == len(want)
 
 
+def test_rate_windows_chain_only_requests_without_a_pause_before(spark, monkeypatch):
+    asked, successors = [], rates.successors
+
+    def counted(times, width):
+        asked.append(times.count())
+        return successors(times, width)
+
+    monkeypatch.setattr(rates, "SPAN", 4)
+    monkeypatch.setattr(rates, "successors", counted)
+    # Pauses everywhere but in one key, whose requests from 100 to 200 are left; times before 1970, over the ends of spans.
+    times = {f"k{i}": [i * 7 - 500 + 90 * j + d for j in range(20) for d in (0, 20)] for i in range(5)} | {
+        "run": [10, 65, 100, 130, 170, 200, 400]}
+    got, rows = given_windows(spark, times, 60)
+    want = {(k, o): (n, max(n - 3, 0)) for k, ts in times.items() for o, n in brute_windows(ts, 60).items()}
+    assert got == want and rows == len(want)
+    assert asked == [4]
+
+
 def test_rate_windows_of_nothing(spark):
     empty = spark.createDataFrame([], "key string, ts timestamp")
     assert rates.anchored_rate_windows(empty).count() == 0
