@@ -502,6 +502,32 @@ def test_modularity_finds_cliques_and_follows_the_resolution(spark):
     assert graph.modularity(frame, links.limit(0)) == 0.0
 
 
+def test_modularity_rounds_move_links_once(spark, monkeypatch):
+    """The ties that the moves are made from give the modularity, also with hubs and links of a node with itself."""
+    rng = random.Random(8)
+    rows = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.randrange(1, 9) / 10) for _ in range(50)]
+    edges = spark.createDataFrame(rows + [("n0", "n0", 0.7)], "source string, target string, weight double")
+    links = joins.materialize(graph.modularity_links(edges, edges.coalesce(1)))
+    degrees = links.groupBy("node").agg(F.sum("w").alias("degree"))
+    members = degrees.select("node", F.concat(F.lit("c"), F.pmod(F.substring("node", 2, 2).cast("int"), F.lit(3))).alias("community"))
+    placed = members.join(degrees, "node")
+    ties = graph._ties(links, placed, 2)
+    sums = graph._sums(ties).collect()
+    total = sum(r.total_degree for r in sums)
+    assert total == links.agg(F.sum("w")).first()[0]
+    got = sum(r.inner for r in sums) / total - sum(float(r.total_degree) ** 2 for r in sums) / total / total
+    assert got == pytest.approx(graph.modularity(members, links), abs=1e-12)
+    for number in range(2):
+        moved = graph._moves(ties, graph._sums(ties), placed, total, number, 1.0, 2).drop("degree")
+        assert set(moved.collect()) == set(graph.local_moves(links, members, degrees, total, number).collect())
+    calls, modularity = [], graph.modularity
+    monkeypatch.setattr(graph, "modularity", lambda *a: (calls.append(1), modularity(*a))[1])
+    nodes, edges = _cliques(spark, 2, 3)
+    got = {r.node: r.community for r in graph.modularity_communities(nodes, edges, patience=1).collect()}
+    assert got == {**{f"c{c}-{i}": f"c{c}-0" for c in range(2) for i in range(3)}, "alone": "alone"}
+    assert len(calls) == 1
+
+
 def test_modularity_is_at_least_that_of_label_propagation(spark):
     rng = random.Random(3)
     names = [f"n{i:02}" for i in range(60)]
