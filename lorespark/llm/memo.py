@@ -15,8 +15,9 @@ Encode = Callable[[list[str]], list[bytes]]
 class WordMemo:
     """Maps texts to the bytes of their ids.
 
-    ``texts`` encodes whole texts, ``spaced`` words as they are after a space. At most ``words``
-    words are remembered, none longer than ``longest``. ``prefix``: the library puts a space before
+    ``texts`` encodes whole texts, ``spaced`` words as they are after a space. About ``words``
+    words are remembered, none longer than ``longest``: once half of them are known, those that do not
+    come again before the next half go. ``prefix``: the library puts a space before
     a text, so that a text beginning with one has two.
     """
 
@@ -25,22 +26,31 @@ class WordMemo:
         self.texts, self.spaced, self.prefix = texts, spaced, prefix
         self.words, self.longest = words, longest
         self.known: dict[str, bytes | None] = {}
+        self.older: dict[str, bytes | None] = {}
+
+    def forget(self) -> None:
+        self.known.clear()
+        self.older.clear()
 
     def _learn(self, new: set[str]) -> None:
-        self.known.update(dict.fromkeys(new))
-        plain = [p for p in new if p and len(p) <= self.longest
-                 and not (p[0].isspace() or p[-1].isspace())]
+        plain = [p for p in new if p and len(p) <= self.longest and p.strip() == p]
         self.known.update(zip(plain, self.spaced(plain), strict=True))
+        if len(plain) < len(new):
+            self.known.update(dict.fromkeys(new.difference(plain)))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.words:
-            self.known.clear()
+        if len(self.known) > self.words // 2:
+            self.known, self.older = {}, self.known
         cut = [t.split(" ") for t in texts]
         heads = [parts.pop(0) for parts in cut]
         new: set[str] = set()
         for parts in cut:
             new.update(parts)
         new.difference_update(self.known.keys())
+        if self.older:
+            again = new & self.older.keys()
+            self.known.update((w, self.older[w]) for w in again)
+            new -= again
         if new:
             self._learn(new)
         get, out, odd = self.known.__getitem__, [], []

@@ -103,8 +103,9 @@ class Model:
 
     def forget(self) -> None:
         """At the end of a task: the worker lives on, and other stages need its memory."""
-        for held in (self.memo.known, self.ids_of, self.beside):
+        for held in (self.ids_of, self.beside):
             held.clear()
+        self.memo.forget()
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")

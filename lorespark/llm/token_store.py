@@ -36,6 +36,9 @@ MAGIC = b"IDSHARD1"
 FOOTER = "<8s32sBxxxxxxxQQ"  # magic, dictionary hash, bytes per id, documents, index offset
 NULL_ID = -(2**63)
 DICTIONARY = "dictionary.zstd"
+SPACE = "Ġ"  # as the byte-level alphabet writes it
+#: Words that go to the library in one text; its time a word grows again in longer ones.
+PACK = 64
 #: Bounds of the dictionary's training sample: documents, and ids of each.
 SAMPLE_DOCS, SAMPLE_IDS = 1500, 16_384
 SHARDS = "part long, file string, docs long, tokens long, first long, last long"
@@ -57,20 +60,21 @@ def _encoder(path: str) -> tuple[WordMemo, int]:
         found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array(kind, x.ids).tobytes() for x in found]
 
-    # A line break before a space is a token of its own, so words can go to the library many in
-    # one text, with a break after each.
-    (cut,) = np.frombuffer(encode(["\n"])[0], code)
+    # A space begins a piece, so words can go to the library many in one text: each begins where a token
+    # does that holds its space.
+    opens = np.zeros(tokenizer.get_vocab_size(), bool)
+    opens[[i for token, i in tokenizer.get_vocab().items() if token.startswith(SPACE)]] = True
 
     def spaced(words: list[str]) -> list[bytes]:
-        inner = [w for w in words if "\n" in w]
-        out = dict(zip(inner, encode([" " + w for w in inner]), strict=True))
-        single = [w for w in words if "\n" not in w]
-        packs = [single[i:i + 400] for i in range(0, len(single), 400)]
-        for pack, raw in zip(packs, encode(["".join(f" {w}\n" for w in p) for p in packs]), strict=True):
-            ends = np.flatnonzero(np.frombuffer(raw, code) == cut) * width
-            starts = np.append(0, ends[:-1] + width)
-            out.update((w, raw[a:b]) for w, a, b in zip(pack, starts.tolist(), ends.tolist(), strict=True))
-        return [out[w] for w in words]
+        out = []
+        packs = [words[i:i + PACK] for i in range(0, len(words), PACK)]
+        for pack, raw in zip(packs, encode(["".join(f" {w}" for w in p) for p in packs]), strict=True):
+            starts = (np.flatnonzero(opens[np.frombuffer(raw, code)]) * width).tolist()
+            if len(starts) == len(pack):
+                out += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
+            else:  # a tokenizer that writes spaces otherwise
+                out += encode([" " + w for w in pack])
+        return out
 
     return WordMemo(encode, spaced), width
 

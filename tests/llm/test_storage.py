@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm import shards, token_store, warc
+from lorespark.llm.memo import WordMemo
 from lorespark.session import shared_folder
 from tests.llm.helpers import docs, prose
 
@@ -45,6 +46,51 @@ def test_tokens_equal_the_library_in_order(spark):
     assert token_store.read_document(folder, 10_000) == []
 
 
+def test_words_go_to_the_library_in_packs(monkeypatch):
+    import tokenizers
+
+    sent, library = [], tokenizer()
+
+    class Counting:
+        def __init__(self, path):
+            self.own = library
+
+        from_file = classmethod(lambda cls, path: cls(path))
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def encode_batch_fast(self, texts, **options):
+            sent.extend(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    memo, width = token_store._encoder.__wrapped__(PATH)
+    inner = ["\n", "\n\n", "\t", "\r\n", "\u2028", "\x85", "\x1c", "'s", "\u00a0", "-", "_", "9", "é", "漢", "🙂", "Ġ", "<|endoftext|>"]
+    words = [f"{a}{i}{b}x" for i in range(40) for a in ["w", "", "É", "'", "\n", "Ġ"] for b in inner]
+    text = "begin " + " ".join(words)
+    (got,) = memo([text])
+    assert np.frombuffer(got, f"<u{width}").tolist() == library.encode(text, add_special_tokens=False).ids
+    sent.clear()
+    plain = ["w" + w for w in words]
+    got = memo(["begin " + " ".join(plain)])[0]
+    assert np.frombuffer(got, f"<u{width}").tolist() == library.encode("begin " + " ".join(plain), add_special_tokens=False).ids
+    assert len(sent) <= len(plain) / token_store.PACK + 2
+
+
+def test_words_that_come_again_stay_known():
+    asked = []
+
+    def spaced(words):
+        asked.extend(words)
+        return [f" {w}".encode() for w in words]
+
+    memo = WordMemo(lambda texts: [t.encode() for t in texts], spaced, words=40)
+    texts = [" ".join(["x", "often", *(f"w{i}" for i in range(n, n + 15))]) for n in range(0, 600, 15)]
+    assert [memo([t])[0] for t in texts] == [t.encode() for t in texts]
+    assert asked.count("often") == 1 and len(memo.known) + len(memo.older) <= 2 * (40 // 2 + 17)
+
+
 def test_other_dictionary_is_refused(spark):
     folder = shared_folder(spark, "t")
     (entry,) = token_store.write_tokens(docs(spark, [(1, "a b c")]), folder, PATH)
