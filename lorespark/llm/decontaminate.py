@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import SHINGLE, SIMILAR, byte_words, fresh
+from lorespark.llm.common import SHINGLE, SIMILAR, byte_words, fresh, with_text
 from lorespark.operators.joins import materialize
 
 #: Words of the items that one block may have; a single longer item is a block of its own.
@@ -124,13 +124,14 @@ def drop_contaminated(
     sc = docs.sparkSession.sparkContext
     for block in _blocks(items, item_id, item_text):
         sent = sc.broadcast(ItemIndex(block, share, size))
+        probed, at = with_text(docs, text_column, probe)
 
-        def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def keep(batches: Iterator[pa.RecordBatch], sent=sent, at=at) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not sent.value.find(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                # One text at a time: bytes of a whole batch would fill the memory of a worker.
+                clean = [not sent.value.find(t.as_py()) for t in batch.column(at).cast(pa.binary())]
                 kept = batch.filter(pa.array(clean, pa.bool_()))
-                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=columns)
+                yield pa.RecordBatch.from_arrays(kept.columns[:len(columns)], names=columns)
 
-        probed = docs.withColumn(probe, F.col(text_column).cast("string").cast("binary"))
         docs = probed.mapInArrow(keep, docs.schema)
     return docs

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorespark.llm.common import fresh
+from lorespark.llm.common import fresh, with_text
 from lorespark.llm.memo import WordMemo
 from lorespark.operators.joins import materialize
 
@@ -317,17 +317,20 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", chunk: int = C
     name, row, probe = fresh(docs, "ids", "row", "probe")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))])
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
+    long = F.char_length(text) >= 2 * chunk
+    probed, place = with_text(docs.filter(~long), text_column, probe)
+    width = len(docs.columns)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = model.encode(part.column(part.num_columns - 1).to_pylist())
+                ids = model.encode([t or "" for t in part.column(place).to_pylist()])
                 ends = np.append(0, np.cumsum([len(x) for x in ids]))
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], own], names=[*part.schema.names[:-1], name])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], own], names=[*part.schema.names[:width], name])
         model.forget()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,8 +338,7 @@ def encode(docs: DataFrame, path: str, text_column: str = "text", chunk: int = C
             rows = [uuid.uuid4().int >> 65 for _ in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], names=[*batch.schema.names, row])
 
-    long = F.char_length(text) >= 2 * chunk
-    short = docs.filter(~long).withColumn(probe, text).mapInArrow(whole, schema)
+    short = probed.mapInArrow(whole, schema)
     giants = materialize(docs.filter(long).mapInArrow(
         number, T.StructType([*docs.schema.fields, T.StructField(row, T.LongType())])))
     ids = _giant_ids(giants.select(F.col(row).alias("row"), text.alias("text")), path, chunk).select(

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lorespark.llm.common import SHINGLE, fresh
+from lorespark.llm.common import SHINGLE, fresh, with_text
 from lorespark.operators.joins import first_per, materialize
 
 PER_CLASS = 6_000
@@ -308,18 +308,20 @@ def score(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame
     names = fresh(docs, *EXTRA)
     (probe,) = fresh(docs, "probe")
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    probed, at = with_text(docs, text_column, probe)
+    width = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value)
         for batch in batches:
-            scored = (scorer(t.as_py()) for t in batch.column(batch.num_columns - 1))
+            scored = (scorer(t.as_py()) for t in batch.column(at))
             found = list(zip(*scored, strict=True)) or [[]] * 4
             added = [pa.array(list(v), k) for v, k in zip(found, _KINDS, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *added], names=[*batch.schema.names[:width], *names])
 
     added = [T.StructField(n, kind) for n, kind in zip(names, EXTRA.values(), strict=True)]
     schema = T.StructType([*docs.schema.fields, *added])
-    return docs.withColumn(probe, F.col(text_column).cast("string")).mapInArrow(run, schema)
+    return probed.mapInArrow(run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = REJECT, id_column: str = "doc_id",

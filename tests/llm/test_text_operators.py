@@ -515,3 +515,19 @@ def test_max_plus_scan_is_the_running_product():
     for own, m in zip(pieces.scan(mats)[1:], mats[1:], strict=True):
         running = pieces.times(running, m)
         assert np.allclose(own, running)
+
+
+def test_texts_are_sent_to_tasks_once(spark):
+    rows = docs(spark, [(1, "one two three four five six"), (2, "poison " * 9), (3, None), (4, "")])
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    for made in (decontaminate.drop_contaminated, lambda d, _: toxicity.score(d, toxicity.fit(d, labels)),
+                 lambda d, _: pieces.encode(d, MODEL)):
+        out = made(rows, items)
+        (sent,) = re.findall(r"MapInArrow [^\n]*\n[^\n]*Project \[([^\]]*)\]", out._jdf.queryExecution().analyzed().toString()) or [""]
+        assert "probe" not in sent
+        # Other kinds of columns are still read as strings.
+        other = made(rows.withColumn("text", F.col("text").cast("binary")), items)
+        same = other.withColumn("text", F.col("text").cast("string"))
+        assert sorted(map(str, same.collect())) == sorted(map(str, out.collect()))
+    assert {r.doc_id for r in decontaminate.drop_contaminated(rows, items).collect()} == {2, 3, 4}
