@@ -389,6 +389,18 @@ def test_large_groups_become_stars(spark):
     assert len(small) == 50 * 49 // 2
 
 
+def test_a_graph_links_every_pair_of_equal_or_like_vectors(spark):
+    docs = catalog(spark, *[(f"d{i:02}", "T", "", [], []) for i in range(9)])
+    # Two crowds of copies that are like each other, and one vector unlike both.
+    rows = [(f"d{i:02}", 0, [1.0, 0.0, 0.2] if i < 4 else [1.0, 0.5, 0.0]) for i in range(8)] + [("d08", 0, [0.0, 0.0, -1.0])]
+    built = build_graph(docs, spark.createDataFrame(rows, "doc_id string, chunk_index int, embedding array<double>"), 0.4)
+    names = [f"d{i:02}" for i in range(8)]
+    got = [(r.source, r.target) for r in built.edges.collect()]
+    assert sorted(got) == list(itertools.combinations(names, 2))
+    stats = graph.graph_stats(built.nodes, built.edges, graph.connected_components(built.nodes, built.edges)).first()
+    assert (stats.node_count, stats.edge_count, stats.community_count) == (9, 28, 2)
+
+
 def test_graph_json_scan(spark, tmp_path):
     doc = {"links": [
         {"source": "a", "target": {"id": "b"}, "relation": "co_entity", "weight": 0.82},
