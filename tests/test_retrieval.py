@@ -389,6 +389,15 @@ def test_large_groups_become_stars(spark):
     assert len(small) == 50 * 49 // 2
 
 
+def test_a_graph_has_all_values_of_a_document(spark):
+    names = [f"Entity {i:02}" for i in range(50)]
+    built, edges = edges_of(spark, ("a", "A", "x", [f"t{i:02}" for i in range(40)], names))
+    nodes = {n.id: n for n in built.nodes.collect()}
+    assert nodes["a"].entities.split(",") == names and len(nodes["a"].tags.split(",")) == 40
+    assert sorted(n.label for n in nodes.values() if n.file_type == "entity") == names
+    assert sum(relation == "declares_core_entity" for _, _, relation in edges) == 50
+
+
 def test_a_graph_links_every_pair_of_equal_or_like_vectors(spark):
     docs = catalog(spark, *[(f"d{i:02}", "T", "", [], []) for i in range(9)])
     # Two crowds of copies that are like each other, and one vector unlike both.
