@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.functions.embedding import embed_chunks, hashed_terms
-from lorespark.operators import graph, joins, vectors
+from lorespark.operators import graph, joins, occurrences, vectors
 from lorespark.operators import retrieval as rt
 from lorespark.plans.graph_build import build_graph
 from lorespark.plans.hybrid import Corpus, hybrid_search
@@ -161,6 +161,57 @@ def test_structure_channel(spark):
         (0, "doc-1", 0): 6.0, (1, "doc-2", 0): 10.0, (2, "doc-2", 0): 1.0, (3, "doc-1", 0): 1.0}
 
 
+@pytest.mark.parametrize("at_once", [1000, 10])
+def test_structure_channel_against_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(occurrences, "AT_ONCE", at_once)
+    monkeypatch.setattr(occurrences, "WIDER", 2)
+    rng = random.Random(5)
+
+    def words(low, high):
+        return " ".join(rng.choice(["a", "ab", "b a", "abc", "über", "x", "abcdefgh"]) for _ in range(rng.randint(low, high)))
+
+    rows = [(f"d{i:03}", words(1, 9), rng.choice(["ab/x", "b", "", None]), rng.sample(["t", "u", "v"], rng.randint(0, 2)),
+             [words(1, 2) for _ in range(rng.randint(0, 3))]) for i in range(400)]
+    rows += [("a", None, "b", ["t"], None), ("d000", "ab", "b", [], ["x"]), ("bare", "a", "b", [], [])]
+    cat = catalog(spark, *rows).repartition(3)
+    chk = spark.createDataFrame([(r[0], c, 2, "t") for r in rows if r[0] != "bare" for c in (4, 3)], CHUNKS).distinct()
+    texts = [rng.choice(rows)[rng.choice([0, 1, 1, 2])] or "" for _ in range(60)] + ["a", "ab", "", "b", "x", "h", "abcdefgh abc"] * 3
+    asked = queries(spark, *[(t, rng.sample(["t", "u", "w"], rng.choice([0, 0, 0, 1, 2])), rng.choice(["", "", "b", "ab/x"])) for t in texts])
+
+    def rule(q, doc, title, path, entities):
+        if q == doc:
+            return 10.0
+        for hit, score in ((q == title, 8.0), (q in (title or ""), 5.0), (q in (path or ""), 3.0)):
+            if q and hit:
+                return score
+        if q in entities:
+            return 8.5
+        return 0.0 if not q else 6.0 if any(e in q for e in entities) else 4.0 if any(q in e for e in entities) else 0.0
+
+    want = []
+    for r in asked.collect():
+        found = []
+        for doc, title, path, tags, entities in rows:
+            okay = r.filter_path in ("", path) and (not r.filter_tags or set(r.filter_tags) & set(tags))
+            blank = 1.0 if not r.text and (r.filter_path or r.filter_tags) else 0.0
+            score = rule(r.text, doc, title, path, entities or []) or blank
+            if okay and score and doc != "bare" and (r.text or blank):
+                found.append((-score, doc))
+        want += [(r.query_id, doc, 3, -score) for score, doc in sorted(found)[:5]]
+    got = [(r.query_id, r.doc_id, r.chunk_index, r.raw_score) for r in rt.structure_channel(asked, cat, chk).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_structure_matches_leave_out_what_cannot_be_among_the_best(spark, monkeypatch):
+    # A question that stands in all titles met all documents before.
+    monkeypatch.setattr(occurrences, "AT_ONCE", 1000)
+    cat = catalog(spark, *[(f"d{i:04}", f"the title {i}", "p", [], []) for i in range(3000)]).repartition(4)
+    asked = queries(spark, ("the", [], ""), ("title 77", [], ""))
+    found = rt.structure_matches(asked, cat).groupBy("query_id").count().collect()
+    counts = {r.query_id: r["count"] for r in found}
+    assert counts == {0: 50, 1: 11}
+
+
 def test_containment_join_against_brute_force(spark):
     rng = random.Random(7)
 
